@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, substring_dedup, warc
+from . import decontaminate, mixing, ngram_join, substring_dedup, warc
 from ._shared import table
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -25,7 +29,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_decontaminate, op8_substring_dedup, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op4_ngram_join, op5_decontaminate, op8_substring_dedup, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
