@@ -170,7 +170,7 @@ def _subsets(keys: np.ndarray, boundary: int, percent: int) -> tuple[list[int],
     hashes, sizes, n = [], [], len(keys)
     parts = W.mix(keys ^ _U(0x1D8E4E27C47D124F))
     for c in subset_sizes(n, boundary, percent):
-        gone = np.array(list(combinations(range(n), n - c)), np.int64).reshape(-1, n - c)
+        gone = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
         hashes.extend((np.add.reduce(parts, keepdims=True) - np.add.reduce(parts[gone], axis=1)).tolist())
         sizes.extend([c] * len(gone))
     if not hashes:
