@@ -1,0 +1,6 @@
+"""Probabilistic Datalog on Spark DataFrames."""
+
+from .engine import Engine
+from .errors import CompileError, DatalogError, ParseError
+
+__all__ = ["CompileError", "DatalogError", "Engine", "ParseError"]
