@@ -23,7 +23,7 @@ from ._shared import materialize
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public split pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SEPARATOR, BLOCK = 50_256, 1 << 19
+SEPARATOR, BLOCK, ROWS = 50_256, 1 << 16, 256
 _FILE = "file long, block long, tokens binary, ids array<long>"
 
 
@@ -47,8 +47,8 @@ def _tokenize(path: str, block: int):
         def emit(data: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([made], pa.int64()), pa.array([data.tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], ["file", "block", "tokens", "ids"])
 
-        for b in batches:
-            for i, text in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
+        for part in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            for i, text in zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True):
                 ids.append(i)
                 if text:
                     parts.append(encode(text).astype(np.uint16))
