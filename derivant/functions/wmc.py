@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,15 +106,16 @@ def _unpack(tag) -> tuple[list, dict, dict]:
 def probability(tag: Column, exclusive: bool = False) -> Column:
     """The probability of a column of proofs; no proof: 0, the empty proof: 1."""
 
-    @F.pandas_udf("double")
-    def several(tags: pd.Series) -> pd.Series:
-        def one(t):
+    @F.arrow_udf("double")
+    def several(tags: pa.Array) -> pa.Array:
+        out = []
+        for t in tags.to_pylist():
             if t is None:
-                return None
-            proofs, prob, group = _unpack(t)
-            return count(proofs, prob, group if exclusive else None)
-
-        return tags.map(one).astype("float64")
+                out.append(None)
+            else:
+                proofs, prob, group = _unpack(t)
+                out.append(count(proofs, prob, group if exclusive else None))
+        return pa.array(out, pa.float64())
 
     single = F.when(F.size(tag) == 0, F.lit(0.0)).when(F.size(tag) == 1, weight(tag[0]))
     return F.coalesce(single, several(F.when(F.size(tag) > 1, tag)))
@@ -123,13 +124,13 @@ def probability(tag: Column, exclusive: bool = False) -> Column:
 def probability_and_gradient(tag: Column, exclusive: bool = False) -> Column:
     """struct<prob double, grad map<bigint, double>> of a column of proofs."""
 
-    @F.pandas_udf("prob double, grad map<bigint,double>")
-    def both(tags: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("prob double, grad map<bigint,double>")
+    def both(tags: pa.Array) -> pa.Array:
         rows = []
-        for t in tags:
+        for t in tags.to_pylist():
             proofs, prob, group = _unpack(t)
             used = group if exclusive else None
-            rows.append((count(proofs, prob, used), gradient(proofs, prob, used)))
-        return pd.DataFrame(rows, columns=["prob", "grad"])
+            rows.append({"prob": count(proofs, prob, used), "grad": list(gradient(proofs, prob, used).items())})
+        return pa.array(rows, pa.struct([("prob", pa.float64()), ("grad", pa.map_(pa.int64(), pa.float64()))]))
 
     return both(tag)
