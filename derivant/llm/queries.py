@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, langid, mixing, ngram_join, pii, quality, substring_dedup, token_counts, warc
+from . import decontaminate, embed_dedup, langid, mixing, ngram_join, pii, quality, sql, substring_dedup, token_counts, warc
 from ._shared import table
 
 
@@ -53,4 +53,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.SQL, "op9_mixing": mixing.SQL, "op10_warc": warc.SQL}
+    return {
+        "op4_ngram_join": sql.NGRAM_JOIN,
+        "op5_decontaminate": decontaminate.SQL,
+        "op6_embed_dedup": sql.EMBED_DEDUP,
+        "op8_substring_dedup": sql.SUBSTRING_DEDUP,
+        "op9_mixing": mixing.SQL,
+        "op10_warc": warc.SQL,
+    }

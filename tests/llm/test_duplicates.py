@@ -1,0 +1,201 @@
+"""Joins, components and spans against brute force."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from derivant.llm import _graph, embed_dedup, ngram_join, substring_dedup
+
+
+class Union:
+    def __init__(self):
+        self.up = {}
+
+    def find(self, x):
+        self.up.setdefault(x, x)
+        while self.up[x] != x:
+            x = self.up[x]
+        return x
+
+    def join(self, a, b):
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+
+
+def shingles(text, n):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def brute_components(rows, n, percent):
+    sets, union = [(i, shingles(t, n)) for i, t in rows], Union()
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a and b and i is not None and j is not None and 100 * len(a & b) >= percent * len(a | b):
+                union.join(i, j)
+    return sorted(((i, len(a), None if i is None else union.find(i)) for i, a in sets), key=repr)
+
+
+def corpus(seed, groups):
+    random.seed(seed)
+    vocabulary, out = [f"W{i}" for i in range(40)], []
+    for _ in range(groups):
+        base = [random.choice(vocabulary) for _ in range(random.choice([1, 2, 3, 5, 8, 11, 13, 15, 18, 20, 22, 25, 30, 60, 120]))]
+        for _ in range(random.choice([1, 2, 5, 9])):
+            words = list(base)
+            for _ in range(random.choice([0, 0, 1, 1, 2, 3])):
+                k = random.randrange(len(words))
+                random.choice([lambda: words.__setitem__(k, random.choice(vocabulary)), lambda: words.insert(k, random.choice(vocabulary)), lambda: words.pop(k) if len(words) > 1 else None])()
+            out.append((len(out) * 7 % 1009, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("n, percent, chunk", [(3, 90, 512), (3, 90, 3), (5, 80, 512), (1, 70, 4)])
+def test_jaccard_components(spark, rows, monkeypatch, n, percent, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    docs = corpus(n, 40)
+    docs += [(5000, ""), (5001, None), (5002, " \t"), (docs[0][0], "a b c d e f g"), (6000, "A b c d e f g"), (None, "a b c d e f g"), (docs[3][0], docs[3][1])]
+    df = spark.createDataFrame([(*d, "x", 0, 0) for d in docs], "doc_id long, text string, key string, n long, block int")
+    assert rows(ngram_join.jaccard_components(df, n, percent)) == brute_components(docs, n, percent)
+
+
+def test_jaccard_edges(spark, rows):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert rows(ngram_join.jaccard_components(df)) == []
+    long = " ".join(f"w{i}" for i in range(30_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "w " * 200_000)], "doc_id long, text string")
+    assert rows(ngram_join.jaccard_components(df)) == [(1, 29998, 1), (2, 29999, 1), (3, 1, 3)]
+    kept = ngram_join.keep_one(df.withColumn("extra", F.lit(1)))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.columns == ["doc_id", "text", "extra"]
+
+
+def test_a_hot_group_of_copies(spark, rows):
+    docs = [(i, "one two three four five six seven eight nine ten eleven twelve") for i in range(3000)] + [(9000 + i, f"alone {i} is this text of six") for i in range(50)]
+    out = rows(ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert {c for i, _, c in out if i < 3000} == {0} and all(i == c for i, _, c in out if i >= 9000)
+
+
+def test_subset_sizes_cover_all_light_links():
+    for percent in (70, 80, 90):
+        for boundary in (9, 20):
+            for a in range(1, boundary + 1):
+                for b in range(a, boundary + 1):
+                    c = ngram_join.overlap(a, b, percent)
+                    if c <= a and (a, c) != (b, b):
+                        assert c in ngram_join.subset_sizes(a, boundary, percent) and c in ngram_join.subset_sizes(b, boundary, percent)
+    assert ngram_join.choose_boundary({}, 90) >= 1
+
+
+def test_components(spark, rows):
+    random.seed(1)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 500)] + [(random.randrange(2000, 2400), random.randrange(2000, 2400)) for _ in range(150)] + [(7, 7)]
+    union = Union()
+    for a, b in edges:
+        if a != b:
+            union.join(a, b)
+    found = rows(_graph.components(spark.createDataFrame(edges, "a long, b long")))
+    assert found == sorted(((x, union.find(x)) for x in list(union.up)), key=repr)
+    assert rows(_graph.components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def brute_repeats(docs, n=13):
+    words = [(i, (t or "").encode().split()) for i, t in docs]
+    first = {}
+    for i, w in words:
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k : k + n])
+            if i is not None:
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in words:
+        gone = set()
+        for k in range(len(w) - n + 1):
+            if first.get(tuple(w[k : k + n]), float("inf")) < (float("inf") if i is None else i):
+                gone.update(range(k, k + n))
+        out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def passages(seed):
+    random.seed(seed)
+    word = lambda: random.choice("abcdefgh") * random.randrange(1, 4)
+    shared = [[word() for _ in range(random.randrange(10, 60))] for _ in range(6)]
+    docs = []
+    for i in range(80):
+        text = []
+        for _ in range(random.randrange(5)):
+            text += [word() for _ in range(random.randrange(20))]
+            s = random.choice(shared)
+            a = random.randrange(len(s))
+            text += s[a : a + random.randrange(5, 40)]
+        docs.append((i * 37 % 101, random.choice([" ", "\n", " \t"]).join(text)))
+    return docs + [(500, None), (501, ""), (None, " ".join(shared[0] + shared[1])), (docs[0][0], docs[5][1]), (502, "x " * 2000), (503, "x " * 30), (docs[7][0], docs[7][1])]
+
+
+def test_substrings(spark, rows, sf):
+    docs = passages(4)
+    df = spark.createDataFrame([(*d, 1, "y") for d in docs], "doc_id long, text string, block int, id string")
+    assert rows(substring_dedup.remove_repeats(df)) == brute_repeats(docs)
+    assert rows(substring_dedup.remove_repeats(df.limit(0))) == []
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert rows(substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))) == brute_repeats(docs)
+
+
+def test_factors(spark):
+    """Factors follow one another, have a reference before the document, and cover what is removed."""
+    docs = passages(9)
+    df = spark.createDataFrame(docs, "doc_id long, text string").where("doc_id is not null").dropDuplicates(["doc_id"])
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()}
+    cover = {}
+    for r in substring_dedup.repeated_spans(df).orderBy("doc_id", "word_start").collect():
+        assert r["ref_doc_id"] < r["doc_id"] and r["word_start"] < r["word_end"]
+        spans = cover.setdefault(r["doc_id"], [])
+        assert not spans or spans[-1][1] <= r["word_start"]
+        spans.append((r["word_start"], r["word_end"]))
+    assert {i: sum(b - a for a, b in s) for i, s in cover.items()} == {i: n for i, n in removed.items() if n}
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 32))
+    vectors = [b + rng.normal(size=32) * s for b in base for s in rng.uniform(0.02, 0.5, rng.integers(1, 12))]
+    x = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    data = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    odd = [(9000, None, 0), (9001, [0.0] * 32, 0), (9002, [float("nan")] * 32, 0), (9003, [None] + [1.0] * 31, 0), (9004, [1.0], 0), (None, vectors[0].tolist(), 0), (9005, [float("inf")] + [1.0] * 31, 0), (0, vectors[0].tolist(), 0)]
+    out = embed_dedup.near_duplicates(spark.createDataFrame(data + odd, "vec_id long, embedding array<double>, key int"))
+    found = out.collect()
+    assert len(found) == len(data) + len(odd)
+    by = {r["vec_id"]: r for r in found}
+    counts = np.array([by[i]["n_links"] for i in range(len(vectors))])
+    assert (counts <= linked.sum(1)).all() and counts.sum() >= 0.9 * linked.sum()
+    for r in found:
+        assert r["kept"] == (r["vec_id"] == r["component_id"])
+        if r["vec_id"] is None or r["vec_id"] >= 9000:
+            assert r["n_links"] == 0 and r["component_id"] == r["vec_id"]
+    assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_chunks_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "CHUNK", 16)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=64) + rng.normal(size=(200, 64)) * 0.02
+    out = embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {r["component_id"] for r in out} == {0} and np.mean([r["n_links"] for r in out]) >= 0.9 * 199
+
+
+def test_owner_of_a_pair():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    flips = np.array([np.bitwise_or.reduce([np.uint64(1) << np.uint64(k) for k in rng.choice(64, n, False)]) for n in rng.integers(1, 9, 500)], np.uint64)
+    b = a ^ flips
+    keys = lambda c: {int((c >> np.uint64(16 * t)) & np.uint64(0xFFFF)) ^ int(f) | t << 16 for t in range(4) for f in embed_dedup._FLIPS}
+    for x, y, o in zip(a, b, embed_dedup.owner(a, b).tolist(), strict=True):
+        shared = keys(x) & keys(y)
+        assert o in shared if shared else o == 2**64 - 1
+    assert (embed_dedup.owner(a, b) == embed_dedup.owner(b, a)).all()
