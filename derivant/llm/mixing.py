@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT, SEED = 1.5, 2.0, "mix-1"
 SIZE_CLASS, ID_CLASSES = 16, 64
@@ -74,7 +76,9 @@ def mix(docs: DataFrame, carry: Sequence[str] = (), id_column: str = "doc_id", t
     )
     base = base.withColumn("_class", F.floor(F.col("_size") / SIZE_CLASS)).withColumn("_sub", F.coalesce(F.pmod("_id", F.lit(ID_CLASSES)), F.lit(-1)))
     keys = ["_src", "_class", "_sub"]
-    slim = base.select("_id", "_size", "_source", *keys)
+    # texts are counted once, or twice if columns are carried along
+    slim = materialize(base.select("_id", "_size", "_source", *keys), "sizes")
+    base = base if carry else slim
     inner = Window.partitionBy(*keys).orderBy("_size", F.col("_id").asc_nulls_first())
     ranked = base.drop("_source").withColumn("_rank", F.row_number().over(inner))
     counts = slim.groupBy(*keys).agg(F.count("*").alias("_n"))
