@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
 WORDS, THRESHOLD = 5, 0.8
 #: The sketches are broadcast up to this many rows; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -79,7 +81,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold:
     keys = sketch.select("width", "h", "item_id", "n_item")
     if facts["rows"] <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    candidates = probe.join(keys, ["width", "h"]).select("doc_id", "item_id", "width", "n_item").distinct()
+    candidates = materialize(probe.join(keys, ["width", "h"]).select("doc_id", "item_id", "width", "n_item").distinct(), "candidates")
     texts = base.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("ws"))
     exact = None
     for w in widths:
