@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
 A rotation of the principal components is learned on a bounded sample so that the
-signs, cut at the medians, are balanced codes. Every vector is indexed in ``TABLES``
+signs, cut at the medians, are balanced codes; their recall is measured there. Every vector is indexed in ``TABLES``
 tables under its substring of the code and all substrings one bit away; two vectors
 whose substrings differ by two bits at most in some table therefore share a key. Of
 the keys that a pair shares one owns it (the first table, the smallest key), so each
@@ -26,14 +26,13 @@ from ._graph import components
 from ._shared import materialize, partitions
 
 SAMPLE, BITS, TABLES, ROUNDS, HAMMING, COSINE, CHUNK = 20_000, 64, 4, 50, 20, 0.9, 1024
+PROBES, ENOUGH = 500, 0.97
 WIDTH = BITS // TABLES
 _U = np.uint64
 
 
-def fit(sample: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    """mean, projection and cut of the code bits; fewer dimensions than bits are projected at random."""
-    mean = sample.mean(0)
-    x = sample - mean
+def _rotation(x: np.ndarray, seed: int) -> np.ndarray:
+    """The projection of rows of x whose signs lose least: principal directions, rotated by alternation."""
     rng = np.random.Generator(np.random.PCG64(seed))
     _, vectors = np.linalg.eigh(x.T @ x)
     base = vectors[:, ::-1][:, :BITS]
@@ -44,8 +43,34 @@ def fit(sample: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     for _ in range(ROUNDS):
         u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
         r = (u @ w).T
-    projection = base @ r
-    return {"mean": mean, "projection": projection, "cut": np.median(x @ projection, axis=0)}
+    return base @ r
+
+
+def fit(sample: np.ndarray, cosine: float = COSINE, hamming: int = HAMMING, seed: int = 7) -> dict:
+    """mean, projection and cut of the code bits, and the recall measured on the sample.
+
+    Balanced codes of the centred vectors are taken if they find what brute force finds
+    among the sample. Where most vectors are alike, their centre is one of them and
+    centring leaves noise; then the codes are signs of the vectors as they are.
+    """
+    rng = np.random.Generator(np.random.PCG64(seed))
+    probes = sample[rng.permutation(len(sample))[:PROBES]]
+    near = probes @ sample.T >= cosine
+    best: dict = {}
+    for centred in (True, False):
+        mean = sample.mean(0) * centred
+        projection = _rotation(sample - mean, seed)
+        cut = np.median((sample - mean) @ projection, axis=0) * centred
+        model = {"mean": mean, "projection": projection, "cut": cut}
+        a, b = encode(probes, model)[:, None], encode(sample, model)[None, :]
+        i, j = np.nonzero(near)
+        found = (np.bitwise_count(a[i, 0] ^ b[0, j]) <= hamming) & (owner(a[i, 0], b[0, j]) < np.iinfo(np.uint64).max)
+        model["recall"] = float(found.mean()) if len(found) else 1.0
+        if not best or model["recall"] > best["recall"]:
+            best = model
+        if best["recall"] >= ENOUGH:
+            break
+    return best
 
 
 def encode(x: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
@@ -224,7 +249,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_column: str =
     _, x = _matrix(few["vector"].combine_chunks() if few.num_rows else pa.array([], pa.list_(pa.float64())), width)
     if not len(x):
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    coded = materialize(distinct.mapInArrow(_encode(fit(x), width), "id long, code long, unit binary"), "codes")
+    coded = materialize(distinct.mapInArrow(_encode(fit(x, cosine, hamming), width), "id long, code long, unit binary"), "codes")
     keys = coded.select("id", "code").mapInArrow(_keys, "key long, id long, code long")
     n = partitions(spark)
     meet = _chunked(keys, CHUNK).repartition(n, "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
