@@ -162,7 +162,7 @@ class Engine:
         frame = rel.from_rows(self.spark, [], types)
         data = [(*(v or ((0,) if not types else ())), p, g) for v, p, g in rows]
         schema = rel.with_fields(frame.schema, _p="double", _g="int")
-        df = self.spark.createDataFrame(data, schema)
+        df = rel.local(self.spark, data, schema)
         fact = rel.fact_id(name, self._inserts, [*names], F.struct("_p", "_g"))
         exclusive = F.when(F.col("_g").isNull(), fact).otherwise(F.xxhash64(F.lit("group"), F.lit(self._inserts), F.col("_g")))
         tag = self.tag.base(fact, exclusive, F.col("_p"))

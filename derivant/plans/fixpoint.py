@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from time import perf_counter
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import IterationLimit
 from ..functions.tags import TAG, Unit
 from ..sources.relations import empty, keys
-from ..sources.storage import written
+from ..sources.storage import SMALL_ROWS, kept, looks_small
 from .analysis import strata
 from .compile import rule_frame
 from .syntax import Rule
@@ -39,12 +40,21 @@ class Evaluation:
     #: Deltas are unioned until there are so many, then rewritten as one table.
     compact: int = 8
     rounds: list[Round] = field(default_factory=list)
+    #: Relations that are stored, with their rows; those in small are local.
+    stored: dict[str, int] = field(default_factory=dict)
+    small: set[str] = field(default_factory=set)
 
     def empty(self, p: str) -> DataFrame:
         return empty(self.spark, self.types[p], self.tag_of(p))
 
-    def merge(self, p: str, frames: Sequence[DataFrame]) -> DataFrame:
-        return self.tag_of(p).merge(reduce(DataFrame.unionByName, frames), keys(self.types[p]))
+    def merge(self, p: str, frames: Sequence[DataFrame], one_task: bool = False) -> DataFrame:
+        frame = reduce(DataFrame.unionByName, frames)
+        return self.tag_of(p).merge(frame.coalesce(1) if one_task else frame, keys(self.types[p]))
+
+    def store(self, p: str, df: DataFrame, now: dict[str, DataFrame], try_small: bool) -> None:
+        """Cuts the lineage of a relation that a recursive stratum reads again and again."""
+        now[p], self.stored[p], small = kept(df, p.strip("@_"), try_small)
+        (self.small.add if small else self.small.discard)(p)
 
     def plan(self, rule: Rule, frame: Callable[[int, str], DataFrame], full: Callable[[str], DataFrame]) -> DataFrame:
         atoms = rule.atoms()
@@ -100,11 +110,14 @@ class Evaluation:
                 if frames:
                     fresh = self.merge(p, frames)
                     if recursive:
-                        fresh = written(fresh, p.strip("@_"))
+                        fresh, n, small = kept(fresh, p.strip("@_"), looks_small(fresh))
                     now[p], step[p] = self.grown(p, before.get(p), fresh)
-                    if recursive and p in before and not self.tag_of(p).keeps_proofs:
-                        step[p] = written(step[p], "delta")
-                        now[p] = before[p].unionByName(step[p])
+                    if recursive and p in before:
+                        self.store(p, now[p], now, small)
+                        step[p], _, _ = kept(step[p], "delta", small)
+                    elif recursive:
+                        self.stored[p] = n
+                        (self.small.add if small else self.small.discard)(p)
             if recursive:
                 self._rounds(group, mine, now, {p: before.get(p) for p in group}, step, all_of)
             for p in group:
@@ -115,30 +128,53 @@ class Evaluation:
 
     def _rounds(self, group: Sequence[str], rules: Mapping[int, Rule], now: dict[str, DataFrame], old: dict[str, DataFrame | None], delta: dict[str, DataFrame], all_of: Callable[[str], DataFrame]) -> None:
         inner = [r for r in rules.values() if any(a.predicate in group for a in r.atoms())]
+        for q in sorted({a.predicate for r in inner for a in [*r.atoms(), *r.negated()]}):
+            if q in now and q not in self.stored:
+                self.store(q, now[q], now, looks_small(now[q]))
         parts = {p: 1 for p in group}
         for number in range(1, self.max_iterations + 1):
             start = perf_counter()
             plans: dict[str, list[DataFrame]] = {}
+            reads: dict[str, set[str]] = {}
             for r in inner:
-                plans.setdefault(r.head.predicate, []).extend(self.deltas(r, delta, all_of, old.get))
-            fresh = {p: self.merge(p, f) for p, f in plans.items() if f}
-            previous, counts, step = {p: now.get(p) for p in group}, {}, {}
-            for p, f in fresh.items():
-                if self.tag_of(p).keeps_proofs:
-                    whole, _ = self.grown(p, previous[p], f)
-                    whole = written(whole, p.strip("@_"))
-                    names = [*keys(self.types[p]), TAG]
-                    diff = whole if previous[p] is None else written(whole.join(previous[p].select(*names), names, "left_anti"), "delta")
-                else:
-                    _, diff = self.grown(p, previous[p], f)
-                    diff = written(diff, "delta")
+                p = r.head.predicate
+                plans.setdefault(p, []).extend(self.deltas(r, delta, all_of, old.get))
+                reads.setdefault(p, {p}).update(a.predicate for a in [*r.atoms(), *r.negated()])
+            previous = {p: now.get(p) for p in group}
+
+            def take(p: str, frames: Sequence[DataFrame], previous=previous, reads=reads) -> tuple[DataFrame, DataFrame, int, bool]:
+                """(all, changed, number of changed, small) of a relation after the round's derivations."""
+                small = all(q in self.small or q not in now for q in reads[p])
+                fresh, names = self.merge(p, frames, small), keys(self.types[p])
+                if not self.tag_of(p).keeps_proofs:
+                    diff, n, small = kept(self.grown(p, previous[p], fresh)[1], "delta", small)
                     whole = diff if previous[p] is None else previous[p].unionByName(diff)
-                    parts[p] += 1
-                counts[p] = diff.count()
-                if counts[p]:
-                    if parts[p] > self.compact:
-                        whole, parts[p] = written(whole, p.strip("@_")), 1
-                    now[p], step[p] = whole, diff
+                    return whole.coalesce(1) if small else whole, diff, n, small
+                whole, n, small = kept(self.grown(p, previous[p], fresh)[0], p.strip("@_"), small)
+                if previous[p] is None:
+                    return whole, whole, n, small
+                diff, n, _ = kept(whole.join(previous[p].select(*names, TAG), [*names, TAG], "left_anti"), "delta", small)
+                return whole, diff, n, small
+
+            # the relations of a stratum are independent within a round
+            work = [(p, f) for p, f in plans.items() if f]
+            with ThreadPoolExecutor(max(1, min(len(work), 8))) as pool:
+                results = list(pool.map(lambda x: take(*x), work))
+            counts, step = {}, {}
+            for (p, _), (whole, diff, n, small) in zip(work, results, strict=True):
+                counts[p] = n
+                if not n:
+                    continue
+                parts[p] += 1
+                now[p], step[p] = whole, diff
+                self.stored[p] = self.stored.get(p, 0) + n
+                if self.stored[p] > SMALL_ROWS or not small:
+                    self.small.discard(p)
+                elif previous[p] is None:
+                    self.small.add(p)
+                if parts[p] > self.compact and not self.tag_of(p).keeps_proofs:
+                    self.store(p, whole, now, p in self.small)
+                    parts[p] = 1
             self.rounds.append(Round(tuple(group), number, perf_counter() - start, counts))
             if not any(counts.values()):
                 return

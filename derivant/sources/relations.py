@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.tags import TAG, Unit
 
@@ -24,8 +26,15 @@ def frame_schema(types: Sequence[str], tag: Unit) -> T.StructType:
     return T.StructType(fields + ([T.StructField(TAG, tag.column_type)] if tag.column_type else []))
 
 
+def local(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """A local relation, whose size the optimiser knows."""
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), schema)
+
+
 def empty(spark: SparkSession, types: Sequence[str], tag: Unit) -> DataFrame:
-    return spark.createDataFrame([], frame_schema(types, tag))
+    return local(spark, [], frame_schema(types, tag))
 
 
 def from_columns(df: DataFrame, types: Sequence[str], columns: Sequence[str] | None = None, extra: Sequence[str] = ()) -> DataFrame:
@@ -41,7 +50,7 @@ def from_columns(df: DataFrame, types: Sequence[str], columns: Sequence[str] | N
 def from_rows(spark: SparkSession, rows: Iterable[tuple], types: Sequence[str]) -> DataFrame:
     data = [tuple(r) if types else (0,) for r in rows]
     fields = [T.StructField(c, T._parse_datatype_string(SQL_TYPES[t])) for c, t in zip(keys(types), types or ["Int"], strict=True)]
-    return spark.createDataFrame(data, T.StructType(fields))
+    return local(spark, data, T.StructType(fields))
 
 
 def fact_id(predicate: str, insert: int, names: Sequence[str], prob: Column) -> Column:

@@ -21,6 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: A frame of no more rows and bytes may be kept as a local relation instead of a table.
+SMALL_ROWS, SMALL_BYTES = 10_000, 8 << 20
+
+
+def looks_small(df: DataFrame) -> bool:
+    """By the optimiser's own estimate; whether it is true shows when it is kept."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+
+
+def kept(df: DataFrame, name: str = "relation", try_small: bool = False) -> tuple[DataFrame, int, bool]:
+    """(df without its lineage, its rows, whether it is small).
+
+    A small frame becomes a local relation of one partition, so joins and aggregations
+    of small frames need no exchange; at most SMALL_ROWS + 1 rows are fetched to find
+    out. Any other is written to shared storage.
+    """
+    if try_small:
+        rows = df.limit(SMALL_ROWS + 1).toArrow()
+        if rows.num_rows <= SMALL_ROWS and rows.nbytes <= SMALL_BYTES:
+            return df.sparkSession.createDataFrame(rows, df.schema).coalesce(1), rows.num_rows, True
+    out = written(df, name)
+    return out, out.count(), False
+
+
 def written(df: DataFrame, name: str = "relation") -> DataFrame:
     """df as a table in shared storage, which outlives executors."""
     spark = df.sparkSession
