@@ -3,7 +3,8 @@
 A tag is a formula in disjunctive normal form over independent facts; its probability
 is found by Shannon expansion on the most frequent fact, with absorption, a split into
 independent parts and a memo. With exclusive=True the facts of a disjunction exclude
-each other instead. A tag with one proof needs no expansion and stays in the JVM.
+each other instead. Tags whose proofs share nothing need no expansion and stay in the
+JVM.
 """
 
 from __future__ import annotations
@@ -81,7 +82,9 @@ def count(proofs: Iterable[Iterable], prob: Mapping, group: Mapping | None = Non
 
 def gradient(proofs: Iterable[Iterable], prob: Mapping, group: Mapping | None = None) -> dict:
     """The derivative of count by the probability of each fact."""
-    proofs = [frozenset(p) for p in proofs]
+    proofs = list({frozenset(p) for p in proofs})
+    if group is None and (out := _disjoint_gradient(proofs, prob)) is not None:
+        return out
     out = {}
     for f in sorted({x for p in proofs for x in p}, key=str):
         one, zero = dict(prob), dict(prob)
@@ -91,6 +94,32 @@ def gradient(proofs: Iterable[Iterable], prob: Mapping, group: Mapping | None =
     return out
 
 
+def _disjoint_gradient(proofs: list[frozenset], prob: Mapping) -> dict | None:
+    """The gradient of proofs that share no fact, from products before and after each; None if some do."""
+    if len({f for p in proofs for f in p}) != sum(map(len, proofs)):
+        return None
+    miss = []
+    for p in proofs:
+        w = 1.0
+        for f in p:
+            w *= prob[f]
+        miss.append(1 - w)
+    after = [1.0]
+    for m in reversed(miss):
+        after.append(after[-1] * m)
+    out, before = {}, 1.0
+    for k, p in enumerate(proofs):
+        rest = before * after[len(proofs) - 1 - k]
+        for f in p:
+            w = rest
+            for g in p:
+                if g != f:
+                    w *= prob[g]
+            out[f] = w
+        before *= miss[k]
+    return out
+
+
 def _unpack(tag) -> tuple[list, dict, dict]:
     proofs, prob, group = [], {}, {}
     for p in tag:
@@ -117,8 +146,11 @@ def probability(tag: Column, exclusive: bool = False) -> Column:
                 out.append(count(proofs, prob, group if exclusive else None))
         return pa.array(out, pa.float64())
 
-    single = F.when(F.size(tag) == 0, F.lit(0.0)).when(F.size(tag) == 1, weight(tag[0]))
-    return F.coalesce(single, several(F.when(F.size(tag) > 1, tag)))
+    # proofs that share nothing are independent, and so is a single one
+    names = F.flatten(F.transform(tag, lambda p: F.transform(p, lambda x: x["d" if exclusive else "f"])))
+    none = F.aggregate(tag, F.lit(1.0), lambda acc, p: acc * (1 - weight(p)))
+    apart = F.size(names) == F.size(F.array_distinct(names))
+    return F.coalesce(F.when(F.size(tag) == 1, weight(tag[0])).when(apart, 1 - none), several(F.when(~apart & (F.size(tag) > 1), tag)))
 
 
 def probability_and_gradient(tag: Column, exclusive: bool = False) -> Column:
