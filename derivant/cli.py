@@ -1,18 +1,42 @@
-"""python -m derivant.cli PROGRAM [--semiring KIND] [-k N] [--show-ast] [--show-strata] [--show-demand] [--output RELATION ...]"""
+"""python -m derivant.cli [PROGRAM] [--semiring KIND] [-k N] [--show-ast] [--show-strata] [--show-demand] [--output RELATION ...]
+
+Without a program, items are read one by one from standard input.
+"""
 
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import SparkSession
 
 from .engine import Engine
+from .errors import DatalogError
+
+
+def interactive(engine: Engine, lines: Iterable[str]) -> None:
+    """Loads each item as its last line ends with a full stop; a query prints its answer, an error changes nothing."""
+    text = ""
+    for line in lines:
+        text += line
+        if not line.rstrip().endswith("."):
+            continue
+        try:
+            before = len(engine.queries)
+            engine.load(text)
+            for q in engine.queries[before:]:
+                print(f"{q.atom.codify()}: {[tuple(r) for r in engine.query(q, prob=engine.tag.keeps_proofs).take(1000)]}")
+        except DatalogError as e:
+            print(f"{type(e).__name__}: {e}")
+        text = ""
+    if text.strip():
+        print(f"unfinished: {text.strip()}")
 
 
 def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     p = argparse.ArgumentParser(prog="derivant")
-    p.add_argument("program")
+    p.add_argument("program", nargs="?")
     p.add_argument("--semiring", default="unit", choices=["unit", "empty", "boolean", "proofs", "top-k-proofs"])
     p.add_argument("-k", type=int, default=3)
     p.add_argument("--demand", action="store_true")
@@ -22,6 +46,9 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("derivant").getOrCreate()
     engine = Engine(spark, a.semiring, a.k, a.demand)
+    if a.program is None:
+        interactive(engine, sys.stdin)
+        return
     with open(a.program, encoding="utf-8") as f:
         engine.load(f.read())
     for what in ("ast", "strata", "demand"):

@@ -78,6 +78,11 @@ class Engine:
         self.queries += program.of(syntax.Query)
         return self
 
+    @staticmethod
+    def compile(text: str) -> syntax.Program:
+        """The program, checked and with symbols resolved, without any data."""
+        return analysis.check(syntax.parse(text), Schema())
+
     def declare(self, name: str, types: Sequence[str] = ()) -> Engine:
         if name in self.schema.types:
             raise E.VariableAlreadyExisted(f"relation {name} exists")

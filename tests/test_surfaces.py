@@ -8,7 +8,7 @@ import pytest
 
 from derivant import Engine
 from derivant import errors as E
-from derivant.cli import main
+from derivant.cli import interactive, main
 from derivant.queries import oracle_sql, queries
 from derivant.streaming.updates import follow
 
@@ -34,7 +34,14 @@ def test_command_line(spark, tmp_path, capsys):
     path.write_text("decl a(Int). decl r(Int). 0.5::a(1). r(A) :- a(A). query r(X).")
     main([str(path), "--semiring", "proofs", "--show-strata", "--show-demand", "--output", "r"], spark)
     out = capsys.readouterr().out
-    assert "r(X): [(1,)]" in out and "r: [(1, 0.5)]" in out and "_dmd_r_f" in out
+    assert "r(X): [(1,)]" in out and "r: [(1, 0.5)]" in out and "_need_r_f" in out
+
+
+def test_interactive(spark, capsys):
+    interactive(Engine(spark, "proofs"), ["decl a(Int).\n", "0.5::a(1).\n", "b(X) :- a(X).\n", "query\n", "a(X).\n", "a("])
+    out = capsys.readouterr().out.splitlines()
+    assert out[0].startswith("UnknownRelation") and out[1:] == ["a(X): [(1, 0.5)]", "unfinished: a("]
+    assert len(Engine.compile("decl a(Int). a(1).").items) == 2
 
 
 def test_management(spark, rows):
