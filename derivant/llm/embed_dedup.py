@@ -1,16 +1,16 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
 A rotation of the principal components is learned on a bounded sample so that the
-signs, cut at the medians, are balanced codes; their recall is measured there. Every vector is indexed in ``TABLES``
-tables under its substring of the code and all substrings one bit away; two vectors
-whose substrings differ by two bits at most in some table therefore share a key. Of
+signs, cut at the medians, are balanced codes; their recall is measured there. Every
+vector is indexed in ``TABLES`` tables under its substring of the code and all
+substrings one bit away; two vectors whose substrings differ by two bits at most in some table therefore share a key. Of
 the keys that a pair shares one owns it (the first table, the smallest key), so each
 pair is looked at once and counted once. Pairs within ``HAMMING`` bits are reranked by
 the cosine of the original vectors in double precision.
 
 Codes travel to all keys, vectors only to keys where they have such a pair. Keys with
 many vectors are cut into pairs of chunks; what leaves a task is a count per vector
-and a spanning forest of its links, never the pairs themselves.
+and a star of each component of its links, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -183,8 +183,35 @@ def _near(hamming: int):
     return run
 
 
+def _pairs(code: np.ndarray, unit: np.ndarray, chunk: np.ndarray | None, key: np.uint64, hamming: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of one meeting that its key owns, by blocks of rows."""
+    left, right = [], []
+    for a in range(0, len(code) - 1, 256):
+        b = min(a + 256, len(code))
+        near = (np.bitwise_count(code[a:b, None] ^ code[None, a:]) <= hamming) & (unit[a:b] @ unit[a:].T >= cosine)
+        if chunk is not None:
+            near &= chunk[a:b, None] != chunk[None, a:]
+        i, j = np.nonzero(np.triu(near, 1))
+        own = owner(code[a + i], code[a + j]) == key
+        left.append(a + i[own])
+        right.append(a + j[own])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _labels(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number reachable from each of n by the pairs."""
+    label = np.arange(n)
+    while True:
+        old = label.copy()
+        np.minimum.at(label, x, old[y])
+        np.minimum.at(label, y, label[x])
+        label = label[label]
+        if (label == old).all():
+            return label
+
+
 def _rerank(width: int, hamming: int, cosine: float):
-    """(id, other, n): the links of each vector that its key owns, and a forest of them (n null)."""
+    """(id, other, n): the number of links of each vector that its key owns, and a star of each component (n null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _meetings(batches, ("key", "ca", "cb", "chunk", "id", "code", "unit")):
@@ -196,27 +223,15 @@ def _rerank(width: int, hamming: int, cosine: float):
             for s, e in zip(start.tolist(), end.tolist(), strict=True):
                 if e - s < 2:
                     continue
-                code, unit, id_, chunk = codes[s:e], units[s:e], ids[s:e], chunks[s:e]
-                links = np.zeros(e - s, np.int64)
-                label = np.arange(e - s)
-                for i in range(e - s - 1):
-                    j = np.flatnonzero(np.bitwise_count(code[i + 1 :] ^ code[i]) <= hamming) + i + 1
-                    if across[s]:
-                        j = j[chunk[j] != chunk[i]]
-                    j = j[unit[j] @ unit[i] >= cosine]
-                    j = j[owner(code[j], code[i]) == key[s]]
-                    links[i] += len(j)
-                    links[j] += 1
-                    for k in j[label[j] != label[i]].tolist():
-                        if label[k] != label[i]:
-                            a.append(int(id_[i]))
-                            b.append(int(id_[k]))
-                            n.append(None)
-                            label[label == label[k]] = label[i]
-                some = np.flatnonzero(links)
-                a += id_[some].tolist()
-                b += [None] * len(some)
-                n += links[some].tolist()
+                x, y = _pairs(codes[s:e], units[s:e], chunks[s:e] if across[s] else None, key[s], hamming, cosine)
+                if not len(x):
+                    continue
+                links = np.bincount(x, minlength=e - s) + np.bincount(y, minlength=e - s)
+                label = _labels(x, y, e - s)
+                id_, some, moved = ids[s:e], np.flatnonzero(links), np.flatnonzero(label != np.arange(e - s))
+                a += id_[moved].tolist() + id_[some].tolist()
+                b += id_[label[moved]].tolist() + [None] * len(some)
+                n += [None] * len(moved) + links[some].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["id", "other", "n"])
 
     return run
