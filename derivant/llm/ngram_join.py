@@ -12,8 +12,8 @@ histogram of set sizes:
 * heavy: pairs with a larger set scan inverted lists. A set's rarest shingles, as
   many as two sets above the threshold cannot both miss, are its list entries;
   frequencies are counted over all sets. Sets that share a list meet at the list's
-  smallest id; meetings above ``CHUNK`` sets are cut into pairs of chunks, so no task
-  has more than two chunks, and each pair of sets that is not connected yet is
+  smallest id; meetings above ``CHUNK`` sets or ``CHUNK_MEMBERS`` members are cut into
+  pairs of chunks, so a task holds no more than two chunks at once, and each pair of sets that is not connected yet is
   verified by exact intersection.
 
 Only edges of a spanning forest of the links are emitted: as many rows as sets, and
@@ -36,7 +36,8 @@ from ._graph import components
 from ._shared import blocks_for, materialize, partitions
 
 SHINGLE, PERCENT = 3, 90
-CHUNK = 512
+#: Meetings of more sets, or of more members of sets, are cut into chunks.
+CHUNK, CHUNK_MEMBERS = 512, 1 << 20
 #: Largest set size that may count as light.
 MOST_LIGHT = 64
 _U = np.uint64
@@ -304,10 +305,10 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("hub.n")) / F.lit(100 + percent))
     light_links = light.join(hub, ["key", "c"]).where((F.col("id") != F.col("hub.id")) & (need <= F.col("c"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
 
-    entries = sets.select("id", F.explode("lists").alias("key"))
+    entries = sets.select("id", "n", F.explode("lists").alias("key"))
     pivots = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
-    meets = materialize(entries.join(pivots, "key").select("pivot", "id").distinct(), "meets")
-    chunks = meets.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    meets = materialize(entries.join(pivots, "key").select("pivot", "id", "n").distinct(), "meets")
+    chunks = meets.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_MEMBERS)).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     meets = meets.join(chunks, "pivot").select("pivot", "id", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     meets = meets.select("pivot", "id", "chunk", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"))

@@ -78,3 +78,16 @@ def test_reliabilities():
     assert soft[good] > 0.9 > 0.1 > soft[bad]
     model = pii.train({good: 50, bad: 50})
     assert model[good] > 0.5 > model[bad] and pii.train({}) == {}
+
+
+def test_query_over_the_whole_table(spark, sf):
+    from derivant.llm.queries import queries
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries()["op1_pii"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        assert [r[f"n_{pii.KINDS[k]}"] for k in range(4)] == [sum(s[1] == k for s in base) for k in range(4)]
+        assert {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base} <= set(r["spans"].split(","))
