@@ -104,7 +104,7 @@ def word_groups(offsets: np.ndarray, body: np.ndarray, lower: bool = False, piec
             while a < b:
                 e = min(a + piece, b)
                 while e < b and not _SPACE[body[e]]:
-                    more = np.flatnonzero(_SPACE[body[e : e + piece]])
+                    more = np.flatnonzero(_SPACE[body[e : min(e + piece, b)]])
                     e = e + int(more[0]) if len(more) else min(e + piece, b)
                 parts.append(_hash_piece(body[a:e], np.zeros(0, np.int64), lower)[0])
                 a = e

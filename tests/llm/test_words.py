@@ -12,7 +12,7 @@ from derivant.llm import _words as W
 texts = st.lists(st.one_of(st.none(), st.text(alphabet="aB é\t\n\x0b\x0c\r\x1f😀", max_size=40)), max_size=12)
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(texts, st.integers(4, 50))
 def test_word_groups(values, piece):
     offsets, body, null = W.flat(pa.array(values, pa.string()))
@@ -47,3 +47,13 @@ def test_windows_and_shingles():
     assert at.tolist() == [2, 3, 4, 7] and text.tolist() == [2, 2, 2, 3]
     keys, text = W.shingle_sets(np.array([1, 2, 1, 2, 1, 2, 5, 6], np.uint64), np.array([0, 6, 6, 8]), 3)
     assert text.tolist() == [0, 0, 2]
+
+
+def test_a_long_text_ends_where_it_ends():
+    """The last piece of a long text has no white space; what follows belongs to the next text."""
+    offsets, body, _ = W.flat(pa.array(["x" * 9 + " " + "y" * 5, "z z", "y" * 5]))
+    found = {}
+    for i, j, h, where in W.word_groups(offsets, body, piece=4):
+        for k in range(i, j):
+            found[k] = h[where[k - i] : where[k - i + 1]].tolist()
+    assert [len(found[k]) for k in range(3)] == [2, 2, 1] and found[0][1] == found[2][0] and found[1][0] == found[1][1]
