@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
 A rotation of the principal components is learned on a bounded sample so that the
-signs, cut at the medians, are balanced codes; their recall is measured there. Every
-vector is indexed in ``TABLES`` tables under its substring of the code and all
+signs, cut at the medians, are balanced codes. Their recall is measured by comparing
+some vectors with all others, by bands of the cosine; where it is short, signs without
+centring are tried, and if these fall short too, every pair is compared. Every vector
+is indexed in ``TABLES`` tables under its substring of the code and all
 substrings one bit away; two vectors whose substrings differ by two bits at most in some table therefore share a key. Of
 the keys that a pair shares one owns it (the first table, the smallest key), so each
 pair is looked at once and counted once. Pairs within ``HAMMING`` bits are reranked by
@@ -26,7 +28,8 @@ from ._graph import components
 from ._shared import materialize, partitions
 
 SAMPLE, BITS, TABLES, ROUNDS, HAMMING, COSINE, CHUNK = 20_000, 64, 4, 50, 20, 0.9, 1024
-PROBES, ENOUGH = 500, 0.97
+#: Recall is measured with PROBES vectors; a band needs TRUSTED pairs to count without planted ones.
+PROBES, TRUSTED, ENOUGH, FLOOR = 500, 100, 0.97, 0.9
 WIDTH = BITS // TABLES
 _U = np.uint64
 
@@ -46,31 +49,81 @@ def _rotation(x: np.ndarray, seed: int) -> np.ndarray:
     return base @ r
 
 
-def fit(sample: np.ndarray, cosine: float = COSINE, hamming: int = HAMMING, seed: int = 7) -> dict:
-    """mean, projection and cut of the code bits, and the recall measured on the sample.
+def fit(sample: np.ndarray, seed: int = 7) -> list[dict[str, np.ndarray]]:
+    """mean, projection and cut of the code bits, in two ways: balanced codes of the centred vectors, and signs of the vectors as they are.
 
-    Balanced codes of the centred vectors are taken if they find what brute force finds
-    among the sample. Where most vectors are alike, their centre is one of them and
-    centring leaves noise; then the codes are signs of the vectors as they are.
+    Where vectors have a large common part, centring takes it from the cosine and leaves
+    noise; ``choose`` decides between the two by their measured recall.
     """
-    rng = np.random.Generator(np.random.PCG64(seed))
-    probes = sample[rng.permutation(len(sample))[:PROBES]]
-    near = probes @ sample.T >= cosine
-    best: dict = {}
+    models = []
     for centred in (True, False):
         mean = sample.mean(0) * centred
         projection = _rotation(sample - mean, seed)
-        cut = np.median((sample - mean) @ projection, axis=0) * centred
-        model = {"mean": mean, "projection": projection, "cut": cut}
-        a, b = encode(probes, model)[:, None], encode(sample, model)[None, :]
-        i, j = np.nonzero(near)
-        found = (np.bitwise_count(a[i, 0] ^ b[0, j]) <= hamming) & (owner(a[i, 0], b[0, j]) < np.iinfo(np.uint64).max)
-        model["recall"] = float(found.mean()) if len(found) else 1.0
-        if not best or model["recall"] > best["recall"]:
-            best = model
-        if best["recall"] >= ENOUGH:
-            break
-    return best
+        models.append({"mean": mean, "projection": projection, "cut": np.median((sample - mean) @ projection, axis=0) * centred})
+    return models
+
+
+def _edges(cosine: float) -> np.ndarray:
+    """The lower ends of the bands of cosines in which recall is measured."""
+    return cosine + (1 - cosine) * np.array([0, 0.2, 0.5, 0.8])
+
+
+def _meet(a: np.ndarray, b: np.ndarray, hamming: int) -> np.ndarray:
+    return (np.bitwise_count(a ^ b) <= hamming) & (owner(a, b) < np.iinfo(np.uint64).max)
+
+
+def _measure(ids: np.ndarray, probes: np.ndarray, models: list[dict[str, np.ndarray]], hamming: int, cosine: float):
+    """(model, band, pairs, found) of the probes against all other vectors of a batch."""
+    codes = [encode(probes, m) for m in models]
+    edges = _edges(cosine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(models), len(edges)), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                x = np.frombuffer(b"".join(b["unit"].to_pylist()), float).reshape(b.num_rows, -1)
+                near = probes @ x.T
+                i, j = np.nonzero((near >= cosine) & (ids[:, None] != np.asarray(b["id"])[None, :]))
+                band = np.searchsorted(edges, near[i, j], "right") - 1
+                for m, mine in enumerate(codes):
+                    found = _meet(mine[i], np.asarray(b[f"code{m}"]).view(_U)[j], hamming)
+                    total[0, m] += np.bincount(band, minlength=len(edges))
+                    total[1, m] += np.bincount(band[found], minlength=len(edges))
+        m, band = np.indices(total.shape[1:]).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(band), pa.array(total[0].ravel()), pa.array(total[1].ravel())], ["model", "band", "pairs", "found"])
+
+    return run
+
+
+def planted(probes: np.ndarray, sample: np.ndarray, model: dict[str, np.ndarray], hamming: int, cosine: float, seed: int = 7) -> np.ndarray:
+    """The recall, by band, of pairs of each probe and a vector made for it, turned toward another one of the sample."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    edges = _edges(cosine)
+    codes, recall = encode(probes, model), np.ones(len(edges))
+    for k, (low, high) in enumerate(zip(edges, [*edges[1:], 1.0], strict=True)):
+        aside = sample[rng.integers(len(sample), size=len(probes))]
+        aside = aside - (aside * probes).sum(1, keepdims=True) * probes
+        norm = np.sqrt((aside * aside).sum(1, keepdims=True))
+        fine = norm[:, 0] > 1e-6
+        if fine.any():
+            c = rng.uniform(low, high, (int(fine.sum()), 1))
+            made = c * probes[fine] + np.sqrt(1 - c * c) * aside[fine] / norm[fine]
+            recall[k] = _meet(codes[fine], encode(made, model), hamming).mean()
+    return recall
+
+
+def choose(counts: np.ndarray, made: np.ndarray) -> tuple[int | None, np.ndarray]:
+    """(the model to use, each one's recall in its worst band) from (model, band, pairs and found) and planted recalls.
+
+    A band counts by the pairs found in the table if there are enough of them, and by the
+    planted ones if not. Centred codes are balanced, so they are taken if they are good
+    enough; None if no model reaches ``FLOOR``.
+    """
+    pairs, found = counts[..., 0], counts[..., 1]
+    worst = np.where(pairs >= TRUSTED, found / np.maximum(pairs, 1), made).min(1)
+    best = 0 if worst[0] >= ENOUGH else int(worst.argmax())
+    return best if worst[best] >= FLOOR else None, worst
 
 
 def encode(x: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
@@ -113,12 +166,13 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
         return good, (x / norm[:, None])[fine]
 
 
-def _encode(model: dict[str, np.ndarray], width: int):
+def _encode(models: list[dict[str, np.ndarray]], width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good, x = _matrix(b["vector"], width)
             ids = b["id"].filter(pa.array(good))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(encode(x, model).view(np.int64) if len(x) else np.zeros(0, np.int64)), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "code", "unit"])
+            codes = [pa.array(encode(x, m).view(np.int64) if len(x) else np.zeros(0, np.int64)) for m in models]
+            yield pa.RecordBatch.from_arrays([ids, *codes, pa.array([r.tobytes() for r in x], pa.binary())], ["id", *(f"code{m}" for m in range(len(models))), "unit"])
 
     return run
 
@@ -260,15 +314,27 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_column: str =
     sizes = distinct.where("size(vector) > 0").groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     width = sizes[0]["d"] if sizes else 1
     # the rotation is learned on at most ``sample`` vectors, those with the smallest hashes of their ids
-    few = distinct.where(F.size("vector") == width).orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
-    _, x = _matrix(few["vector"].combine_chunks() if few.num_rows else pa.array([], pa.list_(pa.float64())), width)
+    few = distinct.where(F.size("vector") == width).orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    good, x = _matrix(few["vector"].combine_chunks() if few.num_rows else pa.array([], pa.list_(pa.float64())), width)
     if not len(x):
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    coded = materialize(distinct.mapInArrow(_encode(fit(x, cosine, hamming), width), "id long, code long, unit binary"), "codes")
-    keys = coded.select("id", "code").mapInArrow(_keys, "key long, id long, code long")
+    models = fit(x)
+    probes, ids = x[:PROBES], np.asarray(few["id"])[good][:PROBES]
+    coded = materialize(distinct.mapInArrow(_encode(models, width), "id long, code0 long, code1 long, unit binary"), "codes")
+    counts = np.zeros((len(models), len(_edges(cosine)), 2), np.int64)
+    for r in coded.mapInArrow(_measure(ids, probes, models, hamming, cosine), "model long, band long, pairs long, found long").groupBy("model", "band").agg(F.sum("pairs").alias("pairs"), F.sum("found").alias("found")).collect():
+        counts[r["model"], r["band"]] = r["pairs"], r["found"]
+    best, _ = choose(counts, np.array([planted(probes, x, m, hamming, cosine) for m in models]))
     n = partitions(spark)
-    meet = _chunked(keys, CHUNK).repartition(n, "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
-    near = materialize(meet.mapInArrow(_near(hamming), "key long, id long").distinct(), "near")
+    if best is None:
+        # vectors of one code all meet under the one key that owns their pairs
+        coded = coded.select("id", F.lit(0).cast("long").alias("code"), "unit")
+        near = coded.select(F.col("code").alias("key"), "id")
+    else:
+        coded = coded.select("id", F.col(f"code{best}").alias("code"), "unit")
+        keys = coded.select("id", "code").mapInArrow(_keys, "key long, id long, code long")
+        meet = _chunked(keys, CHUNK).repartition(n, "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
+        near = materialize(meet.mapInArrow(_near(hamming), "key long, id long").distinct(), "near")
     full = _chunked(near, CHUNK).join(coded, "id").repartition(n, "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
     links = materialize(full.mapInArrow(_rerank(width, hamming, cosine), "id long, other long, n long"), "links")
     counts = links.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))

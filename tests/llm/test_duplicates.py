@@ -199,3 +199,36 @@ def test_owner_of_a_pair():
         shared = keys(x) & keys(y)
         assert o in shared if shared else o == 2**64 - 1
     assert (embed_dedup.owner(a, b) == embed_dedup.owner(b, a)).all()
+
+
+def alike(n, width, common, pairs):
+    """n unit vectors with a mean cosine of common, of which the last ones are at cosine 0.90 to 0.95 of the first."""
+    rng = np.random.default_rng(1)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre = unit(rng.normal(size=width))
+    z = rng.normal(size=(n, width))
+    x = np.sqrt(common) * centre + np.sqrt(1 - common) * unit(z - (z @ centre)[:, None] * centre)
+    u, g, c = x[:pairs], rng.normal(size=(pairs, width)), rng.uniform(0.9, 0.95, (pairs, 1))
+    x[-pairs:] = c * u + np.sqrt(1 - c * c) * unit(g - (g * u).sum(1, keepdims=True) * u)
+    return x
+
+
+@pytest.mark.parametrize("floor, least", [(0.9, 0.97), (1.1, 1.0)])
+def test_few_links_among_vectors_with_a_common_part(spark, monkeypatch, floor, least):
+    """A probe's match with itself says nothing about recall; without codes that are good enough all pairs are compared."""
+    monkeypatch.setattr(embed_dedup, "FLOOR", floor, raising=False)
+    x = alike(2000, 64, 0.7, 60)
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    out = embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    found = np.array([r["n_links"] for r in sorted(out)])
+    assert (found <= linked.sum(1)).all() and found.sum() >= least * linked.sum()
+
+
+def test_choice_of_codes():
+    made, none = np.array([[0.5, 1, 1, 1], [0.95, 1, 1, 1]]), np.zeros((2, 4, 2), int)
+    assert embed_dedup.choose(none, made)[0] == 1 and embed_dedup.choose(none, made * 0.9)[0] is None
+    many = none + 200
+    assert embed_dedup.choose(many, made)[0] == 0
+    many[:, 0, 1] = 150
+    assert embed_dedup.choose(many, made)[0] is None
