@@ -18,6 +18,7 @@ and a star of each component of its links, never the pairs themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,9 @@ SAMPLE, BITS, TABLES, ROUNDS, HAMMING, COSINE, CHUNK = 20_000, 64, 4, 50, 20, 0.
 #: Recall is measured with PROBES vectors; a band needs TRUSTED pairs to count without planted ones.
 PROBES, TRUSTED, ENOUGH, FLOOR = 500, 100, 0.97, 0.9
 WIDTH = BITS // TABLES
+#: Of a length that is not the most frequent, up to so many vectors are compared without codes.
+SMALL = 10_000
+_LINKS = "id long, other long, n long"
 _U = np.uint64
 
 
@@ -177,6 +181,17 @@ def _encode(models: list[dict[str, np.ndarray]], width: int):
     return run
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, code, unit): the length as key and no code."""
+    for b in batches:
+        size = np.array([len(v) for v in b["vector"].to_pylist()], np.int64)
+        for d in np.unique(size):
+            part = b.filter(pa.array(size == d))
+            good, x = _matrix(part["vector"], int(d))
+            n = len(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d)), part["id"].filter(pa.array(good)), pa.array(np.zeros(n, np.int64)), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "id", "code", "unit"])
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, codes = np.asarray(b["id"]), np.asarray(b["code"]).view(_U)
@@ -237,8 +252,8 @@ def _near(hamming: int):
     return run
 
 
-def _pairs(code: np.ndarray, unit: np.ndarray, chunk: np.ndarray | None, key: np.uint64, hamming: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """The linked pairs of one meeting that its key owns, by blocks of rows."""
+def _pairs(code: np.ndarray, unit: np.ndarray, chunk: np.ndarray | None, key: np.uint64 | None, hamming: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of one meeting that its key owns (without a key, all of them), by blocks of rows."""
     left, right = [], []
     for a in range(0, len(code) - 1, 256):
         b = min(a + 256, len(code))
@@ -246,7 +261,7 @@ def _pairs(code: np.ndarray, unit: np.ndarray, chunk: np.ndarray | None, key: np
         if chunk is not None:
             near &= chunk[a:b, None] != chunk[None, a:]
         i, j = np.nonzero(np.triu(near, 1))
-        own = owner(code[a + i], code[a + j]) == key
+        own = np.ones(len(i), bool) if key is None else owner(code[a + i], code[a + j]) == key
         left.append(a + i[own])
         right.append(a + j[own])
     return np.concatenate(left), np.concatenate(right)
@@ -264,20 +279,24 @@ def _labels(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def _rerank(width: int, hamming: int, cosine: float):
-    """(id, other, n): the number of links of each vector that its key owns, and a star of each component (n null)."""
+def _rerank(hamming: int, cosine: float, whole: bool = False):
+    """(id, other, n): the number of links of each vector that its key owns, and a star of each component (n null).
+
+    If the meetings are whole, each pair meets at one key only, which owns it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _meetings(batches, ("key", "ca", "cb", "chunk", "id", "code", "unit")):
             start, end = _runs(t)
             key, codes, chunks, ids = np.asarray(t["key"]).view(_U), np.asarray(t["code"]).view(_U), np.asarray(t["chunk"]), np.asarray(t["id"])
             across = np.asarray(t["ca"]) != np.asarray(t["cb"])
-            units = np.frombuffer(b"".join(t["unit"].to_pylist()), float).reshape(-1, width)
+            unit = t["unit"].to_pylist()
             a, b, n = [], [], []
             for s, e in zip(start.tolist(), end.tolist(), strict=True):
                 if e - s < 2:
                     continue
-                x, y = _pairs(codes[s:e], units[s:e], chunks[s:e] if across[s] else None, key[s], hamming, cosine)
+                units = np.frombuffer(b"".join(unit[s:e]), float).reshape(e - s, -1)
+                x, y = _pairs(codes[s:e], units, chunks[s:e] if across[s] else None, None if whole else key[s], hamming, cosine)
                 if not len(x):
                     continue
                 links = np.bincount(x, minlength=e - s) + np.bincount(y, minlength=e - s)
@@ -300,43 +319,60 @@ def _chunked(rows: DataFrame, chunk_rows: int) -> DataFrame:
     return rows.withColumn("ca", F.least("chunk", "other")).withColumn("cb", F.greatest("chunk", "other")).drop("chunks", "other")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector_column: str = "embedding", hamming: int = HAMMING, sample: int = SAMPLE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row of vectors.
+def _met(rows: DataFrame) -> DataFrame:
+    """rows(key, id, ..) dealt by meeting, each meeting's rows next to each other."""
+    return _chunked(rows, CHUNK).repartition(partitions(rows.sparkSession), "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
 
-    Vectors that are null, zero, hold a null or non-finite number, or are not as long as
-    most are link with nothing. Rows that repeat a vec_id are one vector (the smallest
-    content counts) and report the same; a null vec_id links with nothing; an empty
-    table gives no rows; further columns are ignored.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
-    distinct = rows.where("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"))
-    sizes = distinct.where("size(vector) > 0").groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    width = sizes[0]["d"] if sizes else 1
+
+def _all_links(vectors: DataFrame, hamming: int, cosine: float) -> DataFrame:
+    """The links among all vectors(id, vector) of equal length: the length is the key where they meet."""
+    units = vectors.select("id", "vector").mapInArrow(_units, "key long, id long, code long, unit binary")
+    return _met(materialize(units, "units")).mapInArrow(_rerank(hamming, cosine, True), _LINKS)
+
+
+def _coded_links(vectors: DataFrame, width: int, cosine: float, hamming: int, sample: int) -> DataFrame:
+    """The links among vectors(id, vector) of one length."""
     # the rotation is learned on at most ``sample`` vectors, those with the smallest hashes of their ids
-    few = distinct.where(F.size("vector") == width).orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    few = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     good, x = _matrix(few["vector"].combine_chunks() if few.num_rows else pa.array([], pa.list_(pa.float64())), width)
     if not len(x):
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return _all_links(vectors, hamming, cosine)
     models = fit(x)
     probes, ids = x[:PROBES], np.asarray(few["id"])[good][:PROBES]
-    coded = materialize(distinct.mapInArrow(_encode(models, width), "id long, code0 long, code1 long, unit binary"), "codes")
+    coded = materialize(vectors.mapInArrow(_encode(models, width), "id long, code0 long, code1 long, unit binary"), "codes")
     counts = np.zeros((len(models), len(_edges(cosine)), 2), np.int64)
     for r in coded.mapInArrow(_measure(ids, probes, models, hamming, cosine), "model long, band long, pairs long, found long").groupBy("model", "band").agg(F.sum("pairs").alias("pairs"), F.sum("found").alias("found")).collect():
         counts[r["model"], r["band"]] = r["pairs"], r["found"]
     best, _ = choose(counts, np.array([planted(probes, x, m, hamming, cosine) for m in models]))
-    n = partitions(spark)
     if best is None:
-        # vectors of one code all meet under the one key that owns their pairs
-        coded = coded.select("id", F.lit(0).cast("long").alias("code"), "unit")
-        near = coded.select(F.col("code").alias("key"), "id")
-    else:
-        coded = coded.select("id", F.col(f"code{best}").alias("code"), "unit")
-        keys = coded.select("id", "code").mapInArrow(_keys, "key long, id long, code long")
-        meet = _chunked(keys, CHUNK).repartition(n, "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
-        near = materialize(meet.mapInArrow(_near(hamming), "key long, id long").distinct(), "near")
-    full = _chunked(near, CHUNK).join(coded, "id").repartition(n, "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
-    links = materialize(full.mapInArrow(_rerank(width, hamming, cosine), "id long, other long, n long"), "links")
+        return _all_links(vectors, hamming, cosine)
+    coded = coded.select("id", F.col(f"code{best}").alias("code"), "unit")
+    keys = coded.select("id", "code").mapInArrow(_keys, "key long, id long, code long")
+    near = materialize(_met(keys).mapInArrow(_near(hamming), "key long, id long").distinct(), "near")
+    full = _chunked(near, CHUNK).join(coded, "id").repartition(partitions(vectors.sparkSession), "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
+    return full.mapInArrow(_rerank(hamming, cosine), _LINKS)
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector_column: str = "embedding", hamming: int = HAMMING, sample: int = SAMPLE) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each row of vectors.
+
+    Vectors that are null, empty, zero, or hold a null or non-finite number link with
+    nothing; others link with vectors of their own length. The most frequent length and
+    all lengths of more than ``SMALL`` vectors have codes of their own; of each other
+    length all pairs are compared. Rows that repeat a vec_id are one vector (the smallest
+    content counts) and report the same; a null vec_id links with nothing; an empty
+    table gives no rows; further columns are ignored.
+    """
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
+    distinct = rows.where("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"))
+    sizes = distinct.where("size(vector) > 0").groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"))
+    widths = [r["d"] for r in sizes.orderBy(F.desc("n"), "d").limit(1).collect()]
+    widths += [r["d"] for r in sizes.where(F.col("n") > SMALL).orderBy("d").collect() if r["d"] not in widths]
+    if not widths:
+        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    parts = [_coded_links(distinct.where(F.size("vector") == d), d, cosine, hamming, sample) for d in widths]
+    rest = distinct.where((F.size("vector") > 0) & ~F.size("vector").isin(widths))
+    links = materialize(reduce(DataFrame.unionByName, [*parts, _all_links(rest, hamming, cosine)]), "links")
     counts = links.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
     found = components(links.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     out = rows.select("id").join(counts, "id", "left").join(found.withColumnRenamed("node", "id"), "id", "left")

@@ -232,3 +232,20 @@ def test_choice_of_codes():
     assert embed_dedup.choose(many, made)[0] == 0
     many[:, 0, 1] = 150
     assert embed_dedup.choose(many, made)[0] is None
+
+
+@pytest.mark.parametrize("small", [10, 10_000])
+def test_vectors_of_every_length(spark, monkeypatch, small):
+    monkeypatch.setattr(embed_dedup, "SMALL", small, raising=False)
+    monkeypatch.setattr(embed_dedup, "CHUNK", 16)
+    rng = np.random.default_rng(4)
+    vectors = [b + rng.normal(size=d) * 0.02 for d, groups in ((32, 20), (24, 18), (8, 3), (1, 1)) for b in rng.normal(size=(groups, d)) + 1 for _ in range(3)]
+    data = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, []), (901, [0.0] * 24), (902, [float("nan")] * 24), (903, None)]
+    good = [i for i, v in data[: len(vectors)]]
+    want = {i: 0 for i, _ in data}
+    for i in good:
+        for j in good:
+            a, b = vectors[i], vectors[j]
+            want[i] += i != j and len(a) == len(b) and bool(a @ b >= 0.9 * np.sqrt((a @ a) * (b @ b)))
+    out = embed_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    assert {r["vec_id"]: r["n_links"] for r in out.collect()} == want
