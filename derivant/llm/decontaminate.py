@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize
@@ -45,12 +45,16 @@ def _texts(ws: Column, n: int) -> Column:
 
 
 def _items(benchmark: DataFrame, n: int, id_column: str, text_column: str) -> DataFrame:
-    """(item_id, width, n_item, shingle, h): an item with fewer words is one shingle of its own width."""
+    """(item_id, version, width, n_item, shingle, h): an item with fewer words is one shingle of its own width.
+
+    Each distinct set of shingles of an item_id is a version of its own.
+    """
     base = benchmark.select(F.col(id_column).cast("long").alias("item_id"), words(F.col(text_column).cast("string")).alias("ws")).where("size(ws) > 0")
     width = F.least(F.size("ws"), F.lit(n))
     cut = F.transform(F.sequence(F.lit(0), F.size("ws") - width), lambda i: F.struct(F.array_join(F.slice("ws", i + 1, width), " ").alias("shingle"), F.coalesce(*[F.when(width == k, _hash_at(F.col("ws"), i, k)) for k in range(1, n + 1)]).alias("h")))
-    base = base.select("item_id", width.alias("width"), F.array_distinct(cut).alias("s")).where("item_id is not null").dropDuplicates()
-    return base.select("item_id", "width", F.size("s").alias("n_item"), F.explode("s").alias("s")).select("item_id", "width", "n_item", "s.shingle", "s.h")
+    base = base.select("item_id", width.alias("width"), F.array_sort(F.array_distinct(cut)).alias("s")).where("item_id is not null").dropDuplicates()
+    base = base.withColumn("version", F.row_number().over(Window.partitionBy("item_id").orderBy("width", "s")))
+    return base.select("item_id", "version", "width", F.size("s").alias("n_item"), F.explode("s").alias("s")).select("item_id", "version", "width", "n_item", "s.shingle", "s.h")
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -58,7 +62,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold:
 
     A null or empty text on either side contains nothing and is contained in nothing;
     rows that repeat a doc_id or item_id are one document or several versions of one
-    item (the best version counts); a null id is never reported; an empty table on
+    item (each is searched by itself, and the best one counts, of equal ones the longest); a null id is never reported; an empty table on
     either side gives no rows; further columns are ignored.
     """
     items = _items(benchmark, n, item_id, item_text)
@@ -66,8 +70,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold:
     top = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_item").cast("double"))))
     k = top - F.ceil(F.lit(threshold) * top - F.lit(1e-9)) + 1
     items = items.withColumn("k", k.cast("int"))
-    sketch = items.groupBy("item_id", "width", "n_item", "k").agg(F.sort_array(F.collect_set(F.struct(F.xxhash64("h").alias("order"), F.col("h")))).alias("s"))
-    sketch = sketch.select("item_id", "width", "n_item", F.explode(F.slice(F.col("s"), F.lit(1), F.col("k"))).alias("s")).select("width", F.col("s.h").alias("h"), "item_id", "n_item")
+    sketch = items.groupBy("item_id", "version", "width", "n_item", "k").agg(F.sort_array(F.collect_set(F.struct(F.xxhash64("h").alias("order"), F.col("h")))).alias("s"))
+    sketch = sketch.select("item_id", "version", "width", "n_item", F.explode(F.slice(F.col("s"), F.lit(1), F.col("k"))).alias("s")).select("width", F.col("s.h").alias("h"), "item_id", "version", "n_item")
     facts = sketch.agg(F.collect_set("width").alias("widths"), F.count("*").alias("rows")).first()
     widths = sorted(facts["widths"])
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -78,20 +82,20 @@ def contained(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold:
     for w in widths:
         part = split.select("doc_id", F.lit(w).alias("width"), F.explode(F.array_distinct(_hashes(F.col("ws"), w))).alias("h"))
         probe = part if probe is None else probe.unionByName(part)
-    keys = sketch.select("width", "h", "item_id", "n_item")
+    keys = sketch.select("width", "h", "item_id", "version", "n_item")
     if facts["rows"] <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    candidates = materialize(probe.join(keys, ["width", "h"]).select("doc_id", "item_id", "width", "n_item").distinct(), "candidates")
+    candidates = materialize(probe.join(keys, ["width", "h"]).select("doc_id", "item_id", "version", "width", "n_item").distinct(), "candidates")
     texts = base.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("ws"))
     exact = None
     for w in widths:
         part = texts.select("doc_id", F.lit(w).alias("width"), F.explode(F.array_distinct(_texts(F.col("ws"), w))).alias("shingle"))
         exact = part if exact is None else exact.unionByName(part)
     exact = exact.distinct()
-    wanted = candidates.join(items.select("item_id", "width", "n_item", "shingle"), ["item_id", "width", "n_item"])
-    shared = exact.join(wanted, ["doc_id", "width", "shingle"]).groupBy("doc_id", "item_id", "n_item").agg(F.countDistinct("shingle").alias("n_shared"))
+    wanted = candidates.join(items.select("item_id", "version", "width", "n_item", "shingle"), ["item_id", "version", "width", "n_item"])
+    shared = exact.join(wanted, ["doc_id", "width", "shingle"]).groupBy("doc_id", "item_id", "version", "n_item").agg(F.countDistinct("shingle").alias("n_shared"))
     good = shared.where(F.col("n_shared") * 1_000_000 >= F.col("n_item") * math.ceil(threshold * 1_000_000 - 1e-6))
-    return good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_item", "n_shared"), F.col("n_shared") / F.col("n_item")).alias("b")).select("doc_id", "item_id", "b.n_item", "b.n_shared")
+    return good.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("part"), "n_item", "n_shared")).alias("b")).select("doc_id", "item_id", "b.n_item", "b.n_shared")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -80,6 +80,16 @@ def test_contained(spark):
     assert decontaminate.clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_versions_of_an_item(spark):
+    """A document holds an item if it holds one of its versions, not parts of several."""
+    text = lambda i, v: " ".join(f"i{i}v{v}w{k}" for k in range(12))
+    items = [(i, text(i, v)) for i in range(60) for v in (0, 1)] + [(i, text(i, 0)) for i in range(60)]
+    docs = [(i, "x " + text(i, i % 2)) for i in range(60)]
+    docs += [(100 + i, " ".join(text(i, 0).split()[:8]) + " y " + " ".join(text(i, 1).split()[4:])) for i in range(60)]
+    found = decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert spark_rows(found.select("doc_id", "item_id", "n_item", "n_shared")) == sorted(((i, i, 8, 8) for i in range(60)), key=repr)
+
+
 def test_contained_by_shuffle(spark, sf, monkeypatch):
     d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     expected = spark_rows(decontaminate.contained(d, b))
