@@ -25,6 +25,7 @@ BITS = 14
 MOST_LANGUAGES = 1000
 ROUNDS, REFINE, SMOOTH, PIECE = 12, 4, 0.5, 1 << 18
 UNKNOWN = "und"
+_MIX = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
@@ -96,19 +97,26 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang")
 
 
 def _em(like: np.ndarray, text: np.ndarray, cut: np.ndarray, share: np.ndarray, rounds: int) -> np.ndarray:
-    """The proportions of each text; like has the words' likelihoods, every text has words."""
+    """The proportions of each text, which settle text by text; like has the words' likelihoods, every text has words."""
     n = np.diff(cut)[:, None]
+    settled = np.zeros(len(n), bool)
     for _ in range(rounds):
         part = like * share[text]
         part /= part.sum(1, keepdims=True)
-        old, share = share, np.add.reduceat(part, cut[:-1]) / n
-        if np.abs(share - old).max() < 2e-3:
+        old, new = share, np.add.reduceat(part, cut[:-1]) / n
+        share = np.where(settled[:, None], old, new)
+        settled |= np.abs(share - old).max(1) < 2e-3
+        if settled.all():
             break
     return share
 
 
-def infer(log: np.ndarray, text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(best language, its proportion) of each text from the log likelihoods of its words."""
+def infer(log: np.ndarray, text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best language, its proportion, the chosen set's proportions) of each text from the log likelihoods of its words.
+
+    No text's result depends on the texts beside it: all nested sets are tried, up to the
+    size from which a text's penalty alone outweighs what it has.
+    """
     d, n_lang = len(cut) - 1, log.shape[1]
     like = np.exp(log - log.max(1, keepdims=True)) + np.float32(1e-12)
     share = _em(like, text, cut, np.full((d, n_lang), 1 / n_lang, np.float32), ROUNDS)
@@ -116,6 +124,8 @@ def infer(log: np.ndarray, text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarra
     order = np.argsort(-share, 1, kind="stable")
     second = share[np.arange(d), order[:, 1]] if n_lang > 1 else np.zeros(d)
     score = np.ones(d)
+    sets = np.zeros((d, n_lang), np.float32)
+    sets[np.arange(d), best] = 1
     mixed = np.flatnonzero(second > 0.02)
     if len(mixed):
         pick = np.isin(text, mixed)
@@ -123,28 +133,33 @@ def infer(log: np.ndarray, text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarra
         words = np.diff(cut)[mixed]
         at = np.concatenate([[0], np.cumsum(words)])
         value, chosen = np.full(len(mixed), -np.inf), np.zeros((len(mixed), n_lang), np.float32)
+        penalty = np.log(np.maximum(words, 2))
         for k in range(1, n_lang + 1):
+            # a word's likelihood is about 1 at most, so no set of k has more than this
+            if not (value <= words * 1e-5 - (k - 1) * penalty).any():
+                break
             inside = np.zeros((len(mixed), n_lang), np.float32)
             np.put_along_axis(inside, order[mixed, :k], 1, 1)
             s = share[mixed] * inside + inside * np.float32(1e-6)
             s /= s.sum(1, keepdims=True)
             if k > 1:
                 s = _em(sub, of, at, s, REFINE)
-            total = np.add.reduceat(np.log((sub * s[of]).sum(1)), at[:-1]) - (k - 1) * np.log(np.maximum(words, 2))
+            total = np.add.reduceat(np.log((sub * s[of]).sum(1)), at[:-1]) - (k - 1) * penalty
             better = total > value
             value[better], chosen[better] = total[better], s[better]
-            if k > 1 and not better.any():
-                break
         best[mixed] = chosen.argmax(1)
         score[mixed] = chosen.max(1)
-    return best, np.clip(score, 0, 1)
+        sets[mixed] = chosen
+    return best, np.clip(score, 0, 1), sets
 
 
-def predict_batch(column: pa.Array, langs: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray]:
+def predict_batch(column: pa.Array, langs: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray, list[list[tuple[str, float]]]]:
+    """The language, score and chosen set, with the largest proportion first, of each text."""
     offsets, body, _ = W.flat(column)
     names, scores = [UNKNOWN] * (len(offsets) - 1), np.zeros(len(offsets) - 1)
+    mixes: list[list[tuple[str, float]]] = [[] for _ in names]
     if not langs:
-        return names, scores
+        return names, scores, mixes
     padded = np.vstack([table, np.zeros((1, len(langs)), np.float32)])
     for i, j, codes, starts, cut in _trigrams(offsets, body):
         letters = np.diff(np.searchsorted(np.flatnonzero(_LETTER[body[offsets[i] : offsets[j]]]), offsets[i : j + 1] - offsets[i])) > 0
@@ -157,30 +172,39 @@ def predict_batch(column: pa.Array, langs: list[str], table: np.ndarray) -> tupl
         log = np.add.reduceat(padded[codes], starts)
         words = np.diff(cut)
         some = np.flatnonzero(words > 0)
-        best, score = infer(log, np.repeat(np.arange(len(some)), words[some]), np.concatenate([[0], np.cumsum(words[some])]))
-        for k, x, s in zip(some.tolist(), best.tolist(), score.tolist(), strict=True):
+        best, score, sets = infer(log, np.repeat(np.arange(len(some)), words[some]), np.concatenate([[0], np.cumsum(words[some])]))
+        for k, x, s, mix in zip(some.tolist(), best.tolist(), score.tolist(), sets, strict=True):
             if letters[k]:
                 names[i + k], scores[i + k] = langs[x], s
-    return names, scores
+                inside = np.flatnonzero(mix)
+                mixes[i + k] = [(langs[m], float(mix[m])) for m in inside[np.argsort(-mix[inside], kind="stable")]]
+    return names, scores, mixes
 
 
 def _predict(langs: list[str], table: np.ndarray):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = predict_batch(b["text"], langs, table)
-            yield pa.RecordBatch.from_arrays([b["id"], b["held_out"], pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
+            names, scores, mixes = predict_batch(b["text"], langs, table)
+            mix = pa.array([[{"lang": x, "share": p} for x, p in m] for m in mixes], _MIX)
+            yield pa.RecordBatch.from_arrays([b["id"], b["held_out"], pa.array(names, pa.string()), pa.array(scores), mix], ["doc_id", "held_out", "lang_pred", "score", "languages"])
 
     return predict
 
 
-def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row of docs.
+def mixtures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, languages) of each row of docs; languages is the chosen set.
 
-    Texts that are null or have no letter are ``und`` with score 0, as is every text if
-    there is nothing to learn from; null languages teach nothing; a null id is held
-    out; repeated rows are predicted one by one; ties go to the first language by code
-    point; an empty table gives no rows; further columns are ignored.
+    It lists (lang, share), the largest share first. Texts that are null or have no
+    letter are ``und`` with score 0 and no languages, as is every text if there is nothing
+    to learn from; null languages teach nothing; a null id is held out; repeated rows are
+    predicted one by one; ties go to the first language by code point; an empty table
+    gives no rows; further columns are ignored.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang")).withColumn("held_out", held_out("id"))
     langs, table = train(rows.where("not held_out"))
-    return rows.select("id", "held_out", "text").mapInArrow(_predict(langs, table), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.select("id", "held_out", "text").mapInArrow(_predict(langs, table), "doc_id long, held_out boolean, lang_pred string, score double, languages array<struct<lang: string, share: double>>")
+
+
+def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of each row of docs: ``mixtures`` without the set."""
+    return mixtures(docs, id_column, text_column, lang_column).drop("languages")

@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,18 @@ def test_mixture_and_edges(spark):
     assert by[104]["lang_pred"] in ("aa", "zz") and by[None]["held_out"]
     nothing = langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"} and langid.identify(docs.limit(0)).count() == 0
+
+
+def test_a_text_does_not_depend_on_the_texts_beside_it(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    langs, table = langid.train(docs)
+    random.seed(3)
+    by = {x: " ".join(r["text"] or "" for r in docs.where(F.col("lang") == x).limit(20).collect()).split() for x in langs}
+    texts = [" ".join(random.choice(by[x]) for x in random.choices(langs, [random.random() ** 2 for _ in langs], k=random.randrange(4, 200))) for _ in range(300)]
+    together = langid.predict_batch(pa.array(texts), langs, table)
+    alone = [langid.predict_batch(pa.array([t]), langs, table) for t in texts]
+    assert together[0] == [a[0][0] for a in alone]
+    assert np.abs(together[1] - np.array([a[1][0] for a in alone])).max() < 1e-6
+    assert [[x for x, _ in m] for m in together[2]] == [[x for x, _ in a[2][0]] for a in alone] and max(map(len, together[2])) > 1
+    for name, score, mix in zip(*together, strict=True):
+        assert mix[0] == (name, pytest.approx(score)) and sum(p for _, p in mix) == pytest.approx(1, abs=1e-3)
