@@ -30,14 +30,15 @@ KINDS = ("email", "ip", "card", "phone", "local_phone", "ssn", "spelled_email",
 BASE = 4
 
 # The lookbehinds change nothing but the time: a match never begins inside a run of digits.
+# Possessive runs are of any length and read once. A secret goes on over dots inside it.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?(?:\(at\)|\[at\])[\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:\.|\(dot\)|\[dot\])[\x20]?[A-Za-z0-9-]{2,63}){1,4}", re.I)
-_SECRET = re.compile(r"""\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\x20]{0,2}[=:][\x20]{0,2}["']?([A-Za-z0-9+/_=-]{16,256})["']?""", re.I)
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[\x20]?(?:\(at\)|\[at\])[\x20]?[A-Za-z0-9-]++(?:[\x20]?(?:\.|\(dot\)|\[dot\])[\x20]?[A-Za-z0-9-]{2,}+)++", re.I)
+_SECRET = re.compile(r"""\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\x20]{0,2}[=:][\x20]{0,2}["']?((?=[A-Za-z0-9+/_=.-]{16})[A-Za-z0-9+/_=-]++(?:\.++[A-Za-z0-9+/_=-]++)*+)["']?""", re.I)
 _LOCAL_PART = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 DOMAINS = frozenset("com org net edu gov mil int info io ai co biz de fr es it uk us eu ch at be nl pl pt se no dk fi ru jp cn in br mx ca au nz".split())
@@ -104,7 +105,7 @@ def _loose_spans(text: str) -> list[tuple[int, int, int]]:
     if "at)" in lower or "at]" in lower:
         found += [(6, *m.span()) for m in _SPELLED.finditer(text)]
     if any(x in lower for x in ("token", "secret", "passw", "key")):
-        found += [(7, *m.span(1)) for m in _SECRET.finditer(text)]
+        found += [(7, *m.span(1)) for m in _SECRET.finditer(text) if m.end(1) - m.start(1) >= 16]
     return found
 
 
@@ -152,14 +153,19 @@ def _features(pattern: int) -> tuple[int, tuple[int, ...], int]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
-    """(kind, start, end, vote pattern): base matches, and looser ones that overlap none of them."""
+    """(kind, start, end, vote pattern): base matches, and looser ones that overlap none of them.
+
+    A secret stays whole also where a base match lies in it.
+    """
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
+    loose: list[tuple[int, int]] = []
     out = list(base)
     for kind, a, b in sorted(_loose_spans(text), key=lambda s: (s[1], s[0])):
-        if not any(x < b and a < y for x, y in taken):
+        if not any(x < b and a < y for x, y in (loose if kind == 7 else taken)):
             out.append((kind, a, b))
             taken.append((a, b))
+            loose.append((a, b))
     return sorted(((k, a, b, _pattern(k, votes(text, k, a, b), b - a)) for k, a, b in out), key=lambda s: (s[1], s[0]))
 
 

@@ -91,3 +91,21 @@ def test_query_over_the_whole_table(spark, sf):
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
         assert [r[f"n_{pii.KINDS[k]}"] for k in range(4)] == [sum(s[1] == k for s in base) for k in range(4)]
         assert {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base} <= set(r["spans"].split(","))
+
+
+def test_loose_spans_of_any_length(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    card = "4111111111111111"
+    for value in ("Ab3" * 200, jwt, "a1.b2.c3.d4.e5.f6", "Zz9" * 100 + "/" + card + "/" + "Zz9" * 20):
+        text = f'the token = "{value}", and more'
+        assert (7, 13, 13 + len(value)) in [c[:3] for c in pii.candidates(text)]
+        assert (7, 7, 7 + len(value)) in [c[:3] for c in pii.candidates(f"token: {value}. Next")]
+    assert [c for c in pii.candidates("token: abcdefghijklmno. short") if c[0] == 7] == []
+    assert [c[:3] for c in pii.candidates("token:secret = 0123456789abcdef")] == [(7, 15, 31)]
+    name, domain = "n" * 300, ".".join(["d" * 70] * 6) + ".com"
+    assert [c[:3] for c in pii.candidates(f"mail {name} (at) {domain}")] == [(6, 5, 5 + 300 + 6 + len(domain))]
+    assert pii.candidates("n" * 500_000 + "(at) " * 10_000 + "key=" + "." * 500_000) == []
+    long = "Ab3" * 200
+    docs = [(i, f"call api_key={long} now") for i in range(20)]
+    out = pii.redact(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["text"] for r in out} == {"call api_key=<SECRET> now"}
