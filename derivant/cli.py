@@ -9,12 +9,20 @@ import argparse
 import sys
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .engine import Engine
 from .errors import DatalogError
 
 
+def _show(name: str, df: DataFrame) -> None:
+    """Prints all rows as one list; only one partition at a time is in memory."""
+    print(f"{name}: [", end="")
+    for i, r in enumerate(df.toLocalIterator()):
+        print(", " * (i > 0) + repr(tuple(r)), end="")
+    print("]")
+
+
 def interactive(engine: Engine, lines: Iterable[str]) -> None:
     """Loads each item as its last line ends with a full stop; a query prints its answer, an error changes nothing."""
     text = ""
@@ -26,7 +34,7 @@ def interactive(engine: Engine, lines: Iterable[str]) -> None:
             before = len(engine.queries)
             engine.load(text)
             for q in engine.queries[before:]:
-                print(f"{q.atom.codify()}: {[tuple(r) for r in engine.query(q, prob=engine.tag.keeps_proofs).take(1000)]}")
+                _show(q.atom.codify(), engine.query(q, prob=engine.tag.keeps_proofs))
         except DatalogError as e:
             print(f"{type(e).__name__}: {e}")
         text = ""
@@ -55,11 +63,11 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
         if getattr(a, f"show_{what}"):
             print(engine.explain(what))
     for q, df in engine.answers().items():
-        print(f"{q}: {[tuple(r) for r in df.take(1000)]}")
+        _show(q, df)
     if a.output is not None or not engine.queries:
         for name in a.output or engine.schema.types:
             df = engine.with_prob(name) if engine.tag.keeps_proofs else engine.relation(name)
-            print(f"{name}: {[tuple(r) for r in df.take(1000)]}")
+            _show(name, df)
 
 
 if __name__ == "__main__":

@@ -44,6 +44,18 @@ def test_interactive(spark, capsys):
     assert len(Engine.compile("decl a(Int). a(1).").items) == 2
 
 
+def test_every_tuple_is_printed(spark, tmp_path, capsys):
+    facts = "".join(f"a({i}). " for i in range(1500))
+    path = tmp_path / "p.dl"
+    path.write_text(f"decl a(Int). {facts} query a(X).")
+    main([str(path), "--output", "a"], spark)
+    interactive(Engine(spark), [f"decl a(Int). {facts}\n", "query a(X).\n"])
+    lines = capsys.readouterr().out.splitlines()
+    assert [x.split(":")[0] for x in lines] == ["a(X)", "a", "a(X)"]
+    for line in lines:
+        assert sorted(ast.literal_eval(line.split(": ", 1)[1])) == [(i,) for i in range(1500)]
+
+
 def test_management(spark, rows):
     engine = Engine(spark).load("decl a(Int). decl b(Int). a(1). b(A) :- a(A).")
     with pytest.raises(E.VariableAlreadyExisted):
