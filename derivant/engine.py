@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,11 @@ from .plans.analysis import Schema
 from .plans.compile import literal
 from .plans.fixpoint import Evaluation, Round
 from .sources import relations as rel
+from .sources.storage import Parts, Table, stored
 
-PROB = "prob"
+PROB, FACT, GROUP = "prob", "fact", "group"
+#: Inserts into a relation that rules derive, too, are kept apart until there are so many.
+MOST_INSERTS = 8
 
 
 class Engine:
@@ -26,7 +30,9 @@ class Engine:
     tag is "unit" (plain sets), "boolean", "proofs" or "top-k-proofs". Relations are
     DataFrames with columns c0, c1, ...; a relation without columns has none but one
     row. run() is incremental: tuples and rules added since the last run are taken in
-    as changes. With demand=True, query() evaluates only what the query needs.
+    as changes, and a run after the first writes what it adds to shared storage. With
+    demand=True, query() evaluates only what the query needs. close() deletes what was
+    written; frames that were read from the engine are not readable any more then.
     """
 
     def __init__(self, spark: SparkSession, tag: str = "unit", k: int = 3, demand: bool = False, max_iterations: int = 10_000) -> None:
@@ -39,6 +45,9 @@ class Engine:
         self._pending: dict[str, list[DataFrame]] = {}
         self._fresh: set[int] = set()
         self._full: dict[str, DataFrame] = {}
+        self._facts: dict[str, list[DataFrame]] = {}
+        self._parts: dict[str, Parts] = {}
+        self._dead: list[Table] = []
         self._inserts = self._next_rule = 0
         self._items: list[syntax.Item] = []
 
@@ -95,8 +104,10 @@ class Engine:
         for r in self.rules.values():
             if name == r.head.predicate or any(a.predicate == name for a in [*r.atoms(), *r.negated()]):
                 raise E.CompileError(f"relation {name} is used by: {r.codify()}")
-        for d in (self.schema.types, self._base, self._pending, self._full):
+        for d in (self.schema.types, self._base, self._pending, self._full, self._facts):
             d.pop(name, None)
+        if name in self._parts:
+            self._retire([self._parts.pop(name)])
         return self
 
     def add_rule(self, text: str) -> int:
@@ -158,6 +169,7 @@ class Engine:
         fact = rel.fact_id(name, self._inserts, names, p)
         exclusive = F.xxhash64(F.lit(name), F.lit(self._inserts), *[F.col(f"_x{i + 1}") for i in range(len(group))]) if group else fact
         tag = self.tag.base(fact, exclusive, p)
+        self._remember(name, frame.select(*names, fact.alias(FACT), exclusive.alias(GROUP), p.alias(PROB)))
         return self._add(name, frame.select(*names, *([tag.alias(TAG)] if tag is not None else [])))
 
     def _insert_literals(self, name: str, rows: Sequence[tuple]) -> None:
@@ -171,8 +183,26 @@ class Engine:
         fact = rel.fact_id(name, self._inserts, [*names], F.struct("_p", "_g"))
         exclusive = F.when(F.col("_g").isNull(), fact).otherwise(F.xxhash64(F.lit("group"), F.lit(self._inserts), F.col("_g")))
         tag = self.tag.base(fact, exclusive, F.col("_p"))
+        self._remember(name, df.select(*names, fact.alias(FACT), exclusive.alias(GROUP), F.col("_p").alias(PROB)))
         self._add(name, df.select(*names, *([tag.alias(TAG)] if tag is not None else [])))
 
+    def _remember(self, name: str, facts: DataFrame) -> None:
+        if self.tag.keeps_proofs:
+            self._facts.setdefault(name, []).append(facts)
+
+    def facts(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+        """The uncertain facts that were inserted: their tuple, fact, group and prob.
+
+        fact is the key of the gradients; facts of one group exclude each other.
+        """
+        self._needs_proofs()
+        types = self._types(name)
+        if name not in self._facts:
+            schema = rel.with_fields(rel.empty(self.spark, types, Unit()).schema, fact="long", group="long", prob="double")
+            return self._named(rel.local(self.spark, [], schema), types, columns, FACT, GROUP, PROB)
+        frames = [self._named(f, types, columns, FACT, GROUP, PROB) for f in self._facts[name]]
+        return reduce(DataFrame.unionByName, frames).distinct()
+
     def _tagged(self, df: DataFrame, tag) -> DataFrame:
         return df if tag is None else df.withColumn(TAG, tag)
 
@@ -190,7 +220,7 @@ class Engine:
 
     def _evaluation(self, types: dict[str, tuple[str, ...]] | None = None, untagged: frozenset[str] = frozenset()) -> Evaluation:
         unit = Unit()
-        return Evaluation(self.spark, types or self.schema.types, lambda p: unit if p in untagged else self.tag, self.tag, self.max_iterations)
+        return Evaluation(self.spark, types or self.schema.types, lambda p: unit if p in untagged else self.tag, self.tag, self.max_iterations, {} if types else self._parts)
 
     def run(self) -> Engine:
         if not self._pending and not self._fresh:
@@ -198,14 +228,49 @@ class Engine:
         evaluation = self._evaluation()
         if self._full and any(r.negated() for r in self.rules.values()):
             # what was derived from an absence may not hold any more
+            self._retire(self._parts.values())
+            self._parts = evaluation.parts = {}
+            for p in self._base:
+                self._one_base(p, 1)
             full, pending, fresh = {}, self._base, set(self.rules)
         else:
             full, pending, fresh = self._full, self._pending, self._fresh
         self._full = evaluation.run(self.rules, fresh, full, pending)
         self.rounds += evaluation.rounds
+        derived = {r.head.predicate for r in self.rules.values()}
+        for p in self._pending:
+            if p in self._parts and p not in derived:
+                self._base[p] = [self._full[p]]
+            else:
+                self._one_base(p, MOST_INSERTS)
         self._pending, self._fresh = {}, set()
         return self
 
+    def _one_base(self, p: str, most: int) -> None:
+        """More than most inserts into a relation become one table."""
+        if len(self._base.get(p, ())) > most:
+            table = stored(self.tag.merge(reduce(DataFrame.unionByName, self._base[p]), rel.keys(self.schema.types[p])), "base")
+            self._base[p] = [table.frame]
+            self._dead.append(table)
+
+    def _retire(self, parts: Iterable[Parts]) -> None:
+        for x in parts:
+            self._dead += [*x.tables, *x.dead]
+
+    def vacuum(self) -> None:
+        """Deletes tables that no relation reads any more; so do no frames that were read before the last run."""
+        for x in self._parts.values():
+            for t in x.dead:
+                t.delete()
+            x.dead.clear()
+
+    def close(self) -> None:
+        """Deletes everything that the engine has written."""
+        self._retire(self._parts.values())
+        for t in self._dead:
+            t.delete()
+        self._dead, self._parts, self._full, self._base, self._pending = [], {}, {}, {}, {}
+
     def _tuples(self, name: str) -> DataFrame:
         types = self._types(name)
         self.run()
@@ -270,6 +335,7 @@ class Engine:
         evaluation = self._evaluation(types, untagged)
         full = evaluation.run(dict(enumerate(out.rules)), set(range(len(out.rules))), {}, pending)
         self.rounds += evaluation.rounds
+        self._retire(evaluation.parts.values())
         name = out.answers[q]
         return full[name] if name in full else rel.empty(self.spark, types[name], self.tag)
 

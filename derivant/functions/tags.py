@@ -42,6 +42,10 @@ class Unit:
     def merge(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
         return df.select(*keys).distinct()
 
+    def added(self, full: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """The tuples that are new, or have another tag, when fresh (merged) is added to full."""
+        return fresh.join(full.select(*keys), list(keys), "left_anti")
+
 
 class Boolean(Unit):
     """true or false; false tuples are dropped."""
@@ -84,6 +88,14 @@ class Proofs(Unit):
         merged = df.groupBy(*keys).agg(F.flatten(F.collect_list(TAG)).alias(TAG))
         return merged.withColumn(TAG, self.normal(F.col(TAG))).where(F.size(TAG) > 0)
 
+    def added(self, full: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+        # only the tuples of full that fresh touches take part
+        touched = full.join(fresh.select(*keys), list(keys), "left_semi").withColumn("_before", F.col(TAG))
+        both = touched.unionByName(fresh.withColumn("_before", F.lit(None).cast(PROOFS)))
+        merged = both.groupBy(*keys).agg(F.flatten(F.collect_list(TAG)).alias(TAG), F.first("_before", ignorenulls=True).alias("_before"))
+        merged = merged.withColumn(TAG, self.normal(F.col(TAG)))
+        return merged.where((F.size(TAG) > 0) & ~F.col(TAG).eqNullSafe(F.col("_before"))).select(*keys, TAG)
+
 
 def weight(proof: Column) -> Column:
     """The product of the facts' probabilities."""

@@ -45,79 +45,70 @@ def _parts(dnf: Dnf, group: Mapping) -> list[Dnf]:
     return [frozenset(x[1]) for x in out]
 
 
-def count(proofs: Iterable[Iterable], prob: Mapping, group: Mapping | None = None) -> float:
-    """The probability that some proof holds; group maps facts to groups that exclude each other."""
+def _expanded(proofs: Iterable[Iterable], prob: Mapping, group: Mapping | None, slopes: bool) -> tuple[float, dict]:
+    """The probability that some proof holds and, if asked for, its derivative by each fact's, in one pass."""
     group = group or {}
-    memo: dict[Dnf, float] = {}
+    memo: dict[Dnf, tuple[float, dict]] = {}
 
-    def value(dnf: Dnf) -> float:
+    def value(dnf: Dnf) -> tuple[float, dict]:
         if not dnf:
-            return 0.0
+            return 0.0, {}
         if frozenset() in dnf:
-            return 1.0
+            return 1.0, {}
         if dnf not in memo:
             parts = _parts(dnf, group)
-            if len(parts) > 1:
-                none = 1.0
-                for p in parts:
-                    none *= 1 - value(p)
-                memo[dnf] = 1 - none
-            else:
-                memo[dnf] = expand(dnf)
+            memo[dnf] = apart([value(p) for p in parts]) if len(parts) > 1 else expand(dnf)
         return memo[dnf]
 
-    def expand(dnf: Dnf) -> float:
+    def apart(parts: list[tuple[float, dict]]) -> tuple[float, dict]:
+        """Independent formulas, of which one at least holds."""
+        after = [1.0]
+        for v, _ in reversed(parts):
+            after.append(after[-1] * (1 - v))
+        slope, before = {}, 1.0
+        for k, (v, mine) in enumerate(parts):
+            rest = before * after[len(parts) - 1 - k]
+            slope.update((f, rest * d) for f, d in mine.items())
+            before *= 1 - v
+        return 1 - before, slope
+
+    def expand(dnf: Dnf) -> tuple[float, dict]:
         often = Counter(group.get(f, f) for p in dnf for f in p)
         pick = min(often, key=lambda g: (-often[g], str(g)))
         facts = sorted({f for p in dnf for f in p if group.get(f, f) == pick}, key=str)
-        total = 0.0
+        without, slope = value(frozenset(p for p in dnf if not p.intersection(facts)))
+        left = 1.0 - sum(prob[f] for f in facts)
+        total, out = left * without, {}
+        if slopes:
+            out = {f: left * d for f, d in slope.items()}
         for f in facts:  # f holds, and with it none of the others
             others = set(facts) - {f}
-            total += prob[f] * value(_absorb(p - {f} for p in dnf if not p & others))
-        left = 1.0 - sum(prob[f] for f in facts)
-        return total + left * value(frozenset(p for p in dnf if not p.intersection(facts)))
+            v, slope = value(_absorb(p - {f} for p in dnf if not p & others))
+            total += prob[f] * v
+            if slopes:
+                out[f] = v - without
+                for g, d in slope.items():
+                    out[g] = out.get(g, 0.0) + prob[f] * d
+        return total, out
 
     return value(_absorb(frozenset(p) for p in proofs))
 
 
+def count(proofs: Iterable[Iterable], prob: Mapping, group: Mapping | None = None) -> float:
+    """The probability that some proof holds; group maps facts to groups that exclude each other."""
+    return _expanded(proofs, prob, group, False)[0]
+
+
+def count_and_gradient(proofs: Iterable[Iterable], prob: Mapping, group: Mapping | None = None) -> tuple[float, dict]:
+    """Also the derivative by the probability of each fact of the proofs (of one that absorption removes: 0)."""
+    proofs = [frozenset(p) for p in proofs]
+    total, slope = _expanded(proofs, prob, group, True)
+    return total, dict.fromkeys(sorted({f for p in proofs for f in p}, key=str), 0.0) | slope
+
+
 def gradient(proofs: Iterable[Iterable], prob: Mapping, group: Mapping | None = None) -> dict:
     """The derivative of count by the probability of each fact."""
-    proofs = list({frozenset(p) for p in proofs})
-    if group is None and (out := _disjoint_gradient(proofs, prob)) is not None:
-        return out
-    out = {}
-    for f in sorted({x for p in proofs for x in p}, key=str):
-        one, zero = dict(prob), dict(prob)
-        one[f], zero[f] = 1.0, 0.0
-        # count is linear in each probability
-        out[f] = count(proofs, one, group) - count(proofs, zero, group)
-    return out
-
-
-def _disjoint_gradient(proofs: list[frozenset], prob: Mapping) -> dict | None:
-    """The gradient of proofs that share no fact, from products before and after each; None if some do."""
-    if len({f for p in proofs for f in p}) != sum(map(len, proofs)):
-        return None
-    miss = []
-    for p in proofs:
-        w = 1.0
-        for f in p:
-            w *= prob[f]
-        miss.append(1 - w)
-    after = [1.0]
-    for m in reversed(miss):
-        after.append(after[-1] * m)
-    out, before = {}, 1.0
-    for k, p in enumerate(proofs):
-        rest = before * after[len(proofs) - 1 - k]
-        for f in p:
-            w = rest
-            for g in p:
-                if g != f:
-                    w *= prob[g]
-            out[f] = w
-        before *= miss[k]
-    return out
+    return count_and_gradient(proofs, prob, group)[1]
 
 
 def _unpack(tag) -> tuple[list, dict, dict]:
@@ -132,6 +123,17 @@ def _unpack(tag) -> tuple[list, dict, dict]:
     return proofs, prob, group
 
 
+def _apart(tag: Column, exclusive: bool) -> Column:
+    """The proofs share nothing, so they are independent."""
+    names = F.flatten(F.transform(tag, lambda p: F.transform(p, lambda x: x["d" if exclusive else "f"])))
+    return F.size(names) == F.size(F.array_distinct(names))
+
+
+def _any(tag: Column) -> Column:
+    """The probability that one of independent proofs holds."""
+    return 1 - F.aggregate(tag, F.lit(1.0), lambda acc, p: acc * (1 - weight(p)))
+
+
 def probability(tag: Column, exclusive: bool = False) -> Column:
     """The probability of a column of proofs; no proof: 0, the empty proof: 1."""
 
@@ -146,23 +148,42 @@ def probability(tag: Column, exclusive: bool = False) -> Column:
                 out.append(count(proofs, prob, group if exclusive else None))
         return pa.array(out, pa.float64())
 
-    # proofs that share nothing are independent, and so is a single one
-    names = F.flatten(F.transform(tag, lambda p: F.transform(p, lambda x: x["d" if exclusive else "f"])))
-    none = F.aggregate(tag, F.lit(1.0), lambda acc, p: acc * (1 - weight(p)))
-    apart = F.size(names) == F.size(F.array_distinct(names))
-    return F.coalesce(F.when(F.size(tag) == 1, weight(tag[0])).when(apart, 1 - none), several(F.when(~apart & (F.size(tag) > 1), tag)))
+    # proofs that share nothing need no expansion, nor does a single one
+    apart = _apart(tag, exclusive)
+    return F.coalesce(F.when(F.size(tag) == 1, weight(tag[0])).when(apart, _any(tag)), several(F.when(~apart & (F.size(tag) > 1), tag)))
+
+
+#: Up to so many proofs that share nothing, the gradient is made of products in the JVM.
+JVM_PROOFS = 64
+_BOTH = "struct<prob: double, grad: map<bigint, double>>"
+
+
+def _others(values: Column, at: Column) -> Column:
+    """The product of all values but one."""
+    return F.aggregate(F.filter(values, lambda _, k: k != at), F.lit(1.0), lambda acc, v: acc * v)
 
 
 def probability_and_gradient(tag: Column, exclusive: bool = False) -> Column:
-    """struct<prob double, grad map<bigint, double>> of a column of proofs."""
+    """struct<prob double, grad map<bigint, double>> of a column of proofs; grad's keys are facts."""
 
     @F.arrow_udf("prob double, grad map<bigint,double>")
     def both(tags: pa.Array) -> pa.Array:
         rows = []
         for t in tags.to_pylist():
+            if t is None:
+                rows.append({"prob": None, "grad": None})
+                continue
             proofs, prob, group = _unpack(t)
-            used = group if exclusive else None
-            rows.append({"prob": count(proofs, prob, used), "grad": list(gradient(proofs, prob, used).items())})
+            total, slope = count_and_gradient(proofs, prob, group if exclusive else None)
+            rows.append({"prob": total, "grad": list(slope.items())})
         return pa.array(rows, pa.struct([("prob", pa.float64()), ("grad", pa.map_(pa.int64(), pa.float64()))]))
 
-    return both(tag)
+    apart = _apart(tag, exclusive) & (F.size(tag) <= JVM_PROOFS)
+    miss = F.transform(tag, lambda p: 1 - weight(p))
+    slope = F.transform(
+        tag,
+        lambda p, i: F.transform(p, lambda x, j: F.struct(x["f"].alias("key"), (_others(miss, i) * _others(F.transform(p, lambda y: y["p"]), j)).alias("value"))),
+    )
+    plain = F.struct(_any(tag).alias("prob"), F.map_from_entries(F.flatten(slope)).alias("grad")).cast(_BOTH)
+    other = both(F.when(~apart, tag))
+    return F.when(apart, plain).otherwise(F.struct(other["prob"].alias("prob"), other["grad"].alias("grad")).cast(_BOTH))

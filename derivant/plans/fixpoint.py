@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import IterationLimit
 from ..functions.tags import TAG, Unit
 from ..sources.relations import empty, keys
-from ..sources.storage import SMALL_ROWS, kept, looks_small
+from ..sources.storage import Parts, stored
 from .analysis import strata
 from .compile import rule_frame
 from .syntax import Rule
@@ -32,29 +32,39 @@ class Round:
 
 @dataclass
 class Evaluation:
+    """One run: what is new is taken in, stratum by stratum.
+
+    A stratum without recursion that is evaluated for the first time stays a plan. What a
+    recursive stratum reads and derives, and all that a later run reads or changes, is kept
+    as a few tables in shared storage (``Parts``): a run writes what it adds, and plans do
+    not grow with the number of runs or rounds.
+    """
+
     spark: SparkSession
     types: Mapping[str, Sequence[str]]
     tag_of: Callable[[str], Unit]
     tag: Unit
     max_iterations: int = 10_000
-    #: Deltas are unioned until there are so many, then rewritten as one table.
-    compact: int = 8
+    #: The relations that are kept as tables; goes on to the next run.
+    parts: dict[str, Parts] = field(default_factory=dict)
     rounds: list[Round] = field(default_factory=list)
-    #: Relations that are stored, with their rows; those in small are local.
-    stored: dict[str, int] = field(default_factory=dict)
-    small: set[str] = field(default_factory=set)
 
     def empty(self, p: str) -> DataFrame:
         return empty(self.spark, self.types[p], self.tag_of(p))
 
-    def merge(self, p: str, frames: Sequence[DataFrame], one_task: bool = False) -> DataFrame:
-        frame = reduce(DataFrame.unionByName, frames)
-        return self.tag_of(p).merge(frame.coalesce(1) if one_task else frame, keys(self.types[p]))
+    def merge(self, p: str, frames: Sequence[DataFrame]) -> DataFrame:
+        return self.tag_of(p).merge(reduce(DataFrame.unionByName, frames), keys(self.types[p]))
 
-    def store(self, p: str, df: DataFrame, now: dict[str, DataFrame], try_small: bool) -> None:
-        """Cuts the lineage of a relation that a recursive stratum reads again and again."""
-        now[p], self.stored[p], small = kept(df, p.strip("@_"), try_small)
-        (self.small.add if small else self.small.discard)(p)
+    def grow(self, p: str, fresh: DataFrame) -> tuple[DataFrame | None, int]:
+        """Adds fresh to a relation; (what is new or has another tag, if anything is; how many)."""
+        names, tag = keys(self.types[p]), self.tag_of(p)
+        held = self.parts.setdefault(p, Parts(names, tag.keeps_proofs))
+        diff = stored(tag.added(held.frame(), fresh, names) if held.tables else fresh, "delta")
+        if not diff.rows:
+            diff.delete()
+            return None, 0
+        held.add(diff)
+        return diff.frame, diff.rows
 
     def plan(self, rule: Rule, frame: Callable[[int, str], DataFrame], full: Callable[[str], DataFrame]) -> DataFrame:
         atoms = rule.atoms()
@@ -78,105 +88,81 @@ class Evaluation:
             out.append(self.plan(rule, frame, new))
         return out
 
-    def grown(self, p: str, full: DataFrame | None, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(all tuples, tuples that are new or have another tag) after fresh is added."""
-        if full is None:
-            return fresh, fresh
-        names = keys(self.types[p])
-        if not self.tag_of(p).keeps_proofs:
-            delta = fresh.join(full.select(*names), names, "left_anti")
-            return full.unionByName(delta), delta
-        merged = self.merge(p, [full, fresh])
-        return merged, merged.join(full.select(*names, TAG), [*names, TAG], "left_anti")
-
     def run(self, rules: Mapping[int, Rule], fresh_rules: set[int], full: Mapping[str, DataFrame], pending: Mapping[str, Sequence[DataFrame]]) -> dict[str, DataFrame]:
         """All relations after the pending tuples and the fresh rules are taken in."""
         before, now = dict(full), dict(full)
         changed: dict[str, DataFrame] = {}
 
+        def solid(p: str) -> None:
+            """A relation of an earlier run that is read or changed now becomes a table, once."""
+            if p in before and p not in self.parts:
+                self.parts[p] = Parts(keys(self.types[p]), self.tag_of(p).keeps_proofs, tables=[stored(before[p], p.strip("@_"))])
+                before[p] = now[p] = self.parts[p].frame()
+
         def all_of(p: str) -> DataFrame:
+            solid(p)
             return now[p] if p in now else self.empty(p)
 
+        def old_of(p: str) -> DataFrame | None:
+            solid(p)
+            return before.get(p)
+
         for group, recursive in strata(rules.values(), [*self.types, *pending]):
             incoming: dict[str, list[DataFrame]] = {p: list(pending.get(p, ())) for p in group}
             mine = {k: r for k, r in rules.items() if r.head.predicate in incoming}
             for k, r in mine.items():
                 if k not in fresh_rules:
-                    incoming[r.head.predicate] += self.deltas(r, changed, all_of, before.get)
+                    incoming[r.head.predicate] += self.deltas(r, changed, all_of, old_of)
                 elif all(a.predicate in now or a.predicate not in incoming for a in r.atoms()):
                     incoming[r.head.predicate].append(self.plan(r, lambda _, p: all_of(p), all_of))
             step: dict[str, DataFrame] = {}
             for p, frames in incoming.items():
-                if frames:
-                    fresh = self.merge(p, frames)
-                    if recursive:
-                        fresh, n, small = kept(fresh, p.strip("@_"), looks_small(fresh))
-                    now[p], step[p] = self.grown(p, before.get(p), fresh)
-                    if recursive and p in before:
-                        self.store(p, now[p], now, small)
-                        step[p], _, _ = kept(step[p], "delta", small)
-                    elif recursive:
-                        self.stored[p] = n
-                        (self.small.add if small else self.small.discard)(p)
+                if not frames:
+                    continue
+                fresh = self.merge(p, frames)
+                if recursive or p in before:
+                    solid(p)
+                    diff, _ = self.grow(p, fresh)
+                    if diff is not None:
+                        now[p], step[p] = self.parts[p].frame(), diff
+                else:
+                    now[p] = step[p] = fresh
+            news = {p: [df] for p, df in step.items()}
             if recursive:
-                self._rounds(group, mine, now, {p: before.get(p) for p in group}, step, all_of)
-            for p in group:
-                if p in now and now[p] is not before.get(p):
+                self._rounds(group, mine, now, {p: old_of(p) for p in group}, step, all_of, news)
+            for p, frames in news.items():
+                if p not in before:
+                    changed[p] = now[p]
+                elif len(frames) == 1:
+                    changed[p] = frames[0]
+                else:
                     names = keys(self.types[p]) + ([TAG] if self.tag_of(p).keeps_proofs else [])
-                    changed[p] = now[p] if p not in before else now[p].join(before[p].select(*names), names, "left_anti")
+                    changed[p] = now[p].join(before[p].select(*names), names, "left_anti")
         return now
 
-    def _rounds(self, group: Sequence[str], rules: Mapping[int, Rule], now: dict[str, DataFrame], old: dict[str, DataFrame | None], delta: dict[str, DataFrame], all_of: Callable[[str], DataFrame]) -> None:
+    def _rounds(self, group: Sequence[str], rules: Mapping[int, Rule], now: dict[str, DataFrame], old: dict[str, DataFrame | None], delta: dict[str, DataFrame], all_of: Callable[[str], DataFrame], news: dict[str, list[DataFrame]]) -> None:
         inner = [r for r in rules.values() if any(a.predicate in group for a in r.atoms())]
         for q in sorted({a.predicate for r in inner for a in [*r.atoms(), *r.negated()]}):
-            if q in now and q not in self.stored:
-                self.store(q, now[q], now, looks_small(now[q]))
-        parts = {p: 1 for p in group}
+            if q in now and q not in self.parts:  # read again and again
+                self.parts[q] = Parts(keys(self.types[q]), self.tag_of(q).keeps_proofs, tables=[stored(now[q], q.strip("@_"))])
+                now[q] = self.parts[q].frame()
         for number in range(1, self.max_iterations + 1):
             start = perf_counter()
             plans: dict[str, list[DataFrame]] = {}
-            reads: dict[str, set[str]] = {}
             for r in inner:
-                p = r.head.predicate
-                plans.setdefault(p, []).extend(self.deltas(r, delta, all_of, old.get))
-                reads.setdefault(p, {p}).update(a.predicate for a in [*r.atoms(), *r.negated()])
+                plans.setdefault(r.head.predicate, []).extend(self.deltas(r, delta, all_of, old.get))
             previous = {p: now.get(p) for p in group}
-
-            def take(p: str, frames: Sequence[DataFrame], previous=previous, reads=reads) -> tuple[DataFrame, DataFrame, int, bool]:
-                """(all, changed, number of changed, small) of a relation after the round's derivations."""
-                small = all(q in self.small or q not in now for q in reads[p])
-                fresh, names = self.merge(p, frames, small), keys(self.types[p])
-                if not self.tag_of(p).keeps_proofs:
-                    diff, n, small = kept(self.grown(p, previous[p], fresh)[1], "delta", small)
-                    whole = diff if previous[p] is None else previous[p].unionByName(diff)
-                    return whole.coalesce(1) if small else whole, diff, n, small
-                whole, n, small = kept(self.grown(p, previous[p], fresh)[0], p.strip("@_"), small)
-                if previous[p] is None:
-                    return whole, whole, n, small
-                diff, n, _ = kept(whole.join(previous[p].select(*names, TAG), [*names, TAG], "left_anti"), "delta", small)
-                return whole, diff, n, small
-
             # the relations of a stratum are independent within a round
             work = [(p, f) for p, f in plans.items() if f]
             with ThreadPoolExecutor(max(1, min(len(work), 8))) as pool:
-                results = list(pool.map(lambda x: take(*x), work))
-            counts, step = {}, {}
-            for (p, _), (whole, diff, n, small) in zip(work, results, strict=True):
-                counts[p] = n
-                if not n:
-                    continue
-                parts[p] += 1
-                now[p], step[p] = whole, diff
-                self.stored[p] = self.stored.get(p, 0) + n
-                if self.stored[p] > SMALL_ROWS or not small:
-                    self.small.discard(p)
-                elif previous[p] is None:
-                    self.small.add(p)
-                if parts[p] > self.compact and not self.tag_of(p).keeps_proofs:
-                    self.store(p, whole, now, p in self.small)
-                    parts[p] = 1
-            self.rounds.append(Round(tuple(group), number, perf_counter() - start, counts))
-            if not any(counts.values()):
+                results = list(pool.map(lambda x: self.grow(x[0], self.merge(*x)), work))
+            step = {}
+            for (p, _), (diff, _) in zip(work, results, strict=True):
+                if diff is not None:
+                    now[p], step[p] = self.parts[p].frame(), diff
+                    news.setdefault(p, []).append(diff)
+            self.rounds.append(Round(tuple(group), number, perf_counter() - start, {p: n for (p, _), (_, n) in zip(work, results, strict=True)}))
+            if not step:
                 return
             for p in group:
                 old[p] = previous[p]

@@ -184,21 +184,127 @@ def disjunction_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.tagged("r", ["k"]).select("k", F.size(TAG).alias("n"))
 
 
+@query("SELECT n_nationkey::BIGINT AS k, round((n_nationkey % 5 + 1) / 7.0::DOUBLE * (1 - product(1 - (s_suppkey % 10 + 1) / 13.0::DOUBLE)), 6) AS prob FROM (SELECT DISTINCT n_nationkey, s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey) GROUP BY n_nationkey")
+def wmc_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All proofs of a nation share the fact that it is open."""
+    engine = Engine(spark, "proofs").load("decl open(Int). decl s(Int, Int). decl r(Int). r(N) :- s(A, N), open(N).")
+    engine.insert_prob("open", table(spark, sf_dir, "nation").select("n_nationkey", ((F.col("n_nationkey") % 5 + 1) / 7).alias("p")), "p")
+    engine.insert_prob("s", table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", ((F.col("s_suppkey") % 10 + 1) / 13).alias("p")), "p")
+    return engine.with_prob("r", ["k"]).withColumn("prob", F.round("prob", 6))
+
+
+# in a chain of turns, all that matters of the earlier ones is whether the last one held
+_TURNS = "f AS (SELECT DISTINCT conv_id AS c, turn AS t, ((conv_id * 3 + turn * 5) % 7 + 1) / 9.0::DOUBLE AS p FROM conversations)"
+_CHAIN = f"WITH RECURSIVE {_TURNS}, s AS (SELECT DISTINCT c, -1::BIGINT AS t, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM f UNION ALL SELECT s.c, s.t + 1, (a + b) * (1 - coalesce(p, 0)), a * coalesce(p, 0) FROM s LEFT JOIN f ON f.c = s.c AND f.t = s.t + 1 WHERE s.t < (SELECT max(t) FROM f))"
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> Engine:
+    """Two turns in a row: each proof shares a fact with the one before it and with the one after it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (((F.col("conv_id") * 3 + F.col("turn") * 5) % 7 + 1) / 9).alias("p")).distinct()
+    return Engine(spark, "proofs").load("decl turn(Int, Int). decl r(Int). r(C) :- turn(C, A), turn(C, B), B == A + 1.").insert_prob("turn", turns, "p")
+
+
+@query(_CHAIN + " SELECT c, round(1 - (a + b), 6) AS prob FROM s WHERE t = (SELECT max(t) FROM f) AND c IN (SELECT x.c FROM f x JOIN f y ON x.c = y.c AND y.t = x.t + 1)")
+def wmc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chain(spark, sf_dir).with_prob("r", ["c"]).withColumn("prob", F.round("prob", 6))
+
+
+# the derivative by a fact: the others' chance if it holds, less that if it does not
+_SLOPES = (
+    f"WITH RECURSIVE {_TURNS}, g AS (SELECT x.c, x.t AS of, v FROM f x, (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) AS w(v)), "
+    "s AS (SELECT c, of, v, -1::BIGINT AS t, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM g UNION ALL "
+    "SELECT s.c, of, v, s.t + 1, (a + b) * (1 - q), a * q FROM s LEFT JOIN f ON f.c = s.c AND f.t = s.t + 1, LATERAL (SELECT CASE WHEN s.t + 1 = of THEN v ELSE coalesce(p, 0) END AS q) WHERE s.t < (SELECT max(t) FROM f)), "
+    "e AS (SELECT c, of, sum(CASE WHEN v = 1 THEN 1 - (a + b) ELSE (a + b) - 1 END) AS slope FROM s WHERE t = (SELECT max(t) FROM f) GROUP BY c, of) "
+)
+
+
+@query(_SLOPES + "SELECT e.c, of AS t, round(slope, 6) AS slope FROM e JOIN f ON e.c = f.c AND e.of = f.t WHERE EXISTS (SELECT 1 FROM f y WHERE y.c = e.c AND (y.t = of + 1 OR y.t = of - 1))")
+def wmc_fact_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slope of each conversation's probability by each of its facts, joined to the fact's tuple."""
+    engine = _chain(spark, sf_dir)
+    slopes = engine.with_gradient("r", ["c"]).select(F.explode("grad").alias("fact", "slope"))
+    return slopes.join(engine.facts("turn", ["c", "t"]), "fact").select("c", "t", F.round("slope", 6).alias("slope"))
+
+
 _DIGITS = "SELECT DISTINCT l_orderkey AS t, l_linenumber - 1 AS i, v, (l_quantity::BIGINT * (v + 2) % 11 + 1) / 37.0::DOUBLE AS p FROM lineitem, (VALUES (0), (1), (2), (3)) AS x(v) WHERE l_linenumber <= 2"
 
 
-@query(f"WITH d AS ({_DIGITS}), q AS (SELECT a.t, a.v + b.v AS total, a.p * b.p AS p FROM d a JOIN d b ON a.t = b.t AND a.i = 0 AND b.i = 1), one AS (SELECT t FROM d GROUP BY t HAVING count(*) = 8) SELECT t, total::BIGINT AS total, round(1 - product(1 - p), 6) AS prob FROM q JOIN one USING (t) GROUP BY t, total")
+@query(f"WITH d AS ({_DIGITS}), e AS (SELECT t, i, v, 1 - product(1 - p) AS p FROM d GROUP BY t, i, v) SELECT a.t, (a.v + b.v)::BIGINT AS total, round(1 - product(1 - a.p * b.p), 6) AS prob FROM e a JOIN e b ON a.t = b.t AND a.i = 0 AND b.i = 1 GROUP BY a.t, a.v + b.v")
 def sum2_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many tasks in one run: the sum of two uncertain digits, one disjunction a digit."""
+    """Many tasks in one run: the sum of two uncertain digits, one disjunction a digit.
+
+    A digit that was read several times has several facts for a value.
+    """
     rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("t"), (F.col("l_linenumber") - 1).alias("i"), F.col("l_quantity").cast("long").alias("q"))
     rows = rows.select("t", "i", F.explode(F.array(*map(F.lit, range(4)))).alias("v"), "q")
     digits = rows.select("t", "i", "v", ((F.col("q") * (F.col("v") + 2) % 11 + 1) / 37).alias("p")).distinct()
-    complete = digits.groupBy("t").count().where("count = 8").select("t")
     engine = Engine(spark, "proofs").load("decl digit(Int, Int, Int). decl sum(Int, Int). sum(T, A + B) :- digit(T, 0, A), digit(T, 1, B).")
-    engine.insert_disjunction("digit", digits.join(complete, "t", "left_semi"), "p", ["t", "i"], ["t", "i", "v"])
+    engine.insert_disjunction("digit", digits, "p", ["t", "i"], ["t", "i", "v"])
     return engine.with_prob("sum", ["t", "total"]).withColumn("prob", F.round("prob", 6))
 
 
+@query("WITH d AS (SELECT DISTINCT c_custkey AS t, i, v, (c_custkey * (i + 2) + v * 3) % 5 + 1 AS w FROM customer, (VALUES (0), (1)) AS x(i), (VALUES (0), (1), (2)) AS y(v)), e AS (SELECT *, w / (sum(w) OVER (PARTITION BY t, i))::DOUBLE AS p FROM d) SELECT a.t, (a.v + b.v)::BIGINT AS total, round(sum(a.p * b.p), 6) AS prob FROM e a JOIN e b ON a.t = b.t AND a.i = 0 AND b.i = 1 GROUP BY a.t, a.v + b.v")
+def wmc_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of two digits whose values exclude each other when counted, too."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("t"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).select("t", "i", F.explode(F.array(*map(F.lit, range(3)))).alias("v")).distinct()
+    rows = rows.withColumn("w", (F.col("t") * (F.col("i") + 2) + F.col("v") * 3) % 5 + 1)
+    total = rows.groupBy("t", "i").agg(F.sum("w").alias("all"))
+    digits = rows.join(total, ["t", "i"]).select("t", "i", "v", (F.col("w") / F.col("all")).alias("p"))
+    engine = Engine(spark, "proofs").load("decl digit(Int, Int, Int). decl sum(Int, Int). sum(T, A + B) :- digit(T, 0, A), digit(T, 1, B).")
+    engine.insert_disjunction("digit", digits, "p", ["t", "i"], ["t", "i", "v"])
+    return engine.with_prob("sum", ["t", "total"], exclusive=True).withColumn("prob", F.round("prob", 6))
+
+
+# of a ladder of edges, all that matters is whether the last two turns are reached
+_STEP = "((conv_id + turn * 3) % 4 + 1) / 7.0::DOUBLE"
+_LEAP = "((conv_id * 5 + turn) % 3 + 1) / 8.0::DOUBLE"
+_LADDER = (
+    f"WITH RECURSIVE t AS (SELECT DISTINCT conv_id AS c, turn AS t, {_STEP} AS p, {_LEAP} AS q FROM conversations), m AS (SELECT c, max(t) AS last FROM t GROUP BY c), "
+    "s AS (SELECT c, 0::BIGINT AS t, 0.0::DOUBLE AS n, 1.0::DOUBLE AS y, 0.0::DOUBLE AS yy FROM m UNION ALL "
+    # n: only the turn before is reached, y: only this one, yy: both
+    "SELECT s.c, s.t + 1, (y * (1 - a) + yy * (1 - a) * (1 - b)), n * b, y * a + yy * (1 - (1 - a) * (1 - b)) FROM s JOIN m ON s.c = m.c JOIN t x ON x.c = s.c AND x.t = s.t, "
+    "LATERAL (SELECT x.p AS a, coalesce((SELECT q FROM t z WHERE z.c = s.c AND z.t = s.t - 1), 0) AS b) WHERE s.t < last) "
+)
+
+
+@query(_LADDER + "SELECT c, t, round(y + yy, 6) AS prob FROM s WHERE t > 0")
+def wmc_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reachability over uncertain edges from each turn to the next and the one after it."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("c"), F.col("turn").alias("t")).distinct()
+    to = turns.withColumnRenamed("t", "u")
+    step = ((F.col("c") + F.col("t") * 3) % 4 + 1) / 7
+    leap = ((F.col("c") * 5 + F.col("t")) % 3 + 1) / 8
+    edges = turns.join(to, "c").where("u = t + 1 or u = t + 2").select("c", "t", "u", F.when(F.col("u") == F.col("t") + 1, step).otherwise(leap).alias("p"))
+    engine = Engine(spark, "proofs").load("decl edge(Int, Int, Int). decl reach(Int, Int). reach(C, B) :- edge(C, 0, B). reach(C, D) :- reach(C, B), edge(C, B, D).")
+    engine.insert_prob("edge", edges, "p", ["c", "t", "u"])
+    return engine.with_prob("reach", ["c", "t"]).withColumn("prob", F.round("prob", 6))
+
+
+# a graph that grows with the data: each part hangs below the one of half its number
+TREE = "decl part(Int, Int). decl up(Int, Int). decl above(Int, Int). up(A, A / 2) :- part(A, _), A > 0. above(A, B) :- up(A, B). above(A, C) :- up(A, B), above(B, C)."
+TREE_SQL = "WITH RECURSIVE up AS (SELECT DISTINCT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 0), above AS (SELECT a, b FROM up UNION SELECT up.a, above.b FROM up JOIN above ON up.b = above.a) "
+program("tc_tree", TREE, "above", ["a", "b"], PART, TREE_SQL + "SELECT a, b FROM above")
+
+
+@query(TREE_SQL + "SELECT a, b FROM above WHERE a = 187")
+def tc_tree_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All above one part: without demand the whole closure would be made."""
+    engine = Engine(spark, demand=True).load(TREE).bind("part", table(spark, sf_dir, "part"), PART["part"][1])
+    return engine.query("above(187, X)", ["a", "b"])
+
+
+@query("SELECT DISTINCT n_name AS nation, o_orderpriority AS priority FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def incremental_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders and customers in twelve parts, with a run after each: the same as at once."""
+    engine = Engine(spark).load(D_NATION + "decl customer(Int, Int). decl orders(Int, String). decl bought(Int, String). decl r(String, String). bought(N, P) :- orders(C, P), customer(C, N). r(N, P) :- bought(K, P), nation(K, N, _).")
+    engine.bind("nation", table(spark, sf_dir, "nation"), NATION["nation"][1])
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    for k in range(12):
+        engine.bind("customer", customers.where(F.pmod("c_custkey", F.lit(12)) == k), ["c_custkey", "c_nationkey"])
+        engine.bind("orders", orders.where(F.pmod("o_orderkey", F.lit(12)) == k), ["o_custkey", "o_orderpriority"]).run()
+    return engine.relation("r", ["nation", "priority"])
+
+
 @query(PATH_SQL + "SELECT a, b FROM path")
 def incremental_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserted in two parts with a run between: the same as at once."""

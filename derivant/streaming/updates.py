@@ -8,19 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import Engine
-from ..sources.storage import written
+from ..sources.storage import stored
 
 
 def follow(engine: Engine, stream: DataFrame, relation: str, checkpoint: str, columns: Sequence[str] | None = None, on_update: Callable[[Engine, int], None] | None = None, **trigger) -> StreamingQuery:
     """Inserts what arrives on stream into a relation and runs the rules on it.
 
-    A batch is written to shared storage before it is inserted, since the engine keeps
-    referring to it. Relations are sets, so a batch that is delivered twice changes
-    nothing. on_update(engine, batch) may read any relation.
+    A batch is written to shared storage before it is inserted, since the engine reads
+    it more than once. Relations are sets, so a batch that is delivered twice changes
+    nothing. on_update(engine, batch) may read any relation; what it reads is valid until
+    the next batch, as tables that are no longer needed are deleted then.
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        engine.insert(relation, written(batch, f"batch-{number}"), columns)
+        engine.vacuum()
+        engine.insert(relation, stored(batch, f"batch-{number}").frame, columns)
         engine.run()
         if on_update is not None:
             on_update(engine, number)

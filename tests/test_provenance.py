@@ -24,83 +24,123 @@ def probs(engine, name, **options):
     return {tuple(r)[:-1] if len(r) > 2 else r[0]: r[-1] for r in engine.with_prob(name, **options).collect()}
 
 
-def test_one_proof(spark):
-    engine = Engine(spark, "proofs").load('decl name(Symbol, String). decl attr(Symbol, String). decl r(Symbol). 0.8::name(1, "giraffe"). 0.3::attr(1, "tall"). r(A) :- name(A, "giraffe"), attr(A, "tall").')
-    close(probs(engine, "r"), {1: 0.24})
+def worlds(groups):
+    """(held facts, chance) of every way to choose one fact or none of each group of (fact, chance)."""
+    for pick in product(*([*g, None] for g in groups)):
+        w = 1.0
+        for g, x in zip(groups, pick, strict=True):
+            w *= x[1] if x is not None else 1 - sum(p for _, p in g)
+        yield {x[0] for x in pick if x is not None}, w
 
 
-@pytest.mark.parametrize("tag", ["proofs", "top-k-proofs"])
-def test_disjunction(spark, tag):
-    text = """decl name(Symbol, String). decl attr(Symbol, String). decl is_a(String, String). decl r(Symbol).
-    0.8::name(1, "giraffe"); 0.01::name(1, "tiger"); 0.18::name(1, "dog"). 0.3::attr(1, "tall"). is_a("giraffe", "animal"). is_a("tiger", "animal"). is_a("dog", "animal").
-    name(A, M) :- name(A, N), is_a(N, M). r(A) :- name(A, "animal"), attr(A, "tall")."""
-    engine = Engine(spark, tag, k=3).load(text)
-    close(probs(engine, "r"), {1: 0.251292})
-    close(probs(engine, "r", exclusive=True), {1: 0.297})
-
-
-SUM = "decl d(Symbol, Int). decl r(Int). {} r(A + B) :- d(0, A), d(1, B)."
-DIGITS = [(0.1, 0.6, 0.2, 0.1), (0.6, 0.1, 0.2, 0.1)]
-FACTS = " ".join("; ".join(f"{p}::d({i}, {v})" for v, p in enumerate(ps)) + "." for i, ps in enumerate(DIGITS))
-
-
-def test_sum_of_two_digits(spark):
-    text = SUM.format(FACTS)
-    exact = {0: 0.06, 1: 0.3664, 2: 0.189344, 3: 0.197451, 4: 0.106624, 5: 0.0396, 6: 0.01}
-    found = probs(Engine(spark, "proofs").load(text), "r")
-    assert {k: round(v, 6) for k, v in found.items()} == exact
-    found = probs(Engine(spark, "proofs").load(text), "r", exclusive=True)
-    assert {k: round(v, 6) for k, v in found.items()} == {0: 0.06, 1: 0.37, 2: 0.2, 3: 0.21, 4: 0.11, 5: 0.04, 6: 0.01}
-    found = probs(Engine(spark, "top-k-proofs", k=2).load(text), "r")
-    assert {k: round(v, 6) for k, v in found.items()} == exact | {2: 0.1728, 3: 0.1728, 4: 0.0976}
-    many = probs(Engine(spark, "top-k-proofs", k=9).load(text), "r")
-    assert {k: round(v, 6) for k, v in many.items()} == exact
+def chances(groups, holds):
+    """The chance of each answer; holds(facts) gives the answers in a world."""
+    out = {}
+    for held, w in worlds(groups):
+        for answer in holds(held):
+            out[answer] = out.get(answer, 0.0) + w
+    return out
 
 
-GRADE = "decl third(Int). decl girl(Int). decl r(Int). 0.5::third(1). 0.2::third(2). 0.1::third(3). 0.01::girl(2). 0.8::girl(3). 0.3::girl(6). "
+# a valve is open, shut or stuck; pipes between tanks hold or leak
+VALVES = [[(("valve", v, s), p) for s, p in states] for v, states in ((1, (("open", 0.5), ("shut", 0.25))), (2, (("open", 0.125), ("shut", 0.375), ("stuck", 0.5))))]
+PIPES = [[(("pipe", a, b), p)] for a, b, p in ((1, 2, 0.75), (2, 3, 0.5), (1, 3, 0.25), (3, 2, 0.5))]
+TANKS = "decl valve(Int, String). decl pipe(Int, Int). decl r(Int). decl flow(Int, Int). " + " ".join("; ".join(f'{p}::valve({f[1]}, "{f[2]}")' for f, p in g) + "." for g in VALVES) + " " + " ".join(f"{p}::pipe({f[1]}, {f[2]})." for ((f, p),) in PIPES) + " "
 
 
-def test_set_operations(spark):
-    close(probs(Engine(spark, "proofs").load(GRADE + "r(A) :- third(A), girl(A)."), "r"), {2: 0.002, 3: 0.08})
-    close(probs(Engine(spark, "proofs").load(GRADE + "r(A) :- third(A). r(A) :- girl(A)."), "r"), {1: 0.5, 2: 0.208, 3: 0.82, 6: 0.3})
+def independent(groups):
+    """The same facts, none of which excludes another."""
+    return [[x] for g in groups for x in g]
 
 
-def test_join_and_projection(spark):
-    text = 'decl color(Int, String). decl shape(Int, String). decl r(Int, String, String). 0.5::color(1, "yellow"). 0.1::color(1, "blue"). 0.6::color(1, "red"). 0.3::shape(0, "cube"). 0.2::shape(1, "sphere"). 0.8::shape(2, "sphere"). r(A, C, S) :- color(A, C), shape(A, S).'
-    close(probs(Engine(spark, "proofs").load(text), "r"), {(1, "yellow", "sphere"): 0.1, (1, "blue", "sphere"): 0.02, (1, "red", "sphere"): 0.12})
-    text = "decl p(Int, Int, Int). decl r(Int, Int). 0.5::p(1, 2, 3). 0.2::p(2, 5, 8). 0.1::p(3, 9, 10). r(A, C) :- p(A, _, C)."
-    close(probs(Engine(spark, "proofs").load(text), "r"), {(1, 3): 0.5, (2, 8): 0.2, (3, 10): 0.1})
+@pytest.mark.parametrize("tag", ["proofs", "top-k-proofs"])
+def test_facts_that_exclude_each_other(spark, tag):
+    """Any state of a valve will do: apart when counted, unless they are said to exclude each other there, too."""
+    engine = Engine(spark, tag, k=4).load(TANKS + "r(V) :- valve(V, _), pipe(V, 3).")
+
+    def holds(facts):
+        return {f[1] for f in facts if f[0] == "valve" and ("pipe", f[1], 3) in facts}
+
+    close(probs(engine, "r"), chances(independent(VALVES + PIPES), holds))
+    close(probs(engine, "r", exclusive=True), chances(VALVES + PIPES, holds))
+
+
+def test_no_proof_has_facts_that_exclude_each_other(spark):
+    engine = Engine(spark, "proofs").load(TANKS + 'r(V) :- valve(V, "open"), valve(V, "shut"). r(V) :- valve(V, "stuck"), pipe(1, V).')
+    close(probs(engine, "r"), {2: 0.5 * 0.75})
+
+
+def test_sums_of_two_dice(spark):
+    """Loaded dice: all sums, the two best proofs of each, and one die's values as exclusive."""
+    dice = [[((i, v), p) for v, p in enumerate(ps, 1)] for i, ps in enumerate(((0.25, 0.125, 0.5, 0.125), (0.375, 0.25, 0.25, 0.125)))]
+    facts = " ".join("; ".join(f"{p}::die({i}, {v})" for (i, v), p in d) + "." for d in dice)
+    text = f"decl die(Int, Int). decl r(Int). {facts} r(A + B) :- die(0, A), die(1, B)."
+
+    def holds(held):
+        return {a + b for i, a in held if i == 0 for j, b in held if j == 1}
+
+    exact = chances(independent(dice), holds)
+    close(probs(Engine(spark, "proofs").load(text), "r"), exact)
+    close(probs(Engine(spark, "proofs").load(text), "r", exclusive=True), chances(dice, holds))
+    close(probs(Engine(spark, "top-k-proofs", k=9).load(text), "r"), exact)
+    best = {}
+    for (_, a), p in dice[0]:
+        for (_, b), q in dice[1]:
+            best.setdefault(a + b, []).append((p * q, (a, b)))
+    two = {}
+    for total, ways in best.items():
+        ways = [x for _, x in sorted(ways, reverse=True)[:2]]
+        if len(best[total]) <= 2 or sorted(best[total], reverse=True)[1][0] > sorted(best[total], reverse=True)[2][0]:  # no tie for the last place
+            two[total] = chances(independent(dice), lambda held, ways=ways: {0} if any((0, a) in held and (1, b) in held for a, b in ways) else set())[0]
+    found = probs(Engine(spark, "top-k-proofs", k=2).load(text), "r")
+    close({k: found[k] for k in two}, two)
+
+
+def test_set_operations(spark):
+    text = TANKS + "decl one(Int). decl two(Int). one(B) :- pipe(1, B). two(B) :- pipe(_, B), pipe(B, _). "
+    pipes = independent(PIPES)
+    to, on = (lambda held: {b for _, a, b in held if a == 1}), (lambda held: {b for _, _, b in held if any(x == b for _, x, _ in held)})
+    close(probs(Engine(spark, "proofs").load(text + "r(A) :- one(A), two(A)."), "r"), chances(pipes, lambda h: to(h) & on(h)))
+    close(probs(Engine(spark, "proofs").load(text + "r(A) :- one(A). r(A) :- two(A)."), "r"), chances(pipes, lambda h: to(h) | on(h)))
 
 
 def test_rules_added_between_runs(spark):
-    engine = Engine(spark, "proofs").load(GRADE + "decl fourth(Int). decl boy(Int). decl q4(Int). decl q2(Int). 0.2::fourth(4). 0.1::fourth(5). 0.5::fourth(6). 0.3::boy(1). 0.8::boy(4).")
-    engine.add_rule("r(A) :- third(A), girl(A).")
-    close(probs(engine, "r"), {2: 0.002, 3: 0.08})
-    engine.add_rule("q2(A) :- fourth(A), boy(A).")
-    close(probs(engine, "q2"), {4: 0.16})
-    engine.add_rule("q4(A) :- fourth(A), girl(A).")
-    close(probs(engine, "q4"), {6: 0.15})
+    engine = Engine(spark, "proofs").load(TANKS + "decl s(Int).")
+    engine.add_rule("r(B) :- pipe(1, B).")
+    close(probs(engine, "r"), {2: 0.75, 3: 0.25})
+    engine.add_rule("r(B) :- pipe(3, B).")
+    close(probs(engine, "r"), {2: 1 - 0.25 * 0.5, 3: 0.25})
+    engine.add_rule('s(B) :- r(B), valve(B, "open").')
+    close(probs(engine, "s"), {2: (1 - 0.25 * 0.5) * 0.125})
 
 
-@pytest.mark.parametrize("rule, counts", [("r(A < B) :- d(0, A), d(1, B).", {True: 45, False: 55})])
-def test_number_of_proofs(spark, rule, counts):
-    facts = " ".join("; ".join(f"0.1::d({i}, {v})" for v in range(10)) + "." for i in range(2))
-    engine = Engine(spark, "proofs").load(f"decl d(Symbol, Int). decl r(Bool). {facts} {rule}")
-    assert {r[0]: r[1] for r in engine.tagged("r").select("c0", F.size(TAG)).collect()} == counts
+def test_number_of_proofs(spark):
+    facts = " ".join("; ".join(f"0.125::card({i}, {v})" for v in range(8)) + "." for i in range(2))
+    engine = Engine(spark, "proofs").load(f"decl card(Int, Int). decl r(Int). {facts} r(A / 2 - B / 2) :- card(0, A), card(1, B).")
+    expected = {}
+    for a, b in product(range(8), repeat=2):
+        expected[a // 2 - b // 2] = expected.get(a // 2 - b // 2, 0) + 1
+    assert {r[0]: r[1] for r in engine.tagged("r").select("c0", F.size(TAG)).collect()} == expected
 
 
 def test_recursive_proofs_saturate(spark):
-    """Two ways from 1 to 4, one of them longer: both are proofs."""
-    text = "decl e(Int, Int). decl r(Int, Int). 0.5::e(1, 2). 0.5::e(2, 4). 0.5::e(1, 3). 0.5::e(3, 5). 0.5::e(5, 4). 0.5::e(4, 1). r(A, B) :- e(A, B). r(A, C) :- r(A, B), e(B, C)."
-    found = probs(Engine(spark, "proofs").load(text), "r")
-    assert found[(1, 4)] == pytest.approx(1 - 0.75 * 0.875)
-    top = probs(Engine(spark, "top-k-proofs", k=1).load(text), "r")
-    assert top[(1, 4)] == pytest.approx(0.25)
+    """Longer ways come in later rounds and are proofs like the others; ways through a cycle add nothing."""
+    engine = Engine(spark, "proofs").load(TANKS + "flow(A, B) :- pipe(A, B). flow(A, C) :- flow(A, B), pipe(B, C).")
+
+    def holds(held):
+        found = {(a, b) for _, a, b in held}
+        while more := {(a, d) for a, b in found for c, d in found if b == c} - found:
+            found |= more
+        return found
+
+    close(probs(engine, "flow"), chances(independent(PIPES), holds))
+    top = probs(Engine(spark, "top-k-proofs", k=1).load(TANKS + "flow(A, B) :- pipe(A, B). flow(A, C) :- flow(A, B), pipe(B, C)."), "flow")
+    assert top[(1, 3)] == pytest.approx(0.75 * 0.5) and top[(1, 2)] == pytest.approx(0.75)
 
 
 def test_plain_facts_are_certain(spark):
-    engine = Engine(spark, "proofs").load("decl a(Int). decl b(Int). decl r(Int). decl u. a(1). 0.25::a(2). 0.5::b(1). u. r(A) :- a(A), u. r(A) :- b(A).")
-    close(probs(engine, "r"), {1: 1.0, 2: 0.25})
+    engine = Engine(spark, "proofs").load("decl sure(Int). decl maybe(Int). decl r(Int). decl on. sure(4). 0.25::sure(6). 0.5::maybe(4). on. r(A) :- sure(A), on. r(A) :- maybe(A).")
+    close(probs(engine, "r"), {4: 1.0, 6: 0.25})
 
 
 def test_demand_keeps_probabilities(spark):
@@ -109,12 +149,36 @@ def test_demand_keeps_probabilities(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_gradient(spark):
-    frame = spark.createDataFrame([(1, 0.5), (2, 0.25), (3, 0.1)], "x int, p double")
-    engine = Engine(spark, "proofs").load("decl a(Int). decl r(Int). r(0) :- a(_).").insert_prob("a", frame, "p")
-    row = engine.with_gradient("r").first()
-    assert row["prob"] == pytest.approx(1 - 0.5 * 0.75 * 0.9)
-    assert sorted(row["grad"].values()) == pytest.approx(sorted([0.75 * 0.9, 0.5 * 0.9, 0.5 * 0.75]))
+def test_gradient_by_fact(spark):
+    """Slopes join to facts; those of shared facts are expanded, the others are products."""
+    frame = spark.createDataFrame([(1, 0.5), (2, 0.25), (4, 0.75)], "x int, p double")
+    text = "decl a(Int). decl b(Int). decl r(Int). r(0) :- a(_). r(1) :- a(A), b(A). r(2) :- a(A), b(5)."
+    engine = Engine(spark, "proofs").load(text).insert_prob("a", frame, "p").insert_prob("b", spark.createDataFrame([(2, 0.5), (4, 0.5), (5, 0.125)], frame.schema), "p")
+    p = {("a", 1): 0.5, ("a", 2): 0.25, ("a", 4): 0.75, ("b", 2): 0.5, ("b", 4): 0.5, ("b", 5): 0.125}
+    proofs = {0: [{("a", x)} for x in (1, 2, 4)], 1: [{("a", x), ("b", x)} for x in (2, 4)], 2: [{("a", x), ("b", 5)} for x in (1, 2, 4)]}
+
+    def chance(k, p):
+        return sum(w for held, w in worlds([[x] for x in p.items()]) if any(q <= held for q in proofs[k]))
+
+    names = {}
+    for relation in "ab":
+        for r in engine.facts(relation, ["x"]).collect():
+            assert r["prob"] == p[(relation, r["x"])] and r["group"] == r["fact"]
+            names[r["fact"]] = (relation, r["x"])
+    assert sorted(names.values()) == sorted(p)
+    for row in engine.with_gradient("r", ["k"]).collect():
+        assert row["prob"] == pytest.approx(chance(row["k"], p))
+        slopes = {names[f]: s for f, s in row["grad"].items()}
+        close(slopes, {f: chance(row["k"], p | {f: 1.0}) - chance(row["k"], p | {f: 0.0}) for q in proofs[row["k"]] for f in q})
+
+
+def test_facts_of_other_tags(spark):
+    engine = Engine(spark, "proofs").load("decl a(Int). a(1). 0.5::a(2); 0.25::a(3).")
+    found = engine.facts("a", ["x"]).collect()
+    assert sorted((r["x"], r["prob"]) for r in found) == [(2, 0.5), (3, 0.25)] and len({r["group"] for r in found}) == 1
+    assert Engine(spark, "proofs").load("decl a(Int).").facts("a").count() == 0
+    with pytest.raises(E.DatalogError):
+        Engine(spark).load("decl a(Int).").facts("a")
 
 
 def test_disjunctions_of_a_frame(spark):
