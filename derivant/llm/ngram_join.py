@@ -6,7 +6,7 @@ histogram of set sizes:
 
 * light: two sets of sizes a <= b link exactly if they share a subset of o(a, b)
   shingles, o being the least overlap that reaches the threshold. Sets up to the
-  boundary enumerate these subsets; sets meet at the hash of a subset, and a star
+  boundary enumerate these subsets; sets meet at the hashes of a subset, and a star
   around the smallest set of each meeting keeps all connectivity, so a meeting of any
   size costs one aggregation.
 * heavy: pairs with a larger set scan inverted lists. A set's rarest shingles, as
@@ -16,6 +16,10 @@ histogram of set sizes:
   pairs of chunks, so a task holds no more than two chunks at once, and each pair of sets that is not connected yet is
   verified by exact intersection.
 
+Shingles are hashed twice, from words hashed twice, by lanes that are independent of
+each other: sets are equal, and subsets are, if 128 bits are, and links of large sets
+are counted on the 64 bits of each of their shingles.
+
 Only edges of a spanning forest of the links are emitted: as many rows as sets, and
 never all pairs of a group, while no link between different components is lost.
 """
@@ -69,10 +73,10 @@ def _segments(text: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(text, np.arange(n + 1))
 
 
-def _signatures(keys: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Two 64-bit sums of hashes of each set, whatever the order of its members."""
+def _signatures(lanes: tuple[np.ndarray, np.ndarray], cut: np.ndarray) -> np.ndarray:
+    """A 64-bit sum of each lane's hashes of each set, whatever the order of its members."""
     out = np.zeros((2, len(cut) - 1), np.uint64)
-    for i, salt in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
+    for i, (keys, salt) in enumerate(zip(lanes, (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3), strict=True)):
         total = np.concatenate([[_U(0)], np.cumsum(W.mix(keys ^ _U(salt)))])
         out[i] = total[cut[1:]] - total[cut[:-1]]
     return out.view(np.int64)
@@ -84,10 +88,10 @@ def _sign(shingle: int):
             offsets, body, _ = W.flat(b["text"])
             n = np.zeros(b.num_rows, np.int64)
             s = np.zeros((2, b.num_rows), np.int64)
-            for i, j, h, where in W.word_groups(offsets, body, lower=True):
-                keys, text = W.shingle_sets(h, where, shingle)
+            for i, j, h, where in W.word_groups(offsets, body, lower=True, lanes=2):
+                keys, text, other = W.shingle_sets(h[0], where, shingle, h[1])
                 cut = _segments(text, j - i)
-                n[i:j], s[:, i:j] = np.diff(cut), _signatures(keys, cut)
+                n[i:j], s[:, i:j] = np.diff(cut), _signatures((keys, other), cut)
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(n), pa.array(s[0]), pa.array(s[1])], ["id", "n", "s1", "s2"])
 
     return sign
@@ -106,17 +110,18 @@ class _Sets:
         docs = docs.take(pa.array(rows, pa.int64()))
         ids = np.array([ids[k] for k in rows], np.int64)
         offsets, body, _ = W.flat(docs["text"])
-        self.ids, self.sets = [], []
-        for i, j, h, where in W.word_groups(offsets, body, lower=True):
-            keys, text = W.shingle_sets(h, where, shingle)
+        self.ids, self.sets, self.others = [], [], []
+        for i, j, h, where in W.word_groups(offsets, body, lower=True, lanes=2):
+            keys, text, other = W.shingle_sets(h[0], where, shingle, h[1])
             cut = _segments(text, j - i)
-            sums = _signatures(keys, cut)
+            sums = _signatures((keys, other), cut)
             for k in range(j - i):
                 of = (int(cut[k + 1] - cut[k]), int(sums[0, k]), int(sums[1, k]))
                 if of in wanted[int(ids[i + k])]:
                     wanted[int(ids[i + k])].discard(of)  # a repeated row counts once
                     self.ids.append(int(ids[i + k]))
                     self.sets.append(keys[cut[k] : cut[k + 1]])
+                    self.others.append(other[cut[k] : cut[k + 1]] if cut[k + 1] - cut[k] <= MOST_LIGHT else None)
 
     def entries(self, buckets: int, low: int):
         """Of sets of low members at least, distinct keys by bucket: short keys, counts, slices; and each key's place."""
@@ -134,7 +139,7 @@ class _Sets:
 
 _ASK = "block long, bucket long, keys binary, counts binary"
 _TELL = "block long, bucket long, hit binary, df binary"
-_CANDIDATES = "id long, n int, lists array<long>, members binary, subsets array<long>, sizes array<int>"
+_CANDIDATES = "id long, n int, lists array<long>, members binary, subsets array<long>, others array<long>, sizes array<int>"
 
 
 def _ask(shingle: int, low: int, buckets: int):
@@ -166,17 +171,18 @@ def _count(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(cols[0], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int64()), "hit": pa.array(cols[1], pa.binary()), "df": pa.array(cols[2], pa.binary())})
 
 
-def _subsets(keys: np.ndarray, boundary: int, percent: int) -> tuple[list[int], list[int]]:
-    """Hashes and sizes of the fixed-size subsets of a light set."""
-    hashes, sizes, n = [], [], len(keys)
-    parts = W.mix(keys ^ _U(0x1D8E4E27C47D124F))
+def _subsets(lanes: tuple[np.ndarray, np.ndarray], boundary: int, percent: int) -> tuple[list[list[int]], list[int]]:
+    """Hashes, of both lanes, and sizes of the fixed-size subsets of a light set."""
+    hashes, sizes, n = [[], []], [], len(lanes[0])
+    parts = [W.mix(keys ^ _U(0x1D8E4E27C47D124F)) for keys in lanes]
     for c in subset_sizes(n, boundary, percent):
         gone = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
-        hashes.extend((np.add.reduce(parts, keepdims=True) - np.add.reduce(parts[gone], axis=1)).tolist())
-        sizes.extend([c] * len(gone))
-    if not hashes:
-        return [], []
-    return W.mix(np.array(hashes, np.uint64) + np.array(sizes, np.uint64) * _U(0xEB44ACCAB455D165)).view(np.int64).tolist(), sizes
+        for k, p in enumerate(parts):
+            hashes[k].append(np.add.reduce(p, keepdims=True) - np.add.reduce(p[gone], axis=1))
+        sizes += [c] * len(gone)
+    if not sizes:
+        return [[], []], []
+    return [W.mix(np.concatenate(x) + np.array(sizes, np.uint64) * _U(0xEB44ACCAB455D165)).view(np.int64).tolist() for x in hashes], sizes
 
 
 def _candidates(shingle: int, low: int, boundary: int, buckets: int, percent: int):
@@ -193,7 +199,7 @@ def _candidates(shingle: int, low: int, boundary: int, buckets: int, percent: in
                 df[a:b][np.unpackbits(np.frombuffer(hit, np.uint8), count=b - a).astype(bool)] = np.frombuffer(many, np.uint32)
         often = df[place]
         rows, a = [], 0
-        for i, members in zip(sets.ids, sets.sets, strict=True):
+        for i, members, other in zip(sets.ids, sets.sets, sets.others, strict=True):
             n, lists = len(members), []
             if n >= low:
                 mine = often[a : a + n]
@@ -201,11 +207,12 @@ def _candidates(shingle: int, low: int, boundary: int, buckets: int, percent: in
                 prefix = n + percent * n // -100 + 1
                 first = np.lexsort((members, mine))[:prefix]
                 lists = members[first[mine[first] > 1]].view(np.int64).tolist()
-            subsets, sizes = _subsets(members, boundary, percent) if n <= boundary else ([], [])
-            if lists or subsets:
-                rows.append((i, n, lists, members.tobytes() if lists else None, subsets, sizes))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], names=["id", "n", "lists", "members", "subsets", "sizes"])
+            subsets, sizes = _subsets((members, other), boundary, percent) if n <= boundary else ([[], []], [])
+            if lists or sizes:
+                rows.append((i, n, lists, members.tobytes() if lists else None, *subsets, sizes))
+        longs = pa.list_(pa.int64())
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), longs, pa.binary(), longs, longs, pa.list_(pa.int32())), strict=True)], names=["id", "n", "lists", "members", "subsets", "others", "sizes"])
 
     return find
 
@@ -300,10 +307,10 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     both = reps.unionByName(told, allowMissingColumns=True)
     sets = materialize(dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_candidates(shingle, low, boundary, blocks, percent), _CANDIDATES), "sets")
 
-    light = sets.select("id", "n", F.explode(F.arrays_zip("subsets", "sizes")).alias("s")).select("id", "n", F.col("s.subsets").alias("key"), F.col("s.sizes").alias("c"))
-    hub = light.groupBy("key", "c").agg(F.min(F.struct("n", "id")).alias("hub"), F.count("*").alias("k")).where("k > 1")
+    light = sets.select("id", "n", F.explode(F.arrays_zip("subsets", "others", "sizes")).alias("s")).select("id", "n", F.col("s.subsets").alias("key"), F.col("s.others").alias("other"), F.col("s.sizes").alias("c"))
+    hub = light.groupBy("key", "other", "c").agg(F.min(F.struct("n", "id")).alias("hub"), F.count("*").alias("k")).where("k > 1")
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("hub.n")) / F.lit(100 + percent))
-    light_links = light.join(hub, ["key", "c"]).where((F.col("id") != F.col("hub.id")) & (need <= F.col("c"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    light_links = light.join(hub, ["key", "other", "c"]).where((F.col("id") != F.col("hub.id")) & (need <= F.col("c"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
 
     entries = sets.select("id", "n", F.explode("lists").alias("key"))
     pivots = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from derivant.llm import _graph, embed_dedup, ngram_join, substring_dedup
 
+from .test_words import doubling
+
 
 class Union:
     def __init__(self):
@@ -146,17 +148,39 @@ def test_substrings(spark, rows, sf):
 
 
 def test_factors(spark):
-    """Factors follow one another, have a reference before the document, and cover what is removed."""
+    """Factors follow one another, stand contiguously in an earlier document, and cover what is removed."""
     docs = passages(9)
-    df = spark.createDataFrame(docs, "doc_id long, text string").where("doc_id is not null").dropDuplicates(["doc_id"])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = {}
+    for i, t in docs:
+        texts.setdefault(i, []).append((t or "").split())
+    single = {i for i, t in texts.items() if i is not None and len(t) == 1}
     removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()}
     cover = {}
     for r in substring_dedup.repeated_spans(df).orderBy("doc_id", "word_start").collect():
-        assert r["ref_doc_id"] < r["doc_id"] and r["word_start"] < r["word_end"]
-        spans = cover.setdefault(r["doc_id"], [])
-        assert not spans or spans[-1][1] <= r["word_start"]
-        spans.append((r["word_start"], r["word_end"]))
-    assert {i: sum(b - a for a, b in s) for i, s in cover.items()} == {i: n for i, n in removed.items() if n}
+        a, b = r["word_start"], r["word_end"]
+        assert a < b and (r["doc_id"] is None or r["ref_doc_id"] < r["doc_id"])
+        there = [t[r["ref_start"] : r["ref_start"] + b - a] for t in texts[r["ref_doc_id"]]]
+        assert any(t[a:b] in there for t in texts[r["doc_id"]])
+        if r["doc_id"] in single:
+            spans = cover.setdefault(r["doc_id"], [])
+            assert not spans or spans[-1][1] <= a
+            spans.append((a, b))
+    assert {i: sum(b - a for a, b in s) for i, s in cover.items()} == {i: n for i, n in removed.items() if n and i in single}
+    kept = {r["doc_id"]: r["kept"] for r in substring_dedup.without_repeats(df).collect() if r["doc_id"] in single}
+    for i, k in kept.items():
+        gone = {w for a, b in cover.get(i, []) for w in range(a, b)}
+        assert k == " ".join(w for n, w in enumerate(texts[i][0]) if n not in gone)
+    assert substring_dedup.repeated_spans(df.limit(0)).count() == substring_dedup.without_repeats(df.limit(0)).count() == 0
+
+
+def test_words_whose_patterns_are_alike(spark, rows):
+    """Long words that a polynomial modulo 2**64 confounds: no link, nothing removed."""
+    a, b = (doubling(1024, *x) for x in (("a", "b"), ("b", "a")))
+    docs = [(1, a), (2, b), (3, " ".join([a] * 13)), (4, " ".join([b] * 13)), (5, " ".join([a, b] * 10)), (6, " ".join([b, a] * 10))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(ngram_join.jaccard_components(df)) == brute_components(docs, 3, 90)
+    assert rows(substring_dedup.remove_repeats(df)) == brute_repeats(docs)
 
 
 def test_embeddings(spark):

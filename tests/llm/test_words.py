@@ -57,3 +57,34 @@ def test_a_long_text_ends_where_it_ends():
         for k in range(i, j):
             found[k] = h[where[k - i] : where[k - i + 1]].tolist()
     assert [len(found[k]) for k in range(3)] == [2, 2, 1] and found[0][1] == found[2][0] and found[1][0] == found[1][1]
+
+
+def doubling(n, a="a", b="b"):
+    """n letters of the word that repeats itself with a and b exchanged, again and again."""
+    w = a
+    while len(w) < n:
+        w += w.translate(str.maketrans(a + b, b + a))
+    return w[:n]
+
+
+def test_patterns_do_not_collide():
+    values = [doubling(1 << k, *ab) for k in range(13) for ab in (("a", "b"), ("b", "a"))]
+    values += ["ab" * 8 + "ba" * 8, "ba" * 8 + "ab" * 8, "a" * 16 + "b" * 16, "b" * 16 + "a" * 16, "x" * 8, "x" * 9, "x" * 16, "x" * 17, "\0", "\0\0", "\0" * 8, "\0" * 9]
+    offsets, body, _ = W.flat(pa.array(values))
+    for lane in range(2):
+        found = {}
+        for i, j, h, where in W.word_groups(offsets, body, lanes=2):
+            for k in range(i, j):
+                found[k] = h[lane][where[k - i]]
+        assert len(set(found.values())) == len(set(values))
+
+
+def test_lanes_give_the_same_sets():
+    column = pa.array(["a b c d e f g", "x", None, "a b c a b c", "long-word-of-many-letters b c"])
+    offsets, body, _ = W.flat(column)
+    (_, _, h, where), = W.word_groups(offsets, body, lanes=2)
+    (_, _, one, _), = W.word_groups(offsets, body)
+    assert (h[0] == one).all() and not (h[0] == h[1]).any()
+    keys, text, other = W.shingle_sets(h[0], where, 3, h[1])
+    plain, plain_text = W.shingle_sets(one, where, 3)
+    assert keys.tolist() == plain.tolist() and text.tolist() == plain_text.tolist() and len(set(other.tolist())) == len(set(keys.tolist()))
