@@ -8,7 +8,8 @@ the threshold: of any (1 - t) n + 1 shingles at least one lies in a document tha
 holds t n of the n, so a document that holds none of an item's k smallest hashes
 cannot contain it. The search therefore misses nothing. Every shingle of every
 document, of any length, probes the sketches; candidates are then verified by
-exact containment of the shingles as text.
+exact containment of the shingles as text. A text is split once, for all widths, and of
+a candidate's shingles only those go on that are an item's.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 
 WORDS, THRESHOLD = 5, 0.8
-#: The sketches are broadcast up to this many rows; beyond it they are joined by shuffle.
+#: Sketches and items' shingles are broadcast up to this many rows; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -35,13 +36,22 @@ def _hash_at(ws: Column, i: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(ws, i + k) for k in range(n)])
 
 
-def _hashes(ws: Column, n: int) -> Column:
-    """Hashes of the n-word shingles of an array of words (null if there are fewer words)."""
-    return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: _hash_at(ws, i, n)))
+def _all_shingles(ws: Column, widths: list[int], shingle) -> Column:
+    """The distinct (width, shingle(words, place, width)) of an array of words, for all widths at once."""
 
+    def of(n: int) -> Column:
+        at = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.lit(n).alias("width"), shingle(ws, i, n)))
 
-def _texts(ws: Column, n: int) -> Column:
-    return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " ")))
+    return F.array_distinct(of(widths[0]) if len(widths) == 1 else F.concat(*map(of, widths)))
+
+
+def _as_hash(ws: Column, i: Column, n: int) -> Column:
+    return _hash_at(ws, i, n).alias("h")
+
+
+def _as_text(ws: Column, i: Column, n: int) -> Column:
+    return F.array_join(F.slice(ws, i + 1, F.lit(n)), " ").alias("shingle")
 
 
 def _items(benchmark: DataFrame, n: int, id_column: str, text_column: str) -> DataFrame:
@@ -57,51 +67,61 @@ def _items(benchmark: DataFrame, n: int, id_column: str, text_column: str) -> Da
     return base.select("item_id", "version", "width", F.size("s").alias("n_item"), F.explode("s").alias("s")).select("item_id", "version", "width", "n_item", "s.shingle", "s.h")
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared): the items of which a document holds threshold of the n-word shingles.
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
-    A null or empty text on either side contains nothing and is contained in nothing;
-    rows that repeat a doc_id or item_id are one document or several versions of one
-    item (each is searched by itself, and the best one counts, of equal ones the longest); a null id is never reported; an empty table on
-    either side gives no rows; further columns are ignored.
-    """
+
+def _matches(base: DataFrame, benchmark: DataFrame, n: int, threshold: float, item_id: str, item_text: str) -> DataFrame:
+    """(_k, _null, item_id, n_item, n_shared) of base(_k, _null, text)."""
+    key = ["_k", "_null"]
     items = _items(benchmark, n, item_id, item_text)
     # k of the size class: enough for its largest member
     top = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_item").cast("double"))))
     k = top - F.ceil(F.lit(threshold) * top - F.lit(1e-9)) + 1
-    items = items.withColumn("k", k.cast("int"))
+    items = materialize(items.withColumn("k", k.cast("int")), "items")
     sketch = items.groupBy("item_id", "version", "width", "n_item", "k").agg(F.sort_array(F.collect_set(F.struct(F.xxhash64("h").alias("order"), F.col("h")))).alias("s"))
     sketch = sketch.select("item_id", "version", "width", "n_item", F.explode(F.slice(F.col("s"), F.lit(1), F.col("k"))).alias("s")).select("width", F.col("s.h").alias("h"), "item_id", "version", "n_item")
-    facts = sketch.agg(F.collect_set("width").alias("widths"), F.count("*").alias("rows")).first()
-    widths = sorted(facts["widths"])
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    facts = items.agg(F.collect_set("width").alias("widths"), F.count("*").alias("rows")).first()
+    widths, rows = sorted(facts["widths"]), facts["rows"]  # a sketch has no more rows than its items have shingles
     if not widths:
-        return base.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_item"), F.lit(0).cast("long").alias("n_shared")).where(F.lit(False))
-    split = base.select("doc_id", words(F.col("text")).alias("ws"))
-    probe = None
-    for w in widths:
-        part = split.select("doc_id", F.lit(w).alias("width"), F.explode(F.array_distinct(_hashes(F.col("ws"), w))).alias("h"))
-        probe = part if probe is None else probe.unionByName(part)
-    keys = sketch.select("width", "h", "item_id", "version", "n_item")
-    if facts["rows"] <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    candidates = materialize(probe.join(keys, ["width", "h"]).select("doc_id", "item_id", "version", "width", "n_item").distinct(), "candidates")
-    texts = base.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("ws"))
-    exact = None
-    for w in widths:
-        part = texts.select("doc_id", F.lit(w).alias("width"), F.explode(F.array_distinct(_texts(F.col("ws"), w))).alias("shingle"))
-        exact = part if exact is None else exact.unionByName(part)
-    exact = exact.distinct()
+        return base.select(*key, F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_item"), F.lit(0).cast("long").alias("n_shared")).where(F.lit(False))
+    split = base.where("text is not null").select(*key, words(F.col("text")).alias("ws"))
+    probe = split.select(*key, F.explode(_all_shingles(F.col("ws"), widths, _as_hash)).alias("s")).select(*key, "s.width", "s.h")
+    candidates = materialize(probe.join(_small(sketch, rows), ["width", "h"]).select(*key, "item_id", "version", "width", "n_item").distinct(), "candidates")
+    texts = split.join(candidates.select(*key).distinct(), key, "left_semi")
+    exact = texts.select(*key, F.explode(_all_shingles(F.col("ws"), widths, _as_text)).alias("s")).select(*key, "s.width", "s.shingle")
+    exact = exact.join(_small(items.select("width", "shingle").distinct(), rows), ["width", "shingle"], "left_semi").distinct()
     wanted = candidates.join(items.select("item_id", "version", "width", "n_item", "shingle"), ["item_id", "version", "width", "n_item"])
-    shared = exact.join(wanted, ["doc_id", "width", "shingle"]).groupBy("doc_id", "item_id", "version", "n_item").agg(F.countDistinct("shingle").alias("n_shared"))
+    shared = exact.join(wanted, [*key, "width", "shingle"]).groupBy(*key, "item_id", "version", "n_item").agg(F.countDistinct("shingle").alias("n_shared"))
     good = shared.where(F.col("n_shared") * 1_000_000 >= F.col("n_item") * math.ceil(threshold * 1_000_000 - 1e-6))
-    return good.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("part"), "n_item", "n_shared")).alias("b")).select("doc_id", "item_id", "b.n_item", "b.n_shared")
+    return good.groupBy(*key, "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("part"), "n_item", "n_shared")).alias("b")).select(*key, "item_id", "b.n_item", "b.n_shared")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose document contains no item."""
-    found = contained(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs[options.get("doc_id", "doc_id")] == F.col("_leak"), "left_anti")
+def contained(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared): the items of which a document holds threshold of the n-word shingles.
+
+    A null or empty text on either side contains nothing and is contained in nothing;
+    rows that repeat a doc_id or item_id are one document or several versions of one
+    item (each is searched by itself, and the best one counts, of equal ones the longest); a null id is never reported; an empty table on
+    either side gives no rows; further columns are ignored.
+    """
+    base = docs.select(F.col(doc_id).cast("long").alias("_k"), F.lit(False).alias("_null"), F.col(doc_text).cast("string").alias("text")).where("_k is not null")
+    return _matches(base, benchmark, n, threshold, item_id, item_text).select(F.col("_k").alias("doc_id"), "item_id", "n_item", "n_shared")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs whose document contains no item; all columns stay as they are.
+
+    Rows that repeat a doc_id are one document, so they go or stay together; a row
+    without a doc_id is a document by itself, known by its text; rows with a null or
+    empty text stay; an item with a null item_id counts for nothing; with an empty
+    benchmark all rows stay, and an empty table stays empty.
+    """
+    number, text = docs[doc_id].cast("long"), docs[doc_text].cast("string")
+    key = F.coalesce(number, F.xxhash64(text)), number.isNull()
+    base = docs.select(key[0].alias("_k"), key[1].alias("_null"), text.alias("text"))
+    found = _matches(base, benchmark, n, threshold, item_id, item_text).select(F.col("_k").alias("_leak"), F.col("_null").alias("_leak_null")).distinct()
+    return docs.join(found, (key[0] == F.col("_leak")) & (key[1] == F.col("_leak_null")), "left_anti")
 
 
 #: The rows of contained(documents, benchmark) in DuckDB, by plain comparison of all shingles.

@@ -75,7 +75,10 @@ def test_contained(spark):
     b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
     found = sorted((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in decontaminate.contained(d, b).collect())
     assert found == [(1, 10, 8, 8), (2, 10, 8, 7), (6, 11, 1, 1)]
-    assert sorted(r["doc_id"] or 0 for r in decontaminate.clean(d, b).collect()) == [0, 3, 4, 5, 7]
+    assert sorted(r["doc_id"] or 0 for r in decontaminate.clean(d, b).collect()) == [3, 4, 5, 7]  # what has no id is looked at, too
+    nulls = spark.createDataFrame([(None, "clean text of some words here"), (None, None), (None, ""), (None, "so " + ITEM), (8, None)], "doc_id long, text string")
+    assert sorted(r["text"] or "" for r in decontaminate.clean(nulls, b).collect()) == ["", "", "", "clean text of some words here"]
+    assert decontaminate.clean(d.limit(0), b).count() == 0
     assert decontaminate.contained(d.limit(0), b).count() == decontaminate.contained(d, b.limit(0)).count() == 0
     assert decontaminate.clean(d, b.limit(0)).count() == len(docs)
 
@@ -117,10 +120,35 @@ def test_warc(spark, monkeypatch):
     assert warc.read_bundles(warc.write_bundles(df.limit(0))).count() == 0
 
 
-def test_digest_column(spark):
-    df = spark.createDataFrame([("",), ("abc",), ("é" * 1000,)], "t string")
-    for r in df.select("t", warc.digest_column(F.col("t")).alias("d")).collect():
-        assert r["d"] == base64.b32encode(hashlib.sha1(r["t"].encode()).digest()).decode()
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_warc_records_have_ids_of_their_own(spark, monkeypatch, tmp_path, most):
+    """Rows that repeat a page_id, or have none, are told apart; a revisit names one record or none."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 3000)
+    pages = [*PAGES, (None, "n", "null one"), (None, "n", "null two"), (9, "t", "twice"), (9, "t", "twice"), (8, "t", "twice"), (6, "other", "another payload"), (10, "long", "é" * 400_000)]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, bundle string")
+    for least in (0, 6):
+        bundles = warc.write_bundles(df, least)
+        records = []
+        for r in bundles.collect():
+            reader = warc.BundleReader(bytes(r["archive"]))
+            records += [warc.fields(reader.record(f, o).partition(b"\r\n\r\n")[0]) for f, o in zip(r["frames"], r["offsets"], strict=True)]
+        ids = {f[b"WARC-Record-ID"]: f for f in records}
+        assert len(ids) == len(records) == len(pages)
+        for f in records:
+            if b"WARC-Refers-To" in f:
+                to = ids[f[b"WARC-Refers-To"]]
+                assert to[b"WARC-Type"] == b"response" and to[b"X-Page"] == f[b"X-Refers-To-Page"] and to[b"WARC-Payload-Digest"] == f[b"WARC-Payload-Digest"]
+    bundles = warc.write_bundles(df)
+    found = spark_rows(warc.read_bundles(bundles))
+    assert found == duck(warc.SQL, pages=df)
+    assert warc.export_files(bundles, str(tmp_path / "out")).count() == bundles.count() > 1
+    assert spark_rows(warc.read_files(spark, str(tmp_path / "out"))) == found
+    index = warc.write_index(bundles)
+    assert index.count() == len(pages)
+    for page in (7, 10):
+        assert warc.find_record(bundles, page, index) == warc.find_record(bundles, page) and f"X-Page: {page}\r".encode() in warc.find_record(bundles, page)
+    assert warc.find_record(bundles, -5, index) is None
 
 
 def test_seek_table():
@@ -148,12 +176,46 @@ def test_token_counts(spark, sf, block):
     assert token_counts.token_counts(df.limit(0)).count() == 0
 
 
+def test_any_text_is_encoded(spark):
+    """Long runs of white space are cut where the pattern would cut them; 5 MB of one character pass."""
+    encode = token_counts._tokenizer(token_counts.VOCABULARY).encode_ordinary
+    for text in ("a" + " " * 30 + "b", " " * 30 + "\n" * 9 + "x", "x \t" + "\u3000" * 20 + "é", "1" + "\n" * 15, " " * 12, "a  b" + " " * 11 + "\x1cb   'll", "\x85" * 15 + "'s", ""):
+        for long in (2, 10):
+            assert "".join(x for x, _ in token_counts.pieces(text, long)) == text
+            assert [t for x in token_counts.encoder(token_counts.VOCABULARY, long)(text) for t in x.tolist()] == encode(text)
+    n = 5_000_000
+    docs = [(1, " " * n + "a"), (2, "\n" * n + "b"), (3, "a" * n), (4, ("x" + " " * 999) * 2000)]
+    found = dict(map(tuple, token_counts.token_counts(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    parts = {k: [len(encode(c * m)) for c, m in x] for k, x in {1: ((" ", 200_000), (" a", 1)), 2: (("\n", 200_000), ("\n", 1), ("b", 1)), 3: (("a", 200_000),)}.items()}
+    scale = (n - 1) / 200_000  # all but the last of a run of white space
+    assert abs(found[1] - parts[1][0] * scale - 1) <= 2 and abs(found[2] - parts[2][0] * scale - 2) <= 2 and abs(found[3] - parts[3][0] * n / 200_000) <= 1
+    assert found[4] == 1 + 1999 * (len(encode(" " * 998)) + len(encode(" x"))) + len(encode(" " * 999))
+
+
+def test_wide_vocabularies(spark, tmp_path):
+    """Numbers above 16 bits, and a separator that is a token."""
+    import base64 as b64
+
+    import numpy as np
+
+    path = str(tmp_path / "wide")
+    with open(path, "wb") as f:
+        for k in range(256):
+            f.write(b64.b64encode(bytes([k])) + b" %d\n" % (k + 70_000))
+        f.write(b64.b64encode(b"ab") + b" 131072\n")
+    assert token_counts.separator_of(path) == (131_073, np.uint32) and token_counts.separator_of(token_counts.VOCABULARY) == (50_256, np.uint16)
+    with pytest.raises(ValueError, match="token of the vocabulary"):
+        token_counts.separator_of(path, 70_005)
+    df = spark.createDataFrame([(1, "abab c"), (2, ""), (3, "b" * 70)], "doc_id long, text string")
+    assert dict(map(tuple, token_counts.token_counts(df, path, block=7).collect())) == {1: 4, 2: 0, 3: 70}
+
+
 def test_separators_in_any_place(spark, rows):
-    s = token_counts.SEPARATOR
+    s = 50_256
     import numpy as np
 
     flat = [s, 1, 2, s, s, 3, 4, 5, 6, 7, s, 8]
     for size in (1, 2, 5, 12):
         files = [(f, k, bytes(np.array(flat[i : i + size], np.uint16))) for f in (0, 1) for k, i in enumerate(range(0, 12, size))]
         df = spark.createDataFrame(files, "file long, block long, tokens binary")
-        assert rows(token_counts.count_tokens(df)) == [(f, k, n) for f in (0, 1) for k, n in enumerate([0, 2, 0, 5, 1])]
+        assert rows(token_counts.count_tokens(df, s)) == [(f, k, n) for f in (0, 1) for k, n in enumerate([0, 2, 0, 5, 1])]
