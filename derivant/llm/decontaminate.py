@@ -36,22 +36,19 @@ def _hash_at(ws: Column, i: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(ws, i + k) for k in range(n)])
 
 
-def _all_shingles(ws: Column, widths: list[int], shingle) -> Column:
+def _all_shingles(ws: Column, widths: list[int], name: str, shingle) -> Column:
     """The distinct (width, shingle(words, place, width)) of an array of words, for all widths at once."""
 
     def of(n: int) -> Column:
         at = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.lit(n).alias("width"), shingle(ws, i, n)))
+        # distinct before they are structs, whose distinct is quadratic
+        return F.transform(F.array_distinct(F.transform(at, lambda i: shingle(ws, i, n))), lambda x: F.struct(F.lit(n).alias("width"), x.alias(name)))
 
-    return F.array_distinct(of(widths[0]) if len(widths) == 1 else F.concat(*map(of, widths)))
+    return of(widths[0]) if len(widths) == 1 else F.concat(*map(of, widths))
 
 
-def _as_hash(ws: Column, i: Column, n: int) -> Column:
-    return _hash_at(ws, i, n).alias("h")
-
-
-def _as_text(ws: Column, i: Column, n: int) -> Column:
-    return F.array_join(F.slice(ws, i + 1, F.lit(n)), " ").alias("shingle")
+def _text_at(ws: Column, i: Column, n: int) -> Column:
+    return F.array_join(F.slice(ws, i + 1, F.lit(n)), " ")
 
 
 def _items(benchmark: DataFrame, n: int, id_column: str, text_column: str) -> DataFrame:
@@ -86,10 +83,10 @@ def _matches(base: DataFrame, benchmark: DataFrame, n: int, threshold: float, it
     if not widths:
         return base.select(*key, F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_item"), F.lit(0).cast("long").alias("n_shared")).where(F.lit(False))
     split = base.where("text is not null").select(*key, words(F.col("text")).alias("ws"))
-    probe = split.select(*key, F.explode(_all_shingles(F.col("ws"), widths, _as_hash)).alias("s")).select(*key, "s.width", "s.h")
+    probe = split.select(*key, F.explode(_all_shingles(F.col("ws"), widths, "h", _hash_at)).alias("s")).select(*key, "s.width", "s.h")
     candidates = materialize(probe.join(_small(sketch, rows), ["width", "h"]).select(*key, "item_id", "version", "width", "n_item").distinct(), "candidates")
     texts = split.join(candidates.select(*key).distinct(), key, "left_semi")
-    exact = texts.select(*key, F.explode(_all_shingles(F.col("ws"), widths, _as_text)).alias("s")).select(*key, "s.width", "s.shingle")
+    exact = texts.select(*key, F.explode(_all_shingles(F.col("ws"), widths, "shingle", _text_at)).alias("s")).select(*key, "s.width", "s.shingle")
     exact = exact.join(_small(items.select("width", "shingle").distinct(), rows), ["width", "shingle"], "left_semi").distinct()
     wanted = candidates.join(items.select("item_id", "version", "width", "n_item", "shingle"), ["item_id", "version", "width", "n_item"])
     shared = exact.join(wanted, [*key, "width", "shingle"]).groupBy(*key, "item_id", "version", "n_item").agg(F.countDistinct("shingle").alias("n_shared"))
