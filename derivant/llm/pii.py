@@ -7,14 +7,21 @@ checksum, gazetteers of prefixes and domains, context words before the candidate
 its boundaries, and the variety of its characters. Expectation-maximisation over the
 counts of all vote patterns of the whole corpus estimates each labeler's reliability
 by kind; its posteriors then train a logistic classifier of spans, which decides about
-the looser candidates. Base matches always stay. Vote patterns are bounded by
-construction, so what reaches the driver does not grow with the corpus.
+the looser candidates. The classifier sees no vote but the span itself and what is
+around it (its make-up of characters, its length and variety, the words before and
+after, the characters beside it), so it carries over to spans that the labelers judge
+wrongly or not at all. Base matches always stay. Vote patterns are bounded by
+construction, and the classifier's steps sum moments, so what reaches the driver does
+not grow with the corpus; no candidate is sampled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +64,12 @@ _ASK = {k: frozenset(v.split()) for k, v in CONTEXT.items()}
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 LABELERS = 5
 LENGTHS = (8, 14, 24)
-_SCHEMA = "doc_id long, kinds array<int>, starts array<int>, ends array<int>, patterns array<int>"
+#: Words before and after a span are hashed to so many numbers each.
+WORD_BITS = 4
+FEATURES = 20 + 2 * (1 << WORD_BITS)
+RIDGE, ROUNDS = 1e-3, 8
+_SPANS = "kinds array<int>, starts array<int>, ends array<int>, patterns array<int>, x binary"
+_SCHEMA = f"doc_id long, {_SPANS}"
 
 
 def luhn(digits: str) -> bool:
@@ -152,20 +164,48 @@ def _features(pattern: int) -> tuple[int, tuple[int, ...], int]:
     return pattern, tuple(reversed(given)), length
 
 
+def _word_number(word: str) -> int:
+    return zlib.crc32(word.lower().encode()) & ((1 << WORD_BITS) - 1)
+
+
+def span_features(text: str, a: int, b: int) -> list[float]:
+    """What the classifier knows of text[a:b]: the span and its surroundings, no votes."""
+    span, n = text[a:b], b - a
+    ascii_ = [ord(c) for c in span]
+    digits = sum(48 <= c <= 57 for c in ascii_)
+    upper, lower = sum(65 <= c <= 90 for c in ascii_), sum(97 <= c <= 122 for c in ascii_)
+    groups = re.findall("[0-9]+", span)
+    turns = sum((x.isdigit(), x.isalpha()) != (y.isdigit(), y.isalpha()) for x, y in zip(span, span[1:], strict=False))
+    before, after = text[a - 1] if a else "", text[b] if b < len(text) else ""
+    x = [1.0, digits / n, upper / n, lower / n, 1 - (digits + upper + lower) / n, math.log(n) / 5, len(set(span)) / n, len(set(span)) / 32, turns / n, min(len(groups), 8) / 8]
+    x += [max(map(len, groups), default=0) / n, float(upper > 0 < lower), float(digits > 0 < upper + lower), float(span[:1].isdigit()), float(span[-1:].isdigit()), float(before.isalnum()), float(after.isalnum()), float(before in "\"'=:"), float(before.isspace() or not before), float(after.isspace() or not after or after in ",.;:!?)\"'")]
+    words = [0.0] * (2 << WORD_BITS)
+    for w in _WORD.findall(text[max(0, a - 40) : a])[-3:]:
+        words[_word_number(w)] = 1.0
+    for w in _WORD.findall(text[b : b + 24])[:1]:
+        words[(1 << WORD_BITS) + _word_number(w)] = 1.0
+    return x + words
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(kind, start, end, vote pattern): base matches, and looser ones that overlap none of them.
 
     A secret stays whole also where a base match lies in it.
     """
-    base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    loose: list[tuple[int, int]] = []
-    out = list(base)
+    out = base_spans(text)
+    starts, ends = [], []  # of what base matches take, put together
+    for a, b in sorted((a, b) for _, a, b in out):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    loose_end = 0
     for kind, a, b in sorted(_loose_spans(text), key=lambda s: (s[1], s[0])):
-        if not any(x < b and a < y for x, y in (loose if kind == 7 else taken)):
+        k = bisect_right(ends, a)  # the first that ends after a
+        if a >= loose_end and (kind == 7 or k == len(ends) or starts[k] >= b):
             out.append((kind, a, b))
-            taken.append((a, b))
-            loose.append((a, b))
+            loose_end = b
     return sorted(((k, a, b, _pattern(k, votes(text, k, a, b), b - a)) for k, a, b in out), key=lambda s: (s[1], s[0]))
 
 
@@ -192,11 +232,22 @@ def _texts(column: pa.Array) -> Iterator[str | None]:
         i = j
 
 
+def _found(column: pa.Array) -> list[pa.Array]:
+    """kinds, starts, ends, patterns and features of the candidates of each text."""
+    rows, features = [], []
+    for t in _texts(column):
+        mine = candidates(t) if t else []
+        rows.append(mine)
+        features.append(np.array([span_features(t, a, b) for _, a, b, _ in mine], np.float32).tobytes())
+    return [*(pa.array([[s[k] for s in r] for r in rows], pa.list_(pa.int32())) for k in range(4)), pa.array(features, pa.binary())]
+
+
+_NAMES = ["kinds", "starts", "ends", "patterns", "x"]
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [candidates(t) if t else [] for t in _texts(b["text"])]
-        lists = [pa.array([[s[k] for s in r] for r in rows], pa.list_(pa.int32())) for k in range(4)]
-        yield pa.RecordBatch.from_arrays([b["id"], *lists], ["doc_id", "kinds", "starts", "ends", "patterns"])
+        yield pa.RecordBatch.from_arrays([b["id"], *_found(b["text"])], ["doc_id", *_NAMES])
 
 
 def estimate(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
@@ -224,71 +275,104 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     return out
 
 
-def _vector(pattern: int) -> np.ndarray:
-    kind, given, length = _features(pattern)
-    x = np.zeros(len(KINDS) + 2 * LABELERS + len(LENGTHS) + 1)
-    x[kind] = 1
-    for j, v in enumerate(given):
-        if v:
-            x[len(KINDS) + 2 * j + (v > 0)] = 1
-    x[len(KINDS) + 2 * LABELERS + length] = 1
-    return x
-
-
-def train(counts: dict[int, int]) -> dict[int, float]:
-    """The span classifier's probability of each vote pattern: logistic regression on the posteriors."""
-    if not counts:
-        return {}
-    soft = estimate(counts)
-    patterns = sorted(counts)
-    x = np.array([_vector(p) for p in patterns])
-    y = np.array([soft[p] for p in patterns])
-    n = np.array([counts[p] for p in patterns], float)
-    n /= n.sum()
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (n * (p - y)) + 1e-4 * w
-        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + 1e-4 * np.eye(len(w)), grad)
-        w -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    return dict(zip(patterns, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
+def _spans_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, kind, pattern, features) of the candidates of a batch."""
+    kinds = b["kinds"]
+    text = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(kinds.offsets)))
+    x = np.frombuffer(b"".join(b["x"].to_pylist()), np.float32).reshape(-1, FEATURES).astype(float)
+    return text, np.asarray(kinds.flatten()), np.asarray(b["patterns"].flatten()), x
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _moments(soft: dict[int, float], w: np.ndarray):
+    """Gradient and curvature, by kind, of the logistic loss against the posteriors."""
+    size = FEATURES * (FEATURES + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(KINDS), size))
+        for b in batches:
+            _, kind, pattern, x = _spans_of(b)
+            y = np.array([soft[p] for p in pattern.tolist()])
+            for k in np.unique(kind):
+                m = x[kind == k]
+                p = _sigmoid(m @ w[k])
+                total[k] += np.concatenate([m.T @ (p - y[kind == k]), ((m.T * (p * (1 - p))) @ m).ravel()])
+        some = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(total[some]), pa.list_(pa.float64()))], ["kind", "m"])
 
+    return run
 
-def learn(found: DataFrame) -> dict[int, float]:
-    """The classifier for the candidates in found; at most one row a vote pattern reaches the driver."""
-    rows = found.select(F.explode("patterns").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()
-    return train({r["p"]: r["n"] for r in rows})
 
+def _step(w: np.ndarray, n: float, m: np.ndarray) -> np.ndarray:
+    """A Newton step for one kind, from its summed moments over n candidates."""
+    curve = m[FEATURES:].reshape(FEATURES, FEATURES) / n + RIDGE * np.eye(FEATURES)
+    step = np.linalg.solve(curve, m[:FEATURES] / n + RIDGE * w)
+    return w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
 
-def _kept(kinds, starts, ends, patterns, model, threshold: float):
-    return [(k, a, b) for k, a, b, p in zip(kinds, starts, ends, patterns, strict=True) if k < BASE or model.get(p, 0) >= threshold]
 
+def learn(found: DataFrame) -> np.ndarray:
+    """A row of weights for each kind, from the candidates in found.
 
-def _digest(model: dict[int, float], threshold: float):
+    Vote patterns and moments reach the driver, no candidates. Weights are rounded, so the
+    order in which moments are summed does not show.
+    """
+    some = found.where("size(patterns) > 0")
+    rows = some.select(F.explode("patterns").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()
+    counts = {r["p"]: r["n"] for r in rows}
+    soft, w = estimate(counts), np.zeros((len(KINDS), FEATURES))
+    many = np.bincount([_features(p)[0] for p in counts], list(counts.values()), len(KINDS)) if counts else np.zeros(len(KINDS))
+    for _ in range(ROUNDS if counts else 0):
+        parts = some.select("kinds", "patterns", "x").mapInArrow(_moments(soft, w), "kind int, m array<double>")
+        total = parts.select("kind", F.posexplode("m").alias("i", "v")).groupBy("kind", "i").agg(F.sum("v").alias("v")).toArrow()
+        m = np.zeros((len(KINDS), FEATURES * (FEATURES + 1)))
+        m[np.asarray(total["kind"]), np.asarray(total["i"])] = np.asarray(total["v"])
+        old = w
+        w = np.array([_step(w[k], many[k], m[k]) if many[k] else w[k] for k in range(len(KINDS))])
+        if np.abs(w - old).max() < 1e-4:
+            break
+    return np.round(w, 6)
+
+
+def _kept(b: pa.RecordBatch, w: np.ndarray, threshold: float) -> list[list[tuple[int, int, int]]]:
+    """The spans of each row that stay: base matches, and those that the classifier takes."""
+    text, kind, _, x = _spans_of(b)
+    take = (kind < BASE) | (_sigmoid((x * w[kind]).sum(1)) >= threshold)
+    starts, ends = np.asarray(b["starts"].flatten()), np.asarray(b["ends"].flatten())
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(b.num_rows)]
+    for t, k, a, e in zip(text[take].tolist(), kind[take].tolist(), starts[take].tolist(), ends[take].tolist(), strict=True):
+        out[t].append((k, a, e))
+    return out
+
+
+def _digest(w: np.ndarray, threshold: float):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, shas, spans, added = [[], [], [], []], [], [], []
-            for row in zip(*(b[c].to_pylist() for c in ("kinds", "starts", "ends", "patterns")), strict=True):
-                kept = _kept(*row, model, threshold)
+            for kept in _kept(b, w, threshold):
                 base = [s for s in kept if s[0] < BASE]
                 for k in range(BASE):
                     counts[k].append(sum(s[0] == k for s in base))
                 shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{e}" for k, a, e in base).encode()).hexdigest())
                 spans.append(",".join(f"{KINDS[k]}:{a}:{e}" for k, a, e in kept))
                 added.append(len(kept) - len(base))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            total = [sum(x) + n for x, n in zip(zip(*counts, strict=True), added, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64()), pa.array(total, pa.int64())], [*_DIGEST])
 
     return digest
 
 
+_DIGEST = {"doc_id": "long", "n_email": "long", "n_ip": "long", "n_card": "long", "n_phone": "long", "base_sha256": "string", "spans": "string", "n_added": "long", "n_spans": "long"}
+
+
 def find_candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(_find, _SCHEMA)
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of each row of docs.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans) of each row of docs.
 
     Spans are kind:start:end in code points, end exclusive, by start and then by kind.
     A null text is empty; an empty text has no spans (base_sha256 is that of nothing);
@@ -296,31 +380,45 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_column: str = "doc_id",
     further columns are ignored.
     """
     found = materialize(find_candidates(docs, id_column, text_column), "pii")
-    return found.mapInArrow(_digest(learn(found), threshold), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return found.mapInArrow(_digest(learn(found), threshold), ", ".join(f"{n} {t}" for n, t in _DIGEST.items()))
 
 
-def _redact(model: dict[int, float], threshold: float, text_column: str):
+def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b["row"], *_found(b["text"])], ["row", *_NAMES])
+
+
+def _redact(w: np.ndarray, threshold: float, k: int):
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.schema.get_field_index(text_column)
-            column, out = b.column(k), []
-            for i, text in enumerate(_texts(column)):
-                kept = _kept(*(list(zip(*candidates(text), strict=True)) or [(), (), (), ()]), model, threshold) if text else []
+            row = b["row"]
+            column = row.field(k)
+            out = column.to_pylist()
+            for i, kept in enumerate(_kept(b, w, threshold)):
                 if not kept:
-                    out.append(column[i].as_py())
                     continue
-                parts, at = [], 0
+                text, parts, at = out[i], [], 0
                 for kind, a, e in kept:
                     if a >= at:
                         parts += [text[at:a], f"<{KINDS[kind].upper()}>"]
                     at = max(at, e)
-                out.append("".join([*parts, text[at:]]))
-            yield b.set_column(k, b.schema.field(k), pa.array(out, b.schema.field(k).type))
+                out[i] = "".join([*parts, text[at:]])
+            names = [row.type.field(j).name for j in range(row.type.num_fields)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, column.type) if j == k else row.field(j) for j in range(len(names))], names)
 
     return redact
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with each span of personal data replaced by its kind in angle brackets; overlapping spans become one."""
-    found = materialize(find_candidates(docs, id_column, text_column).select("patterns").where("size(patterns) > 0"), "pii")
-    return docs.mapInArrow(_redact(learn(found), threshold, text_column), docs.schema)
+    """docs with each span of personal data replaced by its kind in angle brackets; overlapping spans become one.
+
+    All rows and columns stay, with whatever names and ids; null and empty texts stay as
+    they are; repeated rows are redacted alike; an empty table stays empty. The texts are
+    searched once and written with what was found.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(docs.columns)]).alias("row"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    kind = rows.schema["row"].dataType
+    found = materialize(rows.mapInArrow(_carry, f"row {kind.simpleString()}, {_SPANS}"), "pii")
+    k = docs.columns.index(text_column)
+    out = found.mapInArrow(_redact(learn(found), threshold, k), kind)
+    return out.select(*[F.col(f"c{j}").alias(c) for j, c in enumerate(docs.columns)])

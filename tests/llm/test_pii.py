@@ -1,8 +1,13 @@
 import hashlib
+import math
+import random
 import re
+import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from derivant.llm import pii
 
@@ -68,7 +73,10 @@ def test_redact(spark):
     df = spark.createDataFrame([(*d, "x") for d in DOCS], "doc_id long, text string, extra string")
     out = {r["doc_id"]: r["text"] for r in pii.redact(df).where("doc_id < 4").collect()}
     assert out[1] == "mail <EMAIL> or call <PHONE>, card <CARD> from <IP>" and out[3] is None
-    assert pii.redact(df).columns == df.columns
+    assert pii.redact(df).columns == df.columns and pii.redact(df).count() == len(DOCS)
+    assert pii.redact(df.limit(0)).count() == 0
+    odd = df.select("text", F.col("doc_id").alias("x"), F.lit(1).alias("kinds"), F.array(F.lit("q")).alias("a.b"))
+    assert [r["text"] for r in pii.redact(odd, id_column="x").where("x < 2").collect()] == [out[1]] and pii.redact(odd, id_column="x").columns == odd.columns
 
 
 def test_reliabilities():
@@ -76,8 +84,72 @@ def test_reliabilities():
     good, bad = pii._pattern(4, (1, 1, 1, 1, 1), 12), pii._pattern(4, (-1, -1, -1, -1, 1), 12)
     soft = pii.estimate({good: 50, bad: 50})
     assert soft[good] > 0.9 > 0.1 > soft[bad]
-    model = pii.train({good: 50, bad: 50})
-    assert model[good] > 0.5 > model[bad] and pii.train({}) == {}
+
+
+def slow_learner(texts):
+    """The weights by kind, from every candidate by itself: votes, posteriors by repeated averaging, and plain gradient steps."""
+    spans = [(t, *c) for t in texts for c in pii.candidates(t or "")]
+    post = {}
+    for kind in {s[1] for s in spans}:
+        mine = [s for s in spans if s[1] == kind]
+        votes = [pii.votes(s[0], *s[1:4]) for s in mine]
+        p = [1 / (1 + math.exp(-sum(v))) for v in votes]
+        for _ in range(100):
+            prior = (sum(p) + 2) / (len(p) + 4)
+            log = [math.log(prior / (1 - prior))] * len(p)
+            for j in range(pii.LABELERS):
+                yes = {v: sum(q for q, w in zip(p, votes, strict=True) if w[j] == v) + 1 + v / 2 for v in (-1, 0, 1)}
+                no = {v: sum(1 - q for q, w in zip(p, votes, strict=True) if w[j] == v) + 1 - v / 2 for v in (-1, 0, 1)}
+                for k, w in enumerate(votes):
+                    log[k] += math.log(yes[w[j]] / sum(yes.values())) - math.log(no[w[j]] / sum(no.values()))
+            p = [1 / (1 + math.exp(-max(-30, min(30, x)))) for x in log]
+        for s, q in zip(mine, p, strict=True):
+            post[s[:4]] = q
+    weights = {}
+    for kind in {s[1] for s in spans}:
+        x = np.array([pii.span_features(s[0], *s[2:4]) for s in spans if s[1] == kind], np.float32).astype(float)
+        y = np.array([post[s[:4]] for s in spans if s[1] == kind])
+        w = np.zeros(pii.FEATURES)
+        rate = 1 / (0.25 * np.linalg.norm(x, 2) ** 2 / len(x) + pii.RIDGE)
+        for _ in range(20_000):
+            w -= rate * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(x) + pii.RIDGE * w)
+        weights[kind] = w
+    return weights
+
+
+def test_added_spans_against_the_slow_learner(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    make = [
+        lambda: f"call {rng.choice(['phone', 'tel', 'order', word()])} {number(3)}-{number(3)}-{number(4)}",
+        lambda: f"{rng.choice(['ssn', 'page', word()])} {rng.choice(['000', number(3)])}-{number(2)}-{number(4)}",
+        lambda: f"{word()} (at) {word()}.{rng.choice(['com', 'org', word()])}",
+        lambda: f"{rng.choice(['token', 'password', 'api_key'])} = {rng.choice([number(20), word() * 4 + number(9), 'a' * 30, word() * 5])}",
+        lambda: f"{word()}@{word()}.com",
+    ]
+    texts = [" ".join(rng.choice([word, word, *make])() for _ in range(rng.randrange(12))) for _ in range(60)] + [None, ""]
+    found = pii.find_candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    w, slow = pii.learn(found), slow_learner(texts)
+    for kind, expected in slow.items():
+        x = np.array([pii.span_features(t, a, b) for t in texts for k, a, b, _ in pii.candidates(t or "") if k == kind])
+        assert np.abs(x @ w[kind] - x @ expected).max() < 0.05
+    rows = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        spans = [(k, a, b, None if k < pii.BASE else float(np.dot(pii.span_features(t, a, b), slow[k]))) for k, a, b, _ in pii.candidates(t or "")]
+        if all(z is None or abs(z) > 0.05 for *_, z in spans):
+            assert rows[i]["spans"] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b, z in spans if z is None or z >= 0)
+            assert rows[i]["n_spans"] == rows[i]["n_added"] + sum(rows[i][f"n_{k}"] for k in ("email", "ip", "card", "phone"))
+
+
+def test_many_spans_take_time_in_proportion():
+    """A list of contacts of two megabytes: no span is compared with all others."""
+    text = "".join(f"a{i}@b.com 212-555-0{i % 1000:03d} token=abcdefgh{i:09d}x " for i in range(20_000))
+    start = time.perf_counter()
+    found = pii.candidates(text)
+    assert len(found) == 60_000 and time.perf_counter() - start < 20
+    some = pii.candidates(text[:3000])
+    assert found[: len(some) - 2] == some[:-2]
 
 
 def test_query_over_the_whole_table(spark, sf):
