@@ -10,6 +10,9 @@ the keys that a pair shares one owns it (the first table, the smallest key), so
 pair is looked at once and counted once. Pairs within ``HAMMING`` bits are reranked by
 the cosine of the original vectors in double precision.
 
+Equal vectors are one class from the start, known by two hashes of 64 bits and counted
+by its size, so a vector that occurs a million times is indexed once.
+
 Codes travel to all keys, vectors only to keys where they have such a pair. Keys with
 many vectors are cut into pairs of chunks; what leaves a task is a count per vector
 and a star of each component of its links, never the pairs themselves.
@@ -176,20 +179,20 @@ def _encode(models: list[dict[str, np.ndarray]], width: int):
             good, x = _matrix(b["vector"], width)
             ids = b["id"].filter(pa.array(good))
             codes = [pa.array(encode(x, m).view(np.int64) if len(x) else np.zeros(0, np.int64)) for m in models]
-            yield pa.RecordBatch.from_arrays([ids, *codes, pa.array([r.tobytes() for r in x], pa.binary())], ["id", *(f"code{m}" for m in range(len(models))), "unit"])
+            yield pa.RecordBatch.from_arrays([ids, b["size"].filter(pa.array(good)), *codes, pa.array([r.tobytes() for r in x], pa.binary())], ["id", "size", *(f"code{m}" for m in range(len(models))), "unit"])
 
     return run
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, code, unit): the length as key and no code."""
+    """(key, id, size, code, unit): the length as key and no code."""
     for b in batches:
-        size = np.array([len(v) for v in b["vector"].to_pylist()], np.int64)
-        for d in np.unique(size):
-            part = b.filter(pa.array(size == d))
+        width = np.array([len(v) for v in b["vector"].to_pylist()], np.int64)
+        for d in np.unique(width):
+            part = b.filter(pa.array(width == d))
             good, x = _matrix(part["vector"], int(d))
             n = len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d)), part["id"].filter(pa.array(good)), pa.array(np.zeros(n, np.int64)), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "id", "code", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d)), *(part[c].filter(pa.array(good)) for c in ("id", "size")), pa.array(np.zeros(n, np.int64)), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "id", "size", "code", "unit"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,15 +283,16 @@ def _labels(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
 
 
 def _rerank(hamming: int, cosine: float, whole: bool = False):
-    """(id, other, n): the number of links of each vector that its key owns, and a star of each component (n null).
+    """(id, other, n): the number of vectors linked to each class that its key owns, and a star of each component (n null).
 
     If the meetings are whole, each pair meets at one key only, which owns it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _meetings(batches, ("key", "ca", "cb", "chunk", "id", "code", "unit")):
+        for t in _meetings(batches, ("key", "ca", "cb", "chunk", "id", "size", "code", "unit")):
             start, end = _runs(t)
             key, codes, chunks, ids = np.asarray(t["key"]).view(_U), np.asarray(t["code"]).view(_U), np.asarray(t["chunk"]), np.asarray(t["id"])
+            size = np.asarray(t["size"])
             across = np.asarray(t["ca"]) != np.asarray(t["cb"])
             unit = t["unit"].to_pylist()
             a, b, n = [], [], []
@@ -299,7 +303,8 @@ def _rerank(hamming: int, cosine: float, whole: bool = False):
                 x, y = _pairs(codes[s:e], units, chunks[s:e] if across[s] else None, None if whole else key[s], hamming, cosine)
                 if not len(x):
                     continue
-                links = np.bincount(x, minlength=e - s) + np.bincount(y, minlength=e - s)
+                many = size[s:e]
+                links = (np.bincount(x, many[y], e - s) + np.bincount(y, many[x], e - s)).astype(np.int64)
                 label = _labels(x, y, e - s)
                 id_, some, moved = ids[s:e], np.flatnonzero(links), np.flatnonzero(label != np.arange(e - s))
                 a += id_[moved].tolist() + id_[some].tolist()
@@ -324,33 +329,39 @@ def _met(rows: DataFrame) -> DataFrame:
     return _chunked(rows, CHUNK).repartition(partitions(rows.sparkSession), "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
 
 
+def _own(known: DataFrame) -> DataFrame:
+    """The links within classes(id, size) of equal vectors."""
+    return known.where("size > 1").select("id", F.lit(None).cast("long").alias("other"), (F.col("size") - 1).alias("n"))
+
+
 def _all_links(vectors: DataFrame, hamming: int, cosine: float) -> DataFrame:
-    """The links among all vectors(id, vector) of equal length: the length is the key where they meet."""
-    units = vectors.select("id", "vector").mapInArrow(_units, "key long, id long, code long, unit binary")
-    return _met(materialize(units, "units")).mapInArrow(_rerank(hamming, cosine, True), _LINKS)
+    """The links among all vectors(id, vector, size) of equal length: the length is the key where they meet."""
+    units = materialize(vectors.select("id", "vector", "size").mapInArrow(_units, "key long, id long, size long, code long, unit binary"), "units")
+    return _met(units).mapInArrow(_rerank(hamming, cosine, True), _LINKS).unionByName(_own(units))
 
 
-def _coded_links(vectors: DataFrame, width: int, cosine: float, hamming: int, sample: int) -> DataFrame:
-    """The links among vectors(id, vector) of one length."""
+def _coded_links(vectors: DataFrame, width: int, cosine: float, hamming: int, sample: int) -> tuple[DataFrame, tuple[int | None, list[float]] | None]:
+    """The links among vectors(id, vector, size) of one length; (the codes taken, each one's recall in its worst band)."""
     # the rotation is learned on at most ``sample`` vectors, those with the smallest hashes of their ids
-    few = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    few = vectors.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     good, x = _matrix(few["vector"].combine_chunks() if few.num_rows else pa.array([], pa.list_(pa.float64())), width)
     if not len(x):
-        return _all_links(vectors, hamming, cosine)
+        return _all_links(vectors, hamming, cosine), None
     models = fit(x)
     probes, ids = x[:PROBES], np.asarray(few["id"])[good][:PROBES]
-    coded = materialize(vectors.mapInArrow(_encode(models, width), "id long, code0 long, code1 long, unit binary"), "codes")
+    coded = materialize(vectors.select("id", "size", "vector").mapInArrow(_encode(models, width), "id long, size long, code0 long, code1 long, unit binary"), "codes")
     counts = np.zeros((len(models), len(_edges(cosine)), 2), np.int64)
     for r in coded.mapInArrow(_measure(ids, probes, models, hamming, cosine), "model long, band long, pairs long, found long").groupBy("model", "band").agg(F.sum("pairs").alias("pairs"), F.sum("found").alias("found")).collect():
         counts[r["model"], r["band"]] = r["pairs"], r["found"]
-    best, _ = choose(counts, np.array([planted(probes, x, m, hamming, cosine) for m in models]))
+    best, worst = choose(counts, np.array([planted(probes, x, m, hamming, cosine) for m in models]))
+    recall = best, worst.tolist()
     if best is None:
-        return _all_links(vectors, hamming, cosine)
-    coded = coded.select("id", F.col(f"code{best}").alias("code"), "unit")
+        return _all_links(vectors, hamming, cosine), recall
+    coded = coded.select("id", "size", F.col(f"code{best}").alias("code"), "unit")
     keys = coded.select("id", "code").mapInArrow(_keys, "key long, id long, code long")
     near = materialize(_met(keys).mapInArrow(_near(hamming), "key long, id long").distinct(), "near")
     full = _chunked(near, CHUNK).join(coded, "id").repartition(partitions(vectors.sparkSession), "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
-    return full.mapInArrow(_rerank(hamming, cosine), _LINKS)
+    return full.mapInArrow(_rerank(hamming, cosine), _LINKS).unionByName(_own(coded)), recall
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector_column: str = "embedding", hamming: int = HAMMING, sample: int = SAMPLE) -> DataFrame:
@@ -363,18 +374,34 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_column: str =
     content counts) and report the same; a null vec_id links with nothing; an empty
     table gives no rows; further columns are ignored.
     """
+    return measured_duplicates(vectors, cosine, id_column, vector_column, hamming, sample)[0]
+
+
+def measured_duplicates(vectors: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector_column: str = "embedding", hamming: int = HAMMING, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, tuple[int | None, list[float]]]]:
+    """The rows of ``near_duplicates``, and for each length with codes (the codes taken, each one's measured recall in its worst band).
+
+    The codes taken are 0 (balanced), 1 (not centred) or None: all pairs were compared.
+    """
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
     distinct = rows.where("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"))
-    sizes = distinct.where("size(vector) > 0").groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"))
+    distinct = distinct.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit("second"), "vector"))
+    classes = materialize(distinct.groupBy("h1", "h2").agg(F.min("id").alias("class"), F.count("*").alias("size"), F.min_by("vector", "id").alias("vector")).withColumnRenamed("class", "id"), "classes")
+    sizes = classes.where("size(vector) > 0").groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"))
     widths = [r["d"] for r in sizes.orderBy(F.desc("n"), "d").limit(1).collect()]
     widths += [r["d"] for r in sizes.where(F.col("n") > SMALL).orderBy("d").collect() if r["d"] not in widths]
     if not widths:
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    parts = [_coded_links(distinct.where(F.size("vector") == d), d, cosine, hamming, sample) for d in widths]
-    rest = distinct.where((F.size("vector") > 0) & ~F.size("vector").isin(widths))
+        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")), {}
+    parts, recall = [], {}
+    for d in widths:
+        part, recall[d] = _coded_links(classes.where(F.size("vector") == d), d, cosine, hamming, sample)
+        parts.append(part)
+    rest = classes.where((F.size("vector") > 0) & ~F.size("vector").isin(widths))
     links = materialize(reduce(DataFrame.unionByName, [*parts, _all_links(rest, hamming, cosine)]), "links")
     counts = links.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
     found = components(links.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    out = rows.select("id").join(counts, "id", "left").join(found.withColumnRenamed("node", "id"), "id", "left")
+    # of a class without links (not a usable vector) every member is on its own
+    linked = counts.join(found.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("class"), "n", F.coalesce("component", "id").alias("component"))
+    named = distinct.select("id", "h1", "h2").join(classes.select("h1", "h2", F.col("id").alias("class")), ["h1", "h2"]).join(linked, "class").select("id", "n", "component")
+    out = rows.select("id").join(named, "id", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")), {d: r for d, r in recall.items() if r is not None}

@@ -273,3 +273,26 @@ def test_vectors_of_every_length(spark, monkeypatch, small):
             want[i] += i != j and len(a) == len(b) and bool(a @ b >= 0.9 * np.sqrt((a @ a) * (b @ b)))
     out = embed_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
     assert {r["vec_id"]: r["n_links"] for r in out.collect()} == want
+
+
+def test_equal_vectors_are_one_class(spark, monkeypatch):
+    """Copies count as links; a class that is no usable vector links with nothing, however often it occurs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 16))
+    vectors = [x[i % 40] for i in range(600)] + [x[0] + rng.normal(size=16) * 0.01 for _ in range(5)] + [x[0] * 2.0] * 3
+    odd = [[0.0] * 16] * 4 + [[float("nan")] + [1.0] * 15] * 3 + [[]] * 2
+    data = [(1000 - i, v.tolist()) for i, v in enumerate(vectors)] + [(2000 + i, v) for i, v in enumerate(odd)] + [(3000, None), (3001, None), (None, x[0].tolist()), (1000, x[0].tolist())]
+    u = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    union = Union()
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        union.join(1000 - int(i), 1000 - int(j))
+    out, recall = embed_dedup.measured_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    seen = []
+    for r in out.collect():
+        seen.append(r["vec_id"])
+        i = None if r["vec_id"] is None or r["vec_id"] > 1000 else 1000 - r["vec_id"]
+        assert r["n_links"] == (0 if i is None else linked[i].sum()) and r["component_id"] == (r["vec_id"] if i is None else union.find(r["vec_id"]))
+        assert r["kept"] == (r["vec_id"] == r["component_id"])
+    assert sorted(map(repr, seen)) == sorted(repr(i) for i, _ in data) and list(recall) == [16] and len(recall[16][1]) == 2
