@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._shared import held_out
 
-BITS = 14
-#: The model has a table of 2**BITS numbers for each language; more languages are refused.
-MOST_LANGUAGES = 1000
+#: The model has a table of 2**bits numbers for each language: BITS of them for up to
+#: TABLE_NUMBERS in all, and as many fewer as more languages need, but LEAST_BITS.
+BITS, LEAST_BITS, TABLE_NUMBERS = 14, 8, 1 << 24
 ROUNDS, REFINE, SMOOTH, PIECE = 12, 4, 0.5, 1 << 18
 UNKNOWN = "und"
 _MIX = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
@@ -30,7 +30,17 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
-def _trigrams(offsets: np.ndarray, body: np.ndarray, piece: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def bits_for(languages: int) -> int:
+    """The bits of a trigram code, such that the model fits into a worker whatever the number of languages."""
+    bits = BITS
+    while languages << bits > TABLE_NUMBERS and bits > LEAST_BITS:
+        bits -= 1
+    if languages << bits > TABLE_NUMBERS:
+        raise ValueError(f"{languages} languages: a table of {1 << LEAST_BITS} numbers for each has more than {TABLE_NUMBERS}")
+    return bits
+
+
+def _trigrams(offsets: np.ndarray, body: np.ndarray, bits: int = BITS, piece: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, end, codes, first code of each word, words' offsets by text) for runs of texts.
 
     Texts are set apart by spaces, so no trigram spans two of them.
@@ -46,54 +56,73 @@ def _trigrams(offsets: np.ndarray, body: np.ndarray, piece: int = PIECE) -> Iter
         space = W._SPACE[buf]
         buf[space] = 0x20
         wide = buf.astype(np.uint32)
-        codes = ((wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
+        codes = ((wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)
         # the codes of a word are those whose middle byte is in it
         inner = ~space[1:-1]
         first = inner.copy()
         first[1:] &= ~inner[:-1]
         starts = np.flatnonzero(first)
-        yield i, j, np.where(inner, codes, np.uint32(1 << BITS)), starts, np.searchsorted(starts, rel + np.arange(d + 1))
+        yield i, j, np.where(inner, codes, np.uint32(1 << bits)), starts, np.searchsorted(starts, rel + np.arange(d + 1))
         i = j
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, np.ndarray] = {}
-    for b in batches:
-        langs = b["lang"].to_pylist()
-        offsets, body, _ = W.flat(b["text"])
-        names = sorted(set(langs))
-        number = {x: k for k, x in enumerate(names)}
-        of = np.array([number[x] for x in langs], np.int64)
-        for x in names:
-            counts.setdefault(x, np.zeros((1 << BITS) + 1, np.int64))
-        for i, j, codes, _, _ in _trigrams(offsets, body):
-            rel = offsets[i : j + 1] - offsets[i] + np.arange(j - i + 1)
-            lang = np.repeat(of[i:j], np.diff(rel))
-            flat = lang * ((1 << BITS) + 1) + codes[: len(lang)]
-            both = np.bincount(flat, minlength=len(names) * ((1 << BITS) + 1)).reshape(len(names), -1)
-            for x, c in zip(names, both, strict=True):
-                counts[x] += c
-    for x, c in counts.items():
-        at = np.flatnonzero(c[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array([x] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(c[at], 0), pa.int64())], ["lang", "code", "n"])
+def _count(bits: int):
+    size = (1 << bits) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+
+        def out(names: list[str]) -> pa.RecordBatch:
+            rows = [(x, np.flatnonzero(counts[x][:-1])) for x in names]
+            codes = np.concatenate([at for _, at in rows])
+            n = np.concatenate([counts[x][at] for x, at in rows])
+            langs = pa.array([x for x, _ in rows]).take(pa.array(np.repeat(np.arange(len(rows)), [len(at) for _, at in rows])))
+            for x in names:
+                del counts[x]
+            return pa.RecordBatch.from_arrays([langs, pa.array(codes, pa.int32()), pa.array(n, pa.int64())], ["lang", "code", "n"])
+
+        for b in batches:
+            langs = b["lang"].to_pylist()
+            offsets, body, _ = W.flat(b["text"])
+            names = sorted(set(langs))
+            number = {x: k for k, x in enumerate(names)}
+            of = np.array([number[x] for x in langs], np.int64)
+            for x in names:
+                counts.setdefault(x, np.zeros(size, np.int64))
+            for i, j, codes, _, _ in _trigrams(offsets, body, bits):
+                rel = offsets[i : j + 1] - offsets[i] + np.arange(j - i + 1)
+                here, lang = np.unique(of[i:j], return_inverse=True)
+                lang = np.repeat(lang, np.diff(rel))
+                both = np.bincount(lang * size + codes[: len(lang)], minlength=len(here) * size).reshape(len(here), -1)
+                for k, c in zip(here.tolist(), both, strict=True):
+                    counts[names[k]] += c
+            while len(counts) * size > TABLE_NUMBERS:  # what is held is bounded; the rest is summed later
+                yield out(list(counts)[: max(1, len(counts) // 2)])
+        if counts:
+            yield out(list(counts))
+
+    return run
 
 
 def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> tuple[list[str], np.ndarray]:
-    """The languages and their log likelihoods of the trigram codes, from all rows of docs with a language."""
+    """The languages and their log likelihoods of the trigram codes, from all rows of docs with a language.
+
+    More than TABLE_NUMBERS >> LEAST_BITS languages (65,536) raise ValueError: that many are
+    no languages, and a model that has them would not fit into a worker.
+    """
     rows = docs.select(F.col(lang_column).cast("string").alias("lang"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).where("lang is not null")
-    counted = rows.mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    found = counted.where("code < 0").select("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    langs = sorted(r["lang"] for r in found)
+    names = rows.select("lang").distinct()
+    bits = bits_for(names.count())
+    langs = sorted(r["lang"] for r in names.collect())
     if not langs:
-        return [], np.zeros((1 << BITS, 0), np.float32)
+        return [], np.zeros((1 << bits, 0), np.float32)
     number = {x: k for k, x in enumerate(langs)}
-    counts = np.zeros((1 << BITS, len(langs)))
-    table = counted.where("code >= 0").toArrow()
-    if table.num_rows:
-        counts[np.asarray(table["code"]), [number[x] for x in table["lang"].to_pylist()]] = np.asarray(table["n"])
-    return langs, np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * (1 << BITS))).astype(np.float32)
+    counts = np.zeros((1 << bits, len(langs)))
+    summed = rows.mapInArrow(_count(bits), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    table = summed.groupBy("lang").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("counts")).toArrow()  # 2**bits pairs a language at most
+    for x, codes, n in zip(table["lang"].to_pylist(), table["codes"], table["counts"], strict=True):
+        counts[np.asarray(codes.values), number[x]] = np.asarray(n.values)
+    return langs, np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * (1 << bits))).astype(np.float32)
 
 
 def _em(like: np.ndarray, text: np.ndarray, cut: np.ndarray, share: np.ndarray, rounds: int) -> np.ndarray:
@@ -153,6 +182,18 @@ def infer(log: np.ndarray, text: np.ndarray, cut: np.ndarray) -> tuple[np.ndarra
     return best, np.clip(score, 0, 1), sets
 
 
+def _word_likelihoods(padded: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The log likelihoods of words, some at a time, as their codes take more room than they do."""
+    step = max(1, (1 << 23) // padded.shape[1])
+    out, ends = [], np.append(starts[1:], len(codes))
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + step, "right")))
+        out.append(np.add.reduceat(padded[codes[starts[a] : ends[b - 1]]], starts[a:b] - starts[a]))
+        a = b
+    return np.concatenate(out)
+
+
 def predict_batch(column: pa.Array, langs: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray, list[list[tuple[str, float]]]]:
     """The language, score and chosen set, with the largest proportion first, of each text."""
     offsets, body, _ = W.flat(column)
@@ -161,7 +202,9 @@ def predict_batch(column: pa.Array, langs: list[str], table: np.ndarray) -> tupl
     if not langs:
         return names, scores, mixes
     padded = np.vstack([table, np.zeros((1, len(langs)), np.float32)])
-    for i, j, codes, starts, cut in _trigrams(offsets, body):
+    # a word has a number for each language, so many languages take shorter runs of texts
+    piece = max(1 << 10, min(PIECE, (PIECE << 5) // len(langs)))
+    for i, j, codes, starts, cut in _trigrams(offsets, body, len(table).bit_length() - 1, piece):
         letters = np.diff(np.searchsorted(np.flatnonzero(_LETTER[body[offsets[i] : offsets[j]]]), offsets[i : j + 1] - offsets[i])) > 0
         for k in np.flatnonzero(~letters):
             raw = body[offsets[i + k] : offsets[i + k + 1]]
@@ -169,7 +212,7 @@ def predict_batch(column: pa.Array, langs: list[str], table: np.ndarray) -> tupl
                 letters[k] = any(c.isalpha() for c in raw.tobytes().decode("utf-8", "replace"))
         if not len(starts) or not letters.any():
             continue
-        log = np.add.reduceat(padded[codes], starts)
+        log = _word_likelihoods(padded, codes, starts)
         words = np.diff(cut)
         some = np.flatnonzero(words > 0)
         best, score, sets = infer(log, np.repeat(np.arange(len(some)), words[some]), np.concatenate([[0], np.cumsum(words[some])]))
@@ -206,5 +249,9 @@ def mixtures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row of docs: ``mixtures`` without the set."""
+    """(doc_id, held_out, lang_pred, score) of each row of docs: ``mixtures`` without the set.
+
+    What it says of nulls, ties, repeated rows, empty tables and further columns holds here,
+    as does the bound of ``train`` on the number of languages.
+    """
     return mixtures(docs, id_column, text_column, lang_column).drop("languages")

@@ -7,7 +7,8 @@ is convex; its second part of negatives, E_U[l(-z)] - prior * E_P[l(-z)], is hel
 non-negative: where it falls below zero a step goes back on it. Each Newton step is
 one pass over a small table of features and sums a bounded number of moments; the
 class prior comes from the scores' distributions over all positives and all unlabelled
-documents (the least ratio of their upper tails). No row is sampled.
+documents (the least ratio of their upper tails). No row is sampled. Weights are rounded,
+so the order in which moments are summed does not show in a score.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from . import _words as W
 from ._shared import held_out, materialize
 
 RIDGE, ROUNDS, BINS = 2e-2, 12, 512
+#: Decimals of scaling and weights that count.
+DECIMALS = 7
 _U = np.uint64
 
 _CLASS = np.zeros(256, np.uint8)  # 0: other punctuation
@@ -141,8 +144,8 @@ def fit(data: DataFrame) -> dict | None:
     n_u, n_p = stats[:2]
     if not n_u or not n_p:
         return None
-    mean = stats[2 : 2 + FEATURES] / n_u
-    scale = np.sqrt(np.maximum(stats[2 + FEATURES :] / n_u - mean**2, 1e-8))
+    mean = np.round(stats[2 : 2 + FEATURES] / n_u, DECIMALS)
+    scale = np.round(np.sqrt(np.maximum(stats[2 + FEATURES :] / n_u - mean**2, 1e-8)), DECIMALS)
 
     def moments(w: np.ndarray):
         def f(x, p):
@@ -172,7 +175,7 @@ def fit(data: DataFrame) -> dict | None:
                 break
         return w, negative, positive
 
-    w, _, _ = newton(0.5, np.zeros(d), 5)
+    w = np.round(newton(0.5, np.zeros(d), 5)[0], DECIMALS)
     edges = 1 / (1 + np.exp(-np.linspace(-12, 12, BINS - 1)))
 
     def histogram(x, p):
@@ -188,7 +191,12 @@ def fit(data: DataFrame) -> dict | None:
     best = int(np.argmin(bound))
     prior = float(np.clip(tail_u[best] / tail_p[best], 0.01, 0.99))
     w, negative, positive = newton(prior, w, ROUNDS)
-    return {"w": w, "mean": mean, "scale": scale, "prior": prior, "negative_risk": negative, "positive_risk": positive}
+    return {"w": np.round(w, DECIMALS), "mean": mean, "scale": scale, "prior": prior, "negative_risk": negative, "positive_risk": positive}
+
+
+def _margin(x: np.ndarray, model: dict) -> np.ndarray:
+    """Row by row, so the rows beside one do not show in its last bits."""
+    return (_scaled(x, model["mean"], model["scale"]) * model["w"]).sum(1)
 
 
 def _predict(model: dict | None):
@@ -196,7 +204,7 @@ def _predict(model: dict | None):
         for b in batches:
             s = np.full(b.num_rows, 0.5)
             if model is not None and b.num_rows:
-                z = _scaled(_matrix(b), model["mean"], model["scale"]) @ model["w"]
+                z = _margin(_matrix(b), model)
                 s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([b["id"], b["held_out"], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -229,14 +237,18 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs that the classifier accepts, scored in one further pass over the texts."""
+    """The rows of docs that the classifier accepts, scored in one further pass over the texts; all columns stay.
+
+    Null and empty texts are judged like any other, rows that repeat a doc_id or have none
+    one by one; without positives or learning rows all rows stay; an empty table stays empty.
+    """
     model = train(extract(docs, id_column, text_column), labels)
     where = docs.columns.index(text_column)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if model is not None and b.num_rows:
-                z = _scaled(features(b.column(where)).astype(np.float32).astype(float), model["mean"], model["scale"]) @ model["w"]
+                z = _margin(features(b.column(where)).astype(np.float32).astype(float), model)
                 b = b.filter(pa.array(z >= 0))
             yield b
 

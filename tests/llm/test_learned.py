@@ -1,6 +1,8 @@
 """Quality and language: held-out accuracy, folds, edge cases."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -34,7 +36,60 @@ def test_quality_edges(spark):
     assert len(rows) == 7 and all(0 <= r["score"] <= 1 for r in rows)
     assert [r["held_out"] for r in rows if r["doc_id"] is None] == [True]
     assert quality.score(docs.limit(0), some).count() == 0
-    assert quality.keep_good(docs, some).columns == docs.columns
+    assert quality.keep_good(docs, some).columns == docs.columns and quality.keep_good(docs, none).count() == 7
+    assert quality.keep_good(docs.limit(0), some).count() == 0
+    odd = docs.withColumn("held_out", F.lit("q")).withColumn("x", F.lit(None).cast("int"))
+    assert sorted(map(repr, quality.score(odd, some).collect())) == sorted(map(repr, rows))
+
+
+def slow_quality(docs, labels):
+    """The scores of (doc_id, text) rows: the same risk, on plain arrays of all learning rows at once."""
+    x = quality.features(pa.array([t for _, t in docs], pa.string())).astype(np.float32).astype(float)
+    learn = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in docs])
+    positive = np.array([labels.get(i) == 1 for i, _ in docs])[learn]
+    mean, scale = x[learn].mean(0), np.sqrt(np.maximum(x[learn].var(0), 1e-8))
+    z = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
+    u = z[learn]
+    loss = lambda v: np.log1p(np.exp(-np.abs(v))) + np.maximum(v, 0)
+    hold = lambda v: 1 / (1 + np.exp(-v))
+    ridge = quality.RIDGE * np.eye(u.shape[1])
+    ridge[-1, -1] = 0
+
+    def fit(w, prior, rounds):
+        for _ in range(rounds):
+            s = hold(u @ w)
+            curve = (u.T * (s * (1 - s))) @ u / len(u) + ridge + 1e-9 * np.eye(len(w))
+            negatives = u.T @ s / len(u) - prior * u[positive].T @ s[positive] / positive.sum()
+            if loss(u @ w).mean() < prior * loss(u[positive] @ w).mean():
+                w = w + 0.5 * np.linalg.solve(curve, negatives)
+                continue
+            step = np.linalg.solve(curve, u.T @ s / len(u) - prior * u[positive].mean(0) + ridge @ w)
+            step *= min(1, 4 / np.abs(step).max())
+            w = w - step
+            if np.abs(step).max() < 1e-3:
+                break
+        return w
+
+    w = fit(np.zeros(u.shape[1]), 0.5, 5)
+    s, best = hold(u @ w), (math.inf, None)
+    slack = math.sqrt(math.log(40) / 2) * (1 / math.sqrt(len(u)) + 1 / math.sqrt(positive.sum()))
+    for edge in [-1.0, *hold(np.linspace(-12, 12, quality.BINS - 1))]:
+        above, above_p = (s > edge).mean(), (s[positive] > edge).mean()
+        if above_p > 0.01 and (above + slack) / above_p < best[0]:
+            best = (above + slack) / above_p, above / above_p
+    w = fit(w, min(max(best[1], 0.01), 0.99), quality.ROUNDS)
+    return hold(z @ w)
+
+
+def test_quality_against_plain_arrays(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    expected = slow_quality(rows, {r["doc_id"]: r["quality"] for r in labels.collect()})
+    found = {r["doc_id"]: r for r in quality.score(docs, labels).collect()}
+    assert max(abs(found[i]["score"] - p) for (i, _), p in zip(rows, expected.tolist(), strict=True)) < 0.01
+    assert all(found[i]["predicted"] == (p >= 0.5) for (i, _), p in zip(rows, expected.tolist(), strict=True) if abs(p - 0.5) > 0.01)
+    again = {r["doc_id"]: r for r in quality.score(docs.repartition(7), labels.repartition(3)).collect()}
+    assert again == found
 
 
 def test_labels_of_held_out_rows_are_never_read(spark, sf):
@@ -81,3 +136,84 @@ def test_a_text_does_not_depend_on_the_texts_beside_it(spark, sf):
     assert [[x for x, _ in m] for m in together[2]] == [[x for x, _ in a[2][0]] for a in alone] and max(map(len, together[2])) > 1
     for name, score, mix in zip(*together, strict=True):
         assert mix[0] == (name, pytest.approx(score)) and sum(p for _, p in mix) == pytest.approx(1, abs=1e-3)
+
+
+def slow_languages(docs):
+    """(language, proportion) of each (doc_id, text, lang): counts and mixtures word by word, without arrays."""
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t).encode()
+
+    def words(text):
+        for w in lower(text or "").split():
+            w = b" " + w + b" "
+            yield [((w[i] << 16 | w[i + 1] << 8 | w[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - langid.BITS for i in range(len(w) - 2)]
+
+    counts: dict = {}
+    for i, text, lang in docs:
+        if lang is not None and i is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            mine = counts.setdefault(lang, {})
+            for w in words(text):
+                for c in w:
+                    mine[c] = mine.get(c, 0) + 1
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + langid.SMOOTH * 2**langid.BITS for x in langs}
+    out = []
+    for _, text, _ in docs:
+        like = []
+        for w in words(text):
+            log = [sum(math.log((counts[x].get(c, 0) + langid.SMOOTH) / total[x]) for c in w) for x in langs]
+            like.append([math.exp(v - max(log)) + 1e-12 for v in log])
+        if not langs or not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+
+        def mixture(share, rounds, like=like):
+            for _ in range(rounds):
+                new = [0.0] * len(langs)
+                for row in like:
+                    part = [p * q for p, q in zip(row, share, strict=True)]
+                    new = [n + p / sum(part) / len(like) for n, p in zip(new, part, strict=True)]
+                far = max(abs(a - b) for a, b in zip(new, share, strict=True))
+                share = new
+                if far < 2e-3:
+                    break
+            return share
+
+        share = mixture([1 / len(langs)] * len(langs), langid.ROUNDS)
+        order = sorted(range(len(langs)), key=lambda k: (-share[k], k))
+        if len(langs) == 1 or share[order[1]] <= 0.02:
+            out.append((langs[order[0]], 1.0))
+            continue
+        best = (-math.inf, None)
+        for k in range(1, len(langs) + 1):
+            s = [(share[j] + 1e-6) if j in order[:k] else 0.0 for j in range(len(langs))]
+            s = [x / sum(s) for x in s]
+            if k > 1:
+                s = mixture(s, langid.REFINE)
+            value = sum(math.log(sum(p * q for p, q in zip(row, s, strict=True))) for row in like) - (k - 1) * math.log(max(len(like), 2))
+            if value > best[0]:
+                best = value, s
+        top = max(range(len(langs)), key=lambda j: (best[1][j], -j))
+        out.append((langs[top], best[1][top]))
+    return out
+
+
+def test_language_word_by_word(spark, sf):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 3000").limit(90).collect()]
+    rng = random.Random(6)
+    docs += [(7000 + k, " ".join(" ".join(rng.choice(docs)[1].split()[:25]) for _ in range(3)), None) for k in range(30)] + [(8000, None, "xx"), (8001, "12 34", None), (8002, "", "yy")]
+    expected = slow_languages(docs)
+    found = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    close = [abs(found[i]["score"] - p) < 0.02 and found[i]["lang_pred"] == x for (i, _, _), (x, p) in zip(docs, expected, strict=True)]
+    assert sum(close) >= len(close) - 1  # two sets may be as likely as the other up to the last bit
+
+
+def test_many_languages(spark, monkeypatch):
+    """A smaller table for each of more languages, and a clear refusal beyond that."""
+    monkeypatch.setattr(langid, "TABLE_NUMBERS", 40 << 10)
+    assert [langid.bits_for(n) for n in (1, 3, 40, 160)] == [14, 13, 10, 8] and (langid.BITS, langid.LEAST_BITS) == (14, 8)
+    docs = [(i, f"q{i % 100:03d}w " * 30, f"l{i % 100:03d}") for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    rows = frame.join(langid.identify(frame), "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.9
+    with pytest.raises(ValueError, match="161 languages"):
+        langid.bits_for(161)
