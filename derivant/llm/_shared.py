@@ -33,7 +33,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     with contextlib.suppress(Exception):
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that ``materialize`` made and that nothing reads any more."""
+    for df in frames:
+        jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

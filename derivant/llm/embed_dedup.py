@@ -384,8 +384,9 @@ def measured_duplicates(vectors: DataFrame, cosine: float = COSINE, id_column: s
     """
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
     distinct = rows.where("id is not null and vector is not null").groupBy("id").agg(F.min("vector").alias("vector"))
-    distinct = distinct.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit("second"), "vector"))
-    classes = materialize(distinct.groupBy("h1", "h2").agg(F.min("id").alias("class"), F.count("*").alias("size"), F.min_by("vector", "id").alias("vector")).withColumnRenamed("class", "id"), "classes")
+    distinct = materialize(distinct.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit("second"), "vector")), "vectors")
+    slim = distinct.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("size"))
+    classes = materialize(distinct.select("id", "vector").join(slim, "id"), "classes")
     sizes = classes.where("size(vector) > 0").groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"))
     widths = [r["d"] for r in sizes.orderBy(F.desc("n"), "d").limit(1).collect()]
     widths += [r["d"] for r in sizes.where(F.col("n") > SMALL).orderBy("d").collect() if r["d"] not in widths]

@@ -59,3 +59,26 @@ def test_native_stages_run_no_python(spark, sf):
     for df in (decontaminate.clean(docs, benchmark), mixing.mix(docs, carry=["text"]), docs.select(F.length("text"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_odd_rows_in_every_stage(spark, sf, tmp_path):
+    """Null and repeated ids, null and empty texts, columns with clashing names: no stage fails or adds a column."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = docs.where("length(text) > 300").orderBy("doc_id").first()["text"]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
+    odd = spark.createDataFrame([(None, text, None, None, 1), (None, None, "x", "y", None), (3, text + " more", None, "web", 5), (3, "", None, None, 0), (None, text + " " + item, None, None, 9), (900001, "mail a@b.com " + text, None, None, 2)], docs.schema)
+    docs = docs.unionByName(odd)
+    for extra in ("copy", "size", "_k", "block", "kinds"):
+        docs = docs.withColumn(extra, F.lit("z"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").withColumn("text2", F.lit(1)).write.parquet(f"{tmp_path}/{t}.parquet")
+    kept = docs
+    for name, stage in P.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == list(P.COLUMNS), name
+        rows = kept.collect()
+        kept = spark.createDataFrame(rows, kept.schema)
+        for extra in ("id", "n", "hit", "text_", "s"):
+            kept = kept.withColumn(extra, F.lit(1))
+        assert not any(r["doc_id"] is None and item in (r["text"] or "") for r in rows) or name in ("quality", "ngram_join")
+    assert P.STAGES[-1][1](spark, kept, str(tmp_path)).where("text is null or copy not in (1, 2)").count() == 0
