@@ -12,9 +12,13 @@ histogram of set sizes:
 * heavy: pairs with a larger set scan inverted lists. A set's rarest shingles, as
   many as two sets above the threshold cannot both miss, are its list entries;
   frequencies are counted over all sets. Sets that share a list meet at the list's
-  smallest id; meetings above ``CHUNK`` sets or ``CHUNK_MEMBERS`` members are cut into
-  pairs of chunks, so a task holds no more than two chunks at once, and each pair of sets that is not connected yet is
-  verified by exact intersection.
+  smallest id, and what is not connected yet is verified by exact intersection, in three
+  steps. Meetings above ``CHUNK`` sets or ``CHUNK_MEMBERS`` members are cut into chunks.
+  First the sets of a chunk are compared. Then one set stands for the largest component
+  of each chunk, and these are compared with each other. At last, in each meeting, the
+  sets outside its largest component are compared with all sets of other components,
+  pairs of chunks at a time. So g near copies of one text are shipped once or twice each,
+  and only sets that a meeting holds in vain are shipped once for each chunk of it.
 
 Shingles are hashed twice, from words hashed twice, by lanes that are independent of
 each other: sets are equal, and subsets are, if 128 bits are, and links of large sets
@@ -32,12 +36,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
 from ._graph import components
-from ._shared import blocks_for, materialize, partitions
+from ._shared import blocks_for, discard, materialize, partitions
 
 SHINGLE, PERCENT = 3, 90
 #: Meetings of more sets, or of more members of sets, are cut into chunks.
@@ -217,15 +221,15 @@ def _candidates(shingle: int, low: int, boundary: int, buckets: int, percent: in
     return find
 
 
-def _forest(ids: list[int], chunk: list[int], sets: list[np.ndarray], percent: int, across: bool) -> list[tuple[int, int]]:
-    """Links that connect the sets of one meeting; across: only between its two chunks."""
+def _forest(ids: list[int], chunk: list[int], known: list[int], sets: list[np.ndarray], percent: int, across: bool) -> list[tuple[int, int]]:
+    """Links that connect the sets of one meeting, of which those with one known component are connected; across: only between its two chunks."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     ids, chunk, sets = [ids[i] for i in order], np.array([chunk[i] for i in order]), [sets[i] for i in order]
+    label = np.unique([known[i] for i in order], return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets], np.int64)
     start = np.concatenate([[0], np.cumsum(sizes)])
     distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    label = np.arange(len(sets))
     mark = np.zeros(len(distinct), bool)
     found = []
     for i in range(len(sets) - 1):
@@ -252,12 +256,12 @@ def _forest(ids: list[int], chunk: list[int], sets: list[np.ndarray], percent: i
 
 def _verify(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {"key": None, "ids": [], "chunk": [], "sets": []}
+        held: dict = {"key": None, "ids": [], "chunk": [], "known": [], "sets": []}
         found: list[tuple[int, int]] = []
 
         def close() -> None:
             if len(held["ids"]) > 1:
-                found.extend(_forest(held["ids"], held["chunk"], held["sets"], percent, held["key"][1] != held["key"][2]))
+                found.extend(_forest(held["ids"], held["chunk"], held["known"], held["sets"], percent, held["key"][1] != held["key"][2]))
 
         def out() -> pa.RecordBatch:
             rows = pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
@@ -265,12 +269,13 @@ def _verify(percent: int):
             return rows
 
         for batch in batches:
-            for pivot, a, b, i, c, members in zip(*(batch[x].to_pylist() for x in ("pivot", "ca", "cb", "id", "chunk", "members")), strict=True):
+            for pivot, a, b, i, c, label, members in zip(*(batch[x].to_pylist() for x in ("pivot", "ca", "cb", "id", "chunk", "label", "members")), strict=True):
                 if (pivot, a, b) != held["key"]:
                     close()
-                    held.update(key=(pivot, a, b), ids=[], chunk=[], sets=[])
+                    held.update(key=(pivot, a, b), ids=[], chunk=[], known=[], sets=[])
                 held["ids"].append(i)
                 held["chunk"].append(c)
+                held["known"].append(label)
                 held["sets"].append(np.frombuffer(members, np.uint64))
             yield out()
         close()
@@ -279,6 +284,64 @@ def _verify(percent: int):
     return verify
 
 
+def _chunks(many: Column, members: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.greatest(many / CHUNK, members / CHUNK_MEMBERS))).cast("int")
+
+
+def _side(chunks: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), chunks).cast("int")
+
+
+def _in_pairs(meets: DataFrame) -> DataFrame:
+    """meets(pivot, id, n, label) with chunk, ca and cb: each pair of a meeting's chunks, and each chunk with itself."""
+    chunks = meets.groupBy("pivot").agg(_chunks(F.count("*"), F.sum("n")).alias("chunks"))
+    rows = meets.join(chunks, "pivot").withColumn("chunk", _side(F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.select("pivot", "id", "label", "chunk", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"))
+
+
+def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The verified links of rows(pivot, ca, cb, id, label, chunk)."""
+    shipped = rows.join(sets.where("members is not null").select("id", "members"), "id")
+    shipped = shipped.repartition(partitions(rows.sparkSession), "pivot", "ca", "cb").sortWithinPartitions("pivot", "ca", "cb")
+    return shipped.mapInArrow(_verify(percent), "a long, b long")
+
+
+def _connected(meets: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(node, component) by the known links and those among meets(pivot, id, n)."""
+    chunks = meets.groupBy("pivot").agg(_chunks(F.count("*"), F.sum("n")).alias("chunks"))
+    meets = materialize(meets.join(chunks, "pivot").withColumn("chunk", _side(F.col("chunks"))), "chunked")
+    within = meets.select("pivot", "id", F.col("id").alias("label"), "chunk", F.col("chunk").alias("ca"), F.col("chunk").alias("cb"))
+    found = components(known.unionByName(_links(within, sets, percent)))
+    large = meets.where("chunks > 1").select("pivot", "id", "n", "chunk")
+    if large.isEmpty():
+        discard(meets)
+        return found
+
+    def labelled() -> DataFrame:
+        return large.join(found.withColumnRenamed("node", "id"), "id", "left").select("pivot", "id", "n", "chunk", F.coalesce("component", "id").alias("label"))
+
+    def grown(links: DataFrame) -> DataFrame:
+        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+    first = labelled().groupBy("pivot", "chunk", "label").agg(F.count("*").alias("k"), F.min(F.struct("id", "n")).alias("one"))
+    ones = first.groupBy("pivot", "chunk").agg(F.max(F.struct("k", "label", "one")).alias("m")).select("pivot", F.col("m.one.id").alias("id"), F.col("m.one.n").alias("n"), F.col("m.label").alias("label"))
+    found = grown(_links(_in_pairs(ones), sets, percent))
+
+    mine = labelled()
+    main = mine.groupBy("pivot", "label").agg(F.count("*").alias("k")).groupBy("pivot").agg(F.max(F.struct("k", "label")).alias("m")).select("pivot", F.col("m.label").alias("main"))
+    mine = materialize(mine.join(main, "pivot").withColumn("outside", F.col("label") != F.col("main")).drop("main", "chunk"), "outside")
+    size = lambda which: _chunks(F.count(F.when(which, 1)), F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)))
+    sides = mine.groupBy("pivot").agg(F.count(F.when(F.col("outside"), 1)).alias("k"), size(F.col("outside")).alias("few"), size(~F.col("outside")).alias("many")).where("k > 0").drop("k")
+    rows = mine.join(sides, "pivot")
+    chunk = F.when(F.col("outside"), _side(F.col("few"))).otherwise(F.col("few") + _side(F.col("many")))
+    other = F.when(F.col("outside"), F.sequence(F.col("few"), F.col("few") + F.col("many") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") - 1))
+    rows = rows.withColumn("chunk", chunk).withColumn("other", F.explode(other))
+    across = rows.select("pivot", "id", "label", "chunk", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"))
+    found = grown(_links(across, sets, percent).unionByName(_links(_in_pairs(mine.where("outside").select("pivot", "id", "n", "label")), sets, percent)))
+    discard(meets, mine)
+    return found
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs.
 
@@ -315,26 +378,23 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     entries = sets.select("id", "n", F.explode("lists").alias("key"))
     pivots = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
     meets = materialize(entries.join(pivots, "key").select("pivot", "id", "n").distinct(), "meets")
-    chunks = meets.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_MEMBERS)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    meets = meets.join(chunks, "pivot").select("pivot", "id", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    meets = meets.select("pivot", "id", "chunk", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"))
-    shipped = meets.join(sets.where("members is not null").select("id", "members"), "id")
-    shipped = shipped.repartition(partitions(spark), "pivot", "ca", "cb").sortWithinPartitions("pivot", "ca", "cb")
-    heavy_links = shipped.mapInArrow(_verify(percent), "a long, b long")
-
     known = signed.where("n > 0 and id is not null")
     several = known.groupBy("id").agg(F.min(F.struct("n", "s1", "s2")).alias("a"), F.max(F.struct("n", "s1", "s2")).alias("b")).where("a <> b").select("id")
     own_links = known.join(several, "id").join(classes.withColumnRenamed("id", "a"), ["n", "s1", "s2"]).select("a", F.col("id").alias("b"))
 
-    found = components(light_links.unionByName(heavy_links).unionByName(own_links))
+    found = _connected(meets, sets, light_links.unionByName(own_links), percent)
+    discard(sets, meets)
     named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     out = signed.join(named, ["n", "s1", "s2"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs that stay when one document of each group of near duplicates does: the smallest doc_id."""
+    """The rows of docs that stay when one document of each group of near duplicates does: the smallest doc_id.
+
+    All rows of that doc_id stay, as do rows without a doc_id or without words, which are
+    linked with nothing; all columns stay as they are; an empty table stays empty.
+    """
     found = jaccard_components(docs, shingle, percent, id_column, text_column)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_column] == F.col("_gone"), "left_anti")

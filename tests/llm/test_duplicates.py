@@ -81,6 +81,23 @@ def test_a_hot_group_of_copies(spark, rows):
     assert {c for i, _, c in out if i < 3000} == {0} and all(i == c for i, _, c in out if i >= 9000)
 
 
+@pytest.mark.parametrize("chunk", [2, 3, 8])
+def test_meetings_of_many_chunks(spark, rows, monkeypatch, chunk):
+    """Chunks, their representatives and what is outside the largest component: no link is lost and none is made up."""
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_join, "MOST_LIGHT", 1)
+    random.seed(chunk)
+    base, docs = [f"w{i}" for i in range(40)], []
+    for k in range(60):  # near copies, of which some are far from each other, and texts that share rare shingles only
+        words = list(base)
+        for _ in range(random.randrange(5)):
+            words[random.randrange(40)] = f"x{random.randrange(6)}"
+        docs.append((k * 31 % 97, " ".join(words)))
+    docs += [(200 + k, " ".join([*base[:8], *(f"y{k}z{j}" for j in range(random.randrange(1, 9)))])) for k in range(30)]
+    for percent in (70, 90):
+        assert rows(ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, percent)) == brute_components(docs, 3, percent)
+
+
 def test_subset_sizes_cover_all_light_links():
     for percent in (70, 80, 90):
         for boundary in (9, 20):
