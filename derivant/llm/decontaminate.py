@@ -118,7 +118,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold: floa
     key = F.coalesce(number, F.xxhash64(text)), number.isNull()
     base = docs.select(key[0].alias("_k"), key[1].alias("_null"), text.alias("text"))
     found = _matches(base, benchmark, n, threshold, item_id, item_text).select(F.col("_k").alias("_leak"), F.col("_null").alias("_leak_null")).distinct()
-    return docs.join(found, (key[0] == F.col("_leak")) & (key[1] == F.col("_leak_null")), "left_anti")
+    found = materialize(found, "leaks")  # its size is known before the texts are joined with it
+    return docs.join(_small(found, found.count()), (key[0] == F.col("_leak")) & (key[1] == F.col("_leak_null")), "left_anti")
 
 
 #: The rows of contained(documents, benchmark) in DuckDB, by plain comparison of all shingles.
