@@ -53,11 +53,11 @@ class Engine:
 
     # programs
 
-    def load(self, text: str) -> Engine:
+    def load(self, text: str | syntax.Program) -> Engine:
         """Declarations, facts, rules and queries of a program; nothing changes if it has an error."""
         old = Schema(dict(self.schema.types), dict(self.schema.symbols))
         try:
-            program = analysis.check(syntax.parse(text), self.schema)
+            program = analysis.check(syntax.parse(text) if isinstance(text, str) else text, self.schema)
             rules = program.of(syntax.Rule)
             self._check_strata([*self.rules.values(), *rules])
         except E.DatalogError:
@@ -360,3 +360,8 @@ class Engine:
             self.run()
             return "\n".join(f"{p}:\n{df._jdf.queryExecution().toString()}" for p, df in self._full.items())
         raise ValueError(what)
+
+
+def engines(spark: SparkSession, text: str, tag: str = "unit", **options) -> dict[str, Engine]:
+    """An engine for each program of a text such as "Roads { decl a(Int). a(1). } Rails { .. }"; they share nothing."""
+    return {name: Engine(spark, tag, **options).load(program) for name, program in syntax.parse_block(text).items()}

@@ -6,7 +6,7 @@ import pathlib
 import duckdb
 import pytest
 
-from derivant import Engine
+from derivant import Engine, engines
 from derivant import errors as E
 from derivant.cli import interactive, main
 from derivant.queries import oracle_sql, queries
@@ -55,6 +55,25 @@ def test_interactive(spark, capsys):
     assert len(Engine.compile("decl a(Int). a(1).").items) == 2
 
 
+def test_programs_of_one_block(spark, rows):
+    """Programs of one text have relations of their own, also under one name."""
+    text = """
+        Up { decl n(Int). decl r(Int, Int). n(1). n(4). r(A, A + 1) :- n(A). }  // "}" here is a comment
+        signs { decl n(String). decl r(String). n("{"). n("}"). r(A) :- n(A), A != "{". query r(X). }
+        Nothing {}
+    """
+    found = engines(spark, text)
+    assert list(found) == ["Up", "signs", "Nothing"]
+    assert rows(found["Up"].relation("r")) == [(1, 2), (4, 5)] and rows(found["signs"].query("r(X)")) == [("}",)]
+    found["Up"].insert_rows("n", [(7,)])
+    assert rows(found["Up"].relation("r")) == [(1, 2), (4, 5), (7, 8)] and not found["Nothing"].schema.types
+    for bad in ("A { decl n(Int). } A { }", "A decl n(Int).", "A { decl n(Int).", "decl n(Int).", "A { n(1). } }"):
+        with pytest.raises(E.DatalogError):
+            engines(spark, bad)
+    with pytest.raises(E.ParseError):
+        Engine(spark).load("decl n(Int). { n(1). }")
+
+
 def test_every_tuple_is_printed(spark, tmp_path, capsys):
     facts = "".join(f"a({i}). " for i in range(1500))
     path = tmp_path / "p.dl"
