@@ -10,9 +10,11 @@ Copies: all documents of a source expect target / source size copies. The expect
 copies are prefix-summed within the source in order of size, one random offset per
 source is added, and a document is emitted once per integer boundary that its
 interval crosses. In order of size, neighbours in the sum are alike, so the words
-taken stay within about one document of the target. The prefix sum has two levels:
-ranks inside (source, size class, id class) and offsets of these classes, so that
-a source with a third of all rows is spread over many tasks.
+taken stay within about one document of the target. The prefix sum has three levels:
+ranks inside (source, size class, id class, size, id range), offsets of these ranges
+inside (source, size class, id class), and offsets of the classes. A range holds at most
+``ID_RANGE`` ids of one size, so neither a source with a third of all rows nor a size
+that so many texts have, nor ids that are all multiples of some number, is one task.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from ._shared import materialize
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT, SEED = 1.5, 2.0, "mix-1"
 SIZE_CLASS, ID_CLASSES = 16, 64
+#: Ids that agree but for their last bits are one range; rows without an id are dealt to so many.
+RANGE_BITS, NULL_RANGES = 16, 4096
+ID_RANGE = 1 << RANGE_BITS
 
 
 def word_count(text: Column) -> Column:
@@ -62,9 +67,9 @@ def mix(docs: DataFrame, carry: Sequence[str] = (), id_column: str = "doc_id", t
 
     One row per input row; copies is 0, 1 or 2. A null or empty text has size 0 and
     takes nothing; sources with only such texts have target 0; a null source is a
-    source of its own; rows that tie in size and id differ in nothing that counts,
-    so which of them is taken does not change the result; a null id sorts first;
-    an empty table gives no rows; clashing names in further columns do not matter.
+    source of its own; rows that tie in size and id are in order of a hash of their
+    text, so reruns take the same of them; rows without an id come first, in that
+    order; an empty table gives no rows; clashing names in further columns do not matter.
     """
     source = F.col(source_column).cast("string")
     base = docs.select(
@@ -72,24 +77,29 @@ def mix(docs: DataFrame, carry: Sequence[str] = (), id_column: str = "doc_id", t
         word_count(F.col(text_column)).alias("_size"),
         source.alias("_source"),
         F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("_src"),
+        F.xxhash64(F.col(text_column).cast("string")).alias("_tie"),
         *[F.col(c).alias(f"c_{c}") for c in carry],
     )
     base = base.withColumn("_class", F.floor(F.col("_size") / SIZE_CLASS)).withColumn("_sub", F.coalesce(F.pmod("_id", F.lit(ID_CLASSES)), F.lit(-1)))
-    keys = ["_src", "_class", "_sub"]
+    base = base.withColumn("_range", F.coalesce(F.shiftright("_id", RANGE_BITS), F.pmod("_tie", F.lit(NULL_RANGES))))
+    keys, ranges = ["_src", "_class", "_sub"], ["_src", "_class", "_sub", "_size", "_range"]
     # texts are counted once, or twice if columns are carried along
-    slim = materialize(base.select("_id", "_size", "_source", *keys), "sizes")
+    slim = materialize(base.select("_id", "_tie", "_source", *ranges), "sizes")
     base = base if carry else slim
-    inner = Window.partitionBy(*keys).orderBy("_size", F.col("_id").asc_nulls_first())
+    inner = Window.partitionBy(*ranges).orderBy("_id", "_tie")
     ranked = base.drop("_source").withColumn("_rank", F.row_number().over(inner))
-    counts = slim.groupBy(*keys).agg(F.count("*").alias("_n"))
+    counts = slim.groupBy(*ranges).agg(F.count("*").alias("_n"))
+    middle = Window.partitionBy(*keys).orderBy("_size", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.select(*ranges, F.coalesce(F.sum("_n").over(middle), F.lit(0)).alias("_within"))
     outer = Window.partitionBy("_src").orderBy("_class", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_before"))
+    classes = counts.groupBy(*keys).agg(F.sum("_n").alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_before"))
+    offsets = within.join(classes, keys).withColumn("_before", F.col("_before") + F.col("_within")).drop("_within")
     start = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_src"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     offsets = offsets.join(targets(slim), "_src").withColumn("_start", start)
     rank = (F.col("_rank") + F.col("_before")).cast("double")
     crossed = F.floor(F.col("_rate") * rank + F.col("_start")) - F.floor(F.col("_rate") * (rank - 1) + F.col("_start"))
     copies = F.least(crossed, F.lit(2)).cast("long")
-    joined = ranked.join(offsets, keys)
+    joined = ranked.join(offsets, ranges)
     return joined.select(
         F.col("_id").alias("doc_id"),
         F.col("_size").alias("size"),

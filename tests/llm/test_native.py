@@ -50,6 +50,19 @@ def test_mixing(spark):
     assert {(r["size"], r["target"], r["taken"]) for r in mixing.mix(empty).collect()} == {(0, 0.0, 0)}
 
 
+def test_mixing_of_one_hot_size(spark):
+    """A third of all rows with one source and size, ids that are multiples of 64 or negative or missing."""
+    docs = [((i - 500) * 6400, f"alpha beta gamma {i}", "hot") for i in range(1000)]
+    docs += [(None, f"delta {i % 90} epsilon", "hot" if i % 2 else None) for i in range(700)]
+    docs += [(i * 3 - 900, "w " * (i % 50), "abc"[i % 3]) for i in range(1300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    out = mixing.mix(df, carry=["text"])
+    assert spark_rows(out.drop("copies", "c_text")) == duck(mixing.SQL, documents=df)
+    assert spark_rows(out) == spark_rows(mixing.mix(df.repartition(9).orderBy(F.desc("text")), carry=["text"]))
+    window = mixing.ID_RANGE // 64
+    assert max(sum(d[0] is not None and d[0] >> mixing.RANGE_BITS == k for d in docs[:1000]) for k in range(-60, 60)) < window
+
+
 def test_word_count(spark):
     df = spark.createDataFrame([("a\x0bb\x1fc d e",), (None,), (" \t\n",), ("w " * 100_000,)], "t string")
     assert [r[0] for r in df.select(mixing.word_count(F.col("t"))).collect()] == [3, 0, 0, 100_000]
