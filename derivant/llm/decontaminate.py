@@ -6,7 +6,9 @@ Items are partitioned by size class (powers of two of their shingle counts). Eac
 class has a bottom-k MinHash sketch whose k follows from the class's upper size and
 the threshold: of any (1 - t) n + 1 shingles at least one lies in a document that
 holds t n of the n, so a document that holds none of an item's k smallest hashes
-cannot contain it. The search therefore misses nothing. Every shingle of every
+cannot contain it. The search therefore misses nothing. That holds for any order of the
+hashes, so those that many items share come last, by powers of two: a phrase that opens
+every question brings no candidates as long as an item has enough others. Every shingle of every
 document, of any length, probes the sketches; candidates are then verified by
 exact containment of the shingles as text. A text is split once, for all widths, and of
 a candidate's shingles only those go on that are an item's.
@@ -76,7 +78,9 @@ def _matches(base: DataFrame, benchmark: DataFrame, n: int, threshold: float, it
     top = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_item").cast("double"))))
     k = top - F.ceil(F.lit(threshold) * top - F.lit(1e-9)) + 1
     items = materialize(items.withColumn("k", k.cast("int")), "items")
-    sketch = items.groupBy("item_id", "version", "width", "n_item", "k").agg(F.sort_array(F.collect_set(F.struct(F.xxhash64("h").alias("order"), F.col("h")))).alias("s"))
+    often = items.groupBy("width", "h").agg(F.floor(F.log2(F.count("*").cast("double"))).alias("often"))
+    sketch = items.join(often, ["width", "h"]).groupBy("item_id", "version", "width", "n_item", "k")
+    sketch = sketch.agg(F.sort_array(F.collect_set(F.struct("often", F.xxhash64("h").alias("order"), F.col("h")))).alias("s"))
     sketch = sketch.select("item_id", "version", "width", "n_item", F.explode(F.slice(F.col("s"), F.lit(1), F.col("k"))).alias("s")).select("width", F.col("s.h").alias("h"), "item_id", "version", "n_item")
     facts = items.agg(F.collect_set("width").alias("widths"), F.count("*").alias("rows")).first()
     widths, rows = sorted(facts["widths"]), facts["rows"]  # a sketch has no more rows than its items have shingles

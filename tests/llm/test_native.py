@@ -96,6 +96,17 @@ def test_contained(spark):
     assert decontaminate.clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_items_that_share_a_phrase(spark):
+    """A phrase in every item makes no candidates where items have shingles of their own, and is still found where it is all there is."""
+    phrase = "what is the right answer to this question about"
+    items = [(i, f"{phrase} " + " ".join(f"t{i}w{k}" for k in range(12))) for i in range(200)] + [(999, phrase)]
+    docs = [(1, phrase), (2, f"so {phrase} nothing"), (3, f"see: {items[7][1]} end"), (4, items[8][1].replace("what is the right answer", "x")), (5, "no such words")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.contained(d, b)
+    assert spark_rows(out) == duck(decontaminate.SQL, documents=d, benchmark=b)
+    assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == {(1, 999), (2, 999), (3, 7), (3, 999)}
+
+
 def test_versions_of_an_item(spark):
     """A document holds an item if it holds one of its versions, not parts of several."""
     text = lambda i, v: " ".join(f"i{i}v{v}w{k}" for k in range(12))
