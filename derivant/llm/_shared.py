@@ -9,7 +9,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: About as many bytes of text go to one block (one group of one Python call).
+#: About as many bytes of text go to one block (one group of one Python call), unless
+#: spark.derivant.blockBytes says otherwise. A worker holds a block and its hashes several
+#: times over; each block exchanges a row with each bucket, so large corpora want the largest
+#: blocks that workers have memory for.
 BLOCK_BYTES = 8 << 20
 
 
@@ -58,8 +61,9 @@ def text_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(column).cast("long")).alias("n")).first()["n"] or 0
 
 
-def blocks_for(df: DataFrame, column: str, size: int = BLOCK_BYTES) -> int:
-    """A number of hash blocks such that one holds about size bytes of text."""
+def blocks_for(df: DataFrame, column: str) -> int:
+    """A number of hash blocks such that one holds about BLOCK_BYTES of text."""
+    size = int(df.sparkSession.conf.get("spark.derivant.blockBytes", str(BLOCK_BYTES)))
     return max(1, partitions(df.sparkSession), -(-text_bytes(df, column) // size))
 
 

@@ -313,3 +313,16 @@ def test_equal_vectors_are_one_class(spark, monkeypatch):
         assert r["n_links"] == (0 if i is None else linked[i].sum()) and r["component_id"] == (r["vec_id"] if i is None else union.find(r["vec_id"]))
         assert r["kept"] == (r["vec_id"] == r["component_id"])
     assert sorted(map(repr, seen)) == sorted(repr(i) for i, _ in data) and list(recall) == [16] and len(recall[16][1]) == 2
+
+
+def test_the_size_of_blocks_changes_nothing(spark):
+    texts = [("a b c d e f g h i j k l m n o p " * (1 + i % 5) + f"w{i % 7}") for i in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = []
+    for size in ("400", "100000"):
+        spark.conf.set("spark.derivant.blockBytes", size)
+        try:
+            found.append([sorted(map(tuple, f(df).collect()), key=repr) for f in (substring_dedup.remove_repeats, ngram_join.jaccard_components)])
+        finally:
+            spark.conf.unset("spark.derivant.blockBytes")
+    assert found[0] == found[1] and any(r[2] for r in found[0][0])
