@@ -27,6 +27,10 @@ _OPS = {
 }
 
 
+#: Frames with proofs that the optimiser takes for larger than so many bytes are not broadcast.
+BROADCAST_PROOFS = 64 * 1024
+
+
 def column_name(var: str) -> str:
     return f"v_{var}"
 
@@ -72,6 +76,11 @@ def atom_frame(atom: Atom, df: DataFrame, tag_as: str | None) -> DataFrame:
     return df.select(*columns, *([F.col(TAG).alias(tag_as)] if tag_as else []))
 
 
+def _unknown_size(df: DataFrame) -> bool:
+    """The optimiser counts a proof as one fact and what explode makes as its input, so small frames are the only ones it knows."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST_PROOFS
+
+
 def rule_frame(spark: SparkSession, rule: Rule, frames: Sequence[DataFrame], negated: Sequence[DataFrame], tag: Unit, tagged: Sequence[bool], head_tag: Unit, head_types: Sequence[str]) -> DataFrame:
     """The head's tuples (with duplicates) from a frame for each positive and each negated atom.
 
@@ -115,6 +124,8 @@ def rule_frame(spark: SparkSession, rule: Rule, frames: Sequence[DataFrame], neg
             if shared and name is None and not (mine - known) & after:
                 df, mine = df.join(right.select(*on), on, "left_semi"), set()
             elif shared:
+                if name is not None and has_tag and tag.keeps_proofs and _unknown_size(right) and _unknown_size(df):
+                    right = right.hint("shuffle_merge")
                 df = combine(df.join(right, on), name)
             else:
                 df = combine(df.crossJoin(right), name)

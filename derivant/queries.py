@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .engine import Engine
@@ -130,6 +130,11 @@ def contains_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.contains_chain(table(spark, sf_dir, "region"), {"r_regionkey": 2}, R.project(table(spark, sf_dir, "nation"), F.col("n_name").alias("name")))
 
 
+def _by_task(df: DataFrame) -> DataFrame:
+    """Dealt by task while rows are narrow, into as many parts as any shuffle: what follows of a task needs no other exchange."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t")
+
+
 # probabilities: thirteenths have no ties where decimals are rounded
 CHANCE = "(round(l_discount * 100) + 1) / 13"
 ITEMS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -246,10 +251,11 @@ def sum2_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH d AS (SELECT DISTINCT c_custkey AS t, i, v, (c_custkey * (i + 2) + v * 3) % 5 + 1 AS w FROM customer, (VALUES (0), (1)) AS x(i), (VALUES (0), (1), (2)) AS y(v)), e AS (SELECT *, w / (sum(w) OVER (PARTITION BY t, i))::DOUBLE AS p FROM d) SELECT a.t, (a.v + b.v)::BIGINT AS total, round(sum(a.p * b.p), 6) AS prob FROM e a JOIN e b ON a.t = b.t AND a.i = 0 AND b.i = 1 GROUP BY a.t, a.v + b.v")
 def wmc_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of two digits whose values exclude each other when counted, too."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("t"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).select("t", "i", F.explode(F.array(*map(F.lit, range(3)))).alias("v")).distinct()
+    tasks = _by_task(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("t")))
+    rows = tasks.select("t", F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).select("t", "i", F.explode(F.array(*map(F.lit, range(3)))).alias("v")).distinct()
     rows = rows.withColumn("w", (F.col("t") * (F.col("i") + 2) + F.col("v") * 3) % 5 + 1)
-    total = rows.groupBy("t", "i").agg(F.sum("w").alias("all"))
-    digits = rows.join(total, ["t", "i"]).select("t", "i", "v", (F.col("w") / F.col("all")).alias("p"))
+    total = F.sum("w").over(Window.partitionBy("t", "i"))
+    digits = rows.select("t", "i", "v", (F.col("w") / total).alias("p"))
     engine = Engine(spark, "proofs").load("decl digit(Int, Int, Int). decl sum(Int, Int). sum(T, A + B) :- digit(T, 0, A), digit(T, 1, B).")
     engine.insert_disjunction("digit", digits, "p", ["t", "i"], ["t", "i", "v"])
     return engine.with_prob("sum", ["t", "total"], exclusive=True).withColumn("prob", F.round("prob", 6))

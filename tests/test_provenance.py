@@ -249,3 +249,22 @@ def test_operators(spark, rows):
     assert R.join(R.dedupe(a), b.withColumnRenamed("y", "z"), ["x"]).count() == 3
     assert R.product(b.select("x"), b.select("y")).count() == 9
     assert rows(R.contains_chain(a, {"x": 4}, b)) == rows(b) and not rows(R.contains_chain(a, {"x": 5}, b))
+
+
+def test_only_frames_of_known_size_are_broadcast(spark, rows):
+    """The optimiser takes exploded rows and proofs for much smaller than they are."""
+    parts = F.explode(F.array(*map(F.lit, range(5)))).alias("b")
+    many = spark.range(20_000).select("id", parts).select("id", "b", F.lit(0.5).alias("p"))
+    few = spark.range(3).select("id", F.lit(0.25).alias("p"))
+
+    def joined(second):
+        engine = Engine(spark, "proofs").load("decl a(Int, Int). decl c(Int, Int). decl d(Int). r(A) :- a(A, _), c(A, _). s(A) :- a(A, _), d(A). decl r(Int). decl s(Int).")
+        engine.insert_prob("a", many, "p", ["id", "b"]).insert_prob("c", many, "p", ["id", "b"]).insert_prob("d", few, "p", ["id"])
+        df = engine.tagged(second, ["a"])
+        return df, df._jdf.queryExecution().executedPlan().toString()
+
+    df, plan = joined("r")
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert df.count() == 20_000 and df.select(F.min(F.size(TAG)), F.max(F.size(TAG))).first() == (25, 25)
+    df, plan = joined("s")
+    assert "Broadcast" in plan and df.count() == 3

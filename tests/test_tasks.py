@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from derivant import Engine, tasks
 from derivant.functions import wmc
 from derivant.functions.tags import TAG
+from derivant.queries import queries
 
 P = {(t, i, v): (1 + (v * (t + 2) + i) % 5) / (11 + t) for t in range(2) for i in range(3) for v in range(4)}
 
@@ -63,3 +64,11 @@ def test_numbers_of_proofs(spark):
 def test_gradient_of_the_best_proofs(spark):
     rows = tasks.run(tasks.sum_program(2), frame(spark, 2), k=3, gradient=True).collect()
     assert all(1 <= len(r["grad"]) <= 6 and r["prob"] > 0 for r in rows) and len(rows) == 14
+
+
+@pytest.mark.parametrize("name", ["wmc_exclusive"])
+def test_tasks_are_dealt_once(spark, name):
+    """Digits of a task meet where the task's rows were sent at first; nothing of the size of the input is broadcast."""
+    plan = queries()[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange" in x]
+    assert exchanges and all("REPARTITION_BY_NUM" in x for x in exchanges), plan
