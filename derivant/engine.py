@@ -48,6 +48,7 @@ class Engine:
         self._facts: dict[str, list[DataFrame]] = {}
         self._parts: dict[str, Parts] = {}
         self._dead: list[Table] = []
+        self._groups: dict[str, list[list[int] | None]] = {}
         self._inserts = self._next_rule = 0
         self._items: list[syntax.Item] = []
 
@@ -104,7 +105,7 @@ class Engine:
         for r in self.rules.values():
             if name == r.head.predicate or any(a.predicate == name for a in [*r.atoms(), *r.negated()]):
                 raise E.CompileError(f"relation {name} is used by: {r.codify()}")
-        for d in (self.schema.types, self._base, self._pending, self._full, self._facts):
+        for d in (self.schema.types, self._base, self._pending, self._full, self._facts, self._groups):
             d.pop(name, None)
         if name in self._parts:
             self._retire([self._parts.pop(name)])
@@ -170,6 +171,8 @@ class Engine:
         exclusive = F.xxhash64(F.lit(name), F.lit(self._inserts), *[F.col(f"_x{i + 1}") for i in range(len(group))]) if group else fact
         tag = self.tag.base(fact, exclusive, p)
         self._remember(name, frame.select(*names, fact.alias(FACT), exclusive.alias(GROUP), p.alias(PROB)))
+        if group:
+            self._groups.setdefault(name, []).append([list(columns).index(c) for c in group if c in columns])
         return self._add(name, frame.select(*names, *([tag.alias(TAG)] if tag is not None else [])))
 
     def _insert_literals(self, name: str, rows: Sequence[tuple]) -> None:
@@ -183,6 +186,8 @@ class Engine:
         fact = rel.fact_id(name, self._inserts, [*names], F.struct("_p", "_g"))
         exclusive = F.when(F.col("_g").isNull(), fact).otherwise(F.xxhash64(F.lit("group"), F.lit(self._inserts), F.col("_g")))
         tag = self.tag.base(fact, exclusive, F.col("_p"))
+        if any(g is not None for _, _, g in rows):
+            self._groups.setdefault(name, []).append(None)
         self._remember(name, df.select(*names, fact.alias(FACT), exclusive.alias(GROUP), F.col("_p").alias(PROB)))
         self._add(name, df.select(*names, *([tag.alias(TAG)] if tag is not None else [])))
 
@@ -220,7 +225,9 @@ class Engine:
 
     def _evaluation(self, types: dict[str, tuple[str, ...]] | None = None, untagged: frozenset[str] = frozenset()) -> Evaluation:
         unit = Unit()
-        return Evaluation(self.spark, types or self.schema.types, lambda p: unit if p in untagged else self.tag, self.tag, self.max_iterations, {} if types else self._parts)
+        groups = self._groups if self.tag.keeps_proofs else {}
+        groups = groups | {f"{p}@base": g for p, g in groups.items()}
+        return Evaluation(self.spark, types or self.schema.types, lambda p: unit if p in untagged else self.tag, self.tag, self.max_iterations, {} if types else self._parts, groups=groups)
 
     def run(self) -> Engine:
         if not self._pending and not self._fresh:

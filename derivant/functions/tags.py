@@ -24,6 +24,19 @@ def compatible(proof: Column) -> Column:
     return F.size(F.array_distinct(F.transform(proof, lambda x: x["d"]))) == F.size(proof)
 
 
+def lead(tag: Column, field: str) -> Column:
+    """d: the group of all proofs' first facts, if it is one; f: those facts. Null if a proof is empty."""
+    d = F.get(F.get(tag, F.lit(0)), F.lit(0))["d"]
+    one = F.forall(tag, lambda p: F.get(p, F.lit(0))["d"] == d)
+    return F.when(one, d if field == "d" else F.array_distinct(F.transform(tag, lambda p: F.get(p, F.lit(0))["f"])))
+
+
+def sorted_set(values: Column) -> Column:
+    """Sorted, each once; array_distinct compares every two arrays."""
+    sorted_ = F.transform(F.array(F.sort_array(values)), lambda s: F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.struct(x.alias("x"), x.eqNullSafe(y).alias("again"))))
+    return F.transform(F.filter(F.get(sorted_, F.lit(0)), lambda z: ~z["again"]), lambda z: z["x"])
+
+
 class Unit:
     """Tuples are there or not; there is no tag column."""
 
@@ -78,7 +91,7 @@ class Proofs(Unit):
         return F.array(F.array(F.struct(group.alias("d"), fact.alias("f"), prob.alias("p"))))
 
     def normal(self, proofs: Column) -> Column:
-        return F.array_sort(F.array_distinct(proofs))
+        return sorted_set(proofs)
 
     def mult(self, a: Column, b: Column) -> Column:
         pairs = F.flatten(F.transform(a, lambda p: F.transform(b, lambda q: F.array_sort(F.array_union(p, q)))))
@@ -113,7 +126,7 @@ class TopKProofs(Proofs):
         self.k = k
 
     def normal(self, proofs: Column) -> Column:
-        ranked = F.array_sort(F.transform(F.array_distinct(proofs), lambda p: F.struct((-weight(p)).alias("w"), p.alias("p"))))
+        ranked = sorted_set(F.transform(proofs, lambda p: F.struct((-weight(p)).alias("w"), p.alias("p"))))
         return F.transform(F.slice(ranked, 1, self.k), lambda x: x["p"])
 
 

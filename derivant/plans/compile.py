@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tags import TAG, Unit
+from ..functions.tags import TAG, Unit, lead
 from ..sources.relations import NULLARY, SQL_TYPES, keys
 from .syntax import Atom, Binary, Const, Expr, Rule, Unary, Var, variables
 
@@ -81,13 +81,31 @@ def _unknown_size(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST_PROOFS
 
 
-def rule_frame(spark: SparkSession, rule: Rule, frames: Sequence[DataFrame], negated: Sequence[DataFrame], tag: Unit, tagged: Sequence[bool], head_tag: Unit, head_types: Sequence[str]) -> DataFrame:
+def _by_groups(left: DataFrame, right: DataFrame, on: Sequence[str], name: str) -> DataFrame:
+    """left and right joined, without the pairs whose facts exclude each other.
+
+    Pairs of different groups are made by pairs of groups, each of which has one at least;
+    within a group only proofs with an equal fact can hold together. So the work is in
+    proportion to what is joined and derived, however many tuples have one key.
+    """
+    left = left.select("*", lead(F.col(TAG), "d").isNull().alias("_free"), F.coalesce(lead(F.col(TAG), "d"), F.lit(0)).alias("_d"))
+    right = right.select("*", lead(F.col(name), "d").isNull().alias("_free2"), F.coalesce(lead(F.col(name), "d"), F.lit(0)).alias("_d2"))
+    mine, theirs = ["_free", "_d"], ["_free2", "_d2"]
+    pairs = left.select(*on, *mine).distinct().join(right.select(*on, *theirs).distinct(), on).where("_free or _free2 or _d != _d2")
+    apart = left.join(pairs.hint("shuffle_merge"), [*on, *mine]).join(right.hint("shuffle_merge"), [*on, *theirs]).drop(*mine, *theirs)
+    same = left.where("not _free").withColumn("_f", F.explode(lead(F.col(TAG), "f"))).drop("_free")
+    other = right.where("not _free2").withColumn("_f", F.explode(lead(F.col(name), "f"))).drop("_free2").withColumnRenamed("_d2", "_d")
+    return apart.unionByName(same.join(other.hint("shuffle_merge"), [*on, "_d", "_f"]).drop("_d", "_f"))
+
+
+def rule_frame(spark: SparkSession, rule: Rule, frames: Sequence[DataFrame], negated: Sequence[DataFrame], tag: Unit, tagged: Sequence[bool], head_tag: Unit, head_types: Sequence[str], exclude: Callable[[Atom, Atom], bool] = lambda a, b: False) -> DataFrame:
     """The head's tuples (with duplicates) from a frame for each positive and each negated atom.
 
     Atoms are joined in textual order, except that an atom that shares a variable with
     what is joined already goes before one that shares none, so a product is made only
     where the rule asks for one. Semi-joins are used where an atom adds neither a
-    variable that is needed later nor a tag.
+    variable that is needed later nor a tag. exclude tells whether the proofs of two
+    atoms may hold facts that exclude each other.
     """
     atoms, constraints = rule.atoms(), rule.constraints()
     needs_tags = tag.column_type is not None and head_tag.column_type is not None
@@ -98,6 +116,7 @@ def rule_frame(spark: SparkSession, rule: Rule, frames: Sequence[DataFrame], neg
     df: DataFrame | None = None
     known: set[str] = set()
     has_tag = False
+    joined: list[Atom] = []
 
     def tag_of(i: int) -> str | None:
         return f"_t{i}" if needs_tags and tagged[i] else None
@@ -124,11 +143,17 @@ def rule_frame(spark: SparkSession, rule: Rule, frames: Sequence[DataFrame], neg
             if shared and name is None and not (mine - known) & after:
                 df, mine = df.join(right.select(*on), on, "left_semi"), set()
             elif shared:
-                if name is not None and has_tag and tag.keeps_proofs and _unknown_size(right) and _unknown_size(df):
-                    right = right.hint("shuffle_merge")
-                df = combine(df.join(right, on), name)
+                proofs = name is not None and has_tag and tag.keeps_proofs
+                if proofs and any(exclude(a, atoms[i]) for a in joined):
+                    df = _by_groups(df, right, on, name)
+                elif proofs and _unknown_size(right) and _unknown_size(df):
+                    df = df.join(right.hint("shuffle_merge"), on)
+                else:
+                    df = df.join(right, on)
+                df = combine(df, name)
             else:
                 df = combine(df.crossJoin(right), name)
+        joined.append(atoms[i])
         known |= mine
         for e in [e for e in open_ if _names(e) <= known]:
             df = df.where(expression(e))

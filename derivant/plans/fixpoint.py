@@ -17,7 +17,7 @@ from ..sources.relations import empty, keys
 from ..sources.storage import Parts, stored
 from .analysis import strata
 from .compile import rule_frame
-from .syntax import Rule
+from .syntax import Atom, Const, Rule
 
 
 @dataclass
@@ -48,6 +48,10 @@ class Evaluation:
     #: The relations that are kept as tables; goes on to the next run.
     parts: dict[str, Parts] = field(default_factory=dict)
     rounds: list[Round] = field(default_factory=list)
+    #: Relations with disjunctions, and the columns that make each one's groups, if they do.
+    groups: Mapping[str, Sequence[Sequence[int] | None]] = field(default_factory=dict)
+    #: The relations with disjunctions that a relation's proofs may use.
+    uses: dict[str, set[str]] = field(default_factory=dict)
 
     def empty(self, p: str) -> DataFrame:
         return empty(self.spark, self.types[p], self.tag_of(p))
@@ -66,11 +70,30 @@ class Evaluation:
         held.add(diff)
         return diff.frame, diff.rows
 
+    def trace(self, rules: Mapping[int, Rule]) -> None:
+        self.uses = {p: {p} for p in self.groups}
+        grown = bool(self.uses)
+        while grown:
+            grown = False
+            for r in rules.values():
+                mine = self.uses.setdefault(r.head.predicate, set())
+                before = len(mine)
+                mine.update(*(self.uses.get(a.predicate, ()) for a in r.atoms()))
+                grown |= len(mine) > before
+
+    def exclude(self, a: Atom, b: Atom) -> bool:
+        """Facts of the two may exclude each other; not if every disjunction has a column where they are known to differ."""
+        both = self.uses.get(a.predicate, set()) & self.uses.get(b.predicate, set())
+        if not both or a.predicate != b.predicate or both != {a.predicate}:
+            return bool(both)
+        differ = {i for i, (x, y) in enumerate(zip(a.args, b.args, strict=True)) if isinstance(x, Const) and isinstance(y, Const) and x.value != y.value}
+        return not all(g and differ.intersection(g) for g in self.groups[a.predicate])
+
     def plan(self, rule: Rule, frame: Callable[[int, str], DataFrame], full: Callable[[str], DataFrame]) -> DataFrame:
         atoms = rule.atoms()
         head = rule.head.predicate
         tagged = [self.tag_of(a.predicate).column_type is not None for a in atoms]
-        return rule_frame(self.spark, rule, [frame(i, a.predicate) for i, a in enumerate(atoms)], [full(a.predicate) for a in rule.negated()], self.tag, tagged, self.tag_of(head), self.types[head])
+        return rule_frame(self.spark, rule, [frame(i, a.predicate) for i, a in enumerate(atoms)], [full(a.predicate) for a in rule.negated()], self.tag, tagged, self.tag_of(head), self.types[head], self.exclude)
 
     def deltas(self, rule: Rule, changed: Mapping[str, DataFrame], new: Callable[[str], DataFrame], old: Callable[[str], DataFrame | None]) -> list[DataFrame]:
         """The derivations that use a changed tuple: changed at one position, new before it, old after it."""
@@ -90,6 +113,7 @@ class Evaluation:
 
     def run(self, rules: Mapping[int, Rule], fresh_rules: set[int], full: Mapping[str, DataFrame], pending: Mapping[str, Sequence[DataFrame]]) -> dict[str, DataFrame]:
         """All relations after the pending tuples and the fresh rules are taken in."""
+        self.trace(rules)
         before, now = dict(full), dict(full)
         changed: dict[str, DataFrame] = {}
 

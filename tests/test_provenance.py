@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from derivant import Engine
 from derivant import errors as E
 from derivant.functions import wmc
-from derivant.functions.tags import TAG
+from derivant.functions.tags import TAG, Proofs, sorted_set
 from derivant.operators import relational as R
+from derivant.plans.fixpoint import Evaluation
 
 
 def close(found, expected):
@@ -268,3 +269,43 @@ def test_only_frames_of_known_size_are_broadcast(spark, rows):
     assert df.count() == 20_000 and df.select(F.min(F.size(TAG)), F.max(F.size(TAG))).first() == (25, 25)
     df, plan = joined("s")
     assert "Broadcast" in plan and df.count() == 3
+
+
+def test_pairs_of_one_group_are_not_made(spark, monkeypatch):
+    """n facts that exclude each other give n proofs, not n times n products of which n are left."""
+    seen, merge = [], Proofs.merge
+    monkeypatch.setattr(Proofs, "merge", lambda self, df, keys: seen.append(df) or merge(self, df, keys))
+    facts = spark.range(600).select("id", (F.col("id") % 2).alias("n"), F.lit(0.001).alias("p"))
+    engine = Engine(spark, "proofs").load("decl s(Int, Int). decl t(Int, Int). decl r(Int). t(A, N) :- s(A, N). r(N) :- t(A, N), t(B, N).")
+    engine.insert_disjunction("s", facts, "p", ["n"])
+    assert [tuple(x) for x in engine.tagged("r", ["n"]).select("n", F.size(TAG)).orderBy("n").collect()] == [(0, 300), (1, 300)]
+    assert seen[-1].count() == 600
+
+
+@pytest.mark.parametrize("tag", ["proofs", "top-k-proofs"])
+def test_joins_by_groups_keep_all_proofs(spark, rows, monkeypatch, tag):
+    """The same tags as without them: several groups a key, certain and repeated tuples, proofs of several facts."""
+    text = """
+        decl s(Int, Int). decl e(Int, Int). decl two(Int, Int, Int). decl r(Int). decl q(Int, Int). decl u(Int).
+        s(1, 0). 0.25::s(7, 0); 0.5::s(8, 0).
+        r(N) :- s(A, N), s(B, N). q(A, B) :- s(A, N), s(B, N), A < B.
+        two(A, B, N) :- s(A, N), e(A, B). u(N) :- two(A, _, N), two(B, _, N), s(B, N). u(N) :- s(7, N), s(8, N).
+    """
+
+    def read():
+        engine = Engine(spark, tag, k=5).load(text)
+        facts = spark.createDataFrame([(a, a % 2, a // 4, (a % 5 + 1) / 20) for a in range(12)] + [(3, 1, 0, 0.125), (3, 1, 2, 0.0625)], "a long, n long, g long, p double")
+        engine.insert_disjunction("s", facts, "p", ["g"], ["a", "n"])
+        engine.insert_disjunction("s", facts.where("a < 6"), "p", ["n"], ["a", "n"])
+        engine.insert_prob("e", facts.selectExpr("a", "a * 3 % 12", "p").distinct(), "p")
+        return {p: rows(engine.tagged(p)) for p in ("r", "q", "u")}
+
+    by_groups = read()
+    monkeypatch.setattr(Evaluation, "exclude", lambda self, a, b: False)
+    plain = read()
+    assert by_groups == plain and all(plain.values())
+
+
+def test_sorted_sets(spark):
+    df = spark.createDataFrame([([3, 1, 3, 2, 1],), ([],), ([5],), ([4, 4],)], "v array<int>")
+    assert [r[0] for r in df.select(sorted_set(F.transform("v", lambda x: F.array(x)))).collect()] == [[[1], [2], [3]], [], [[5]], [[4]]]
