@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from math import prod
 from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..errors import IterationLimit
 from ..functions.tags import TAG, Unit
 from ..sources.relations import empty, keys
 from ..sources.storage import Parts, stored
+from . import core
 from .analysis import strata
 from .compile import rule_frame
 from .syntax import Atom, Const, Rule
@@ -30,6 +32,10 @@ class Round:
     changed: dict[str, int]
 
 
+#: A relation of so many rows at most is broadcast to a plan that is made over a core.
+BROADCAST_ROWS = 1_000_000
+
+
 @dataclass
 class Evaluation:
     """One run: what is new is taken in, stratum by stratum.
@@ -111,6 +117,64 @@ class Evaluation:
             out.append(self.plan(rule, frame, new))
         return out
 
+    def table(self, p: str, now: dict[str, DataFrame]) -> int:
+        """Makes a table of a relation that is read again and again; its number of rows."""
+        if p not in self.parts:
+            self.parts[p] = Parts(keys(self.types[p]), self.tag_of(p).keeps_proofs, tables=[stored(now[p], p.strip("@_"))])
+            now[p] = self.parts[p].frame()
+        return sum(t.rows for t in self.parts[p].tables)
+
+    def lean(self, p: str, rules: Mapping[int, Rule], given: Sequence[DataFrame], now: dict[str, DataFrame]) -> DataFrame | None:
+        """A recursive relation as a plan over its core, if that has fewer tuples than what the rules read; else None."""
+        if p.endswith(core.core_name("")):
+            return None
+        recursive = [r for r in rules.values() if any(a.predicate == p for a in r.atoms())]
+        ordered = [*(r for r in rules.values() if r not in recursive), *recursive]
+        read = sorted({a.predicate for r in ordered for a in r.atoms()} - {p})
+        found = core.occurrences(p, recursive)
+        if not found or given or core.occurrences(p, ordered) is None or any(q not in now for q in read):
+            return None
+        sizes = {q: self.table(q, now) for q in read}
+        distinct: dict[tuple[str, int], int] = {}
+        for q in read:
+            counts = now[q].agg(*[F.approx_count_distinct(c) for c in keys(self.types[q])]).first()
+            distinct |= {(q, i): n for i, n in enumerate(counts)}
+        needs = [tuple(min(columns, key=distinct.__getitem__) for columns in o) for o in found]
+        most = sum(prod(distinct[c] for c in o) for o in set(needs))
+        if most > sum(sizes.values()):
+            return None
+        name = core.core_name(p)
+        inside = Evaluation(self.spark, {**self.types, name: self.types[p]}, self.tag_of, self.tag, self.max_iterations, {q: self.parts[q] for q in read})
+        full = {q: now[q] for q in read}
+        for q, i in sorted({c for o in needs for c in o}):
+            need = core.need_name(p, (q, i))
+            inside.types = {**inside.types, need: [self.types[q][i]]}
+            self.parts[need] = inside.parts[need] = Parts(["c0"], False, tables=[stored(now[q].select(F.col(f"c{i}").alias("c0")).distinct(), "need")])
+            full[need] = inside.parts[need].frame()
+        program = dict(enumerate(core.core_rules(p, ordered, needs)))
+        full = inside.run(program, set(program), full, {})
+        self.rounds += inside.rounds
+        if name in inside.parts:
+            self.parts[name] = inside.parts[name]
+        unique = core.apart(ordered, self.keys_of(read, sizes, distinct, now))
+
+        def frame(k: int, q: str) -> DataFrame:
+            df = full[name] if q == p else now[q]
+            if unique is not None and k == 0:
+                return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *keys(self.types[q]))
+            return F.broadcast(df) if q == p or sizes[q] <= BROADCAST_ROWS else df
+
+        frames = [inside.plan(core.inner(p, r), lambda k, q: frame(k, p if q == name else q), now.__getitem__) for r in (ordered if unique is None else unique)]
+        return self.merge(p, frames) if unique is None else reduce(DataFrame.unionByName, frames)
+
+    def keys_of(self, read: Sequence[str], sizes: Mapping[str, int], distinct: Mapping[tuple[str, int], int], now: Mapping[str, DataFrame]) -> dict[str, set[int]]:
+        """The columns whose values are all different, counted exactly where they may be."""
+        found: dict[str, set[int]] = {}
+        for (q, i), n in distinct.items():
+            if n >= 0.8 * sizes[q] and now[q].groupBy(f"c{i}").count().where("count > 1").isEmpty():
+                found.setdefault(q, set()).add(i)
+        return found
+
     def run(self, rules: Mapping[int, Rule], fresh_rules: set[int], full: Mapping[str, DataFrame], pending: Mapping[str, Sequence[DataFrame]]) -> dict[str, DataFrame]:
         """All relations after the pending tuples and the fresh rules are taken in."""
         self.trace(rules)
@@ -139,6 +203,12 @@ class Evaluation:
                     incoming[r.head.predicate] += self.deltas(r, changed, all_of, old_of)
                 elif all(a.predicate in now or a.predicate not in incoming for a in r.atoms()):
                     incoming[r.head.predicate].append(self.plan(r, lambda _, p: all_of(p), all_of))
+            if recursive and self.tag.column_type is None and len(group) == 1 and group[0] not in before and set(mine) <= fresh_rules:
+                p = group[0]
+                plan = self.lean(p, mine, pending.get(p, ()), now)
+                if plan is not None:
+                    now[p] = changed[p] = plan
+                    continue
             step: dict[str, DataFrame] = {}
             for p, frames in incoming.items():
                 if not frames:
@@ -167,9 +237,8 @@ class Evaluation:
     def _rounds(self, group: Sequence[str], rules: Mapping[int, Rule], now: dict[str, DataFrame], old: dict[str, DataFrame | None], delta: dict[str, DataFrame], all_of: Callable[[str], DataFrame], news: dict[str, list[DataFrame]]) -> None:
         inner = [r for r in rules.values() if any(a.predicate in group for a in r.atoms())]
         for q in sorted({a.predicate for r in inner for a in [*r.atoms(), *r.negated()]}):
-            if q in now and q not in self.parts:  # read again and again
-                self.parts[q] = Parts(keys(self.types[q]), self.tag_of(q).keeps_proofs, tables=[stored(now[q], q.strip("@_"))])
-                now[q] = self.parts[q].frame()
+            if q in now:
+                self.table(q, now)
         for number in range(1, self.max_iterations + 1):
             start = perf_counter()
             plans: dict[str, list[DataFrame]] = {}
