@@ -33,8 +33,13 @@ def lead(tag: Column, field: str) -> Column:
 
 def sorted_set(values: Column) -> Column:
     """Sorted, each once; array_distinct compares every two arrays."""
-    sorted_ = F.transform(F.array(F.sort_array(values)), lambda s: F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.struct(x.alias("x"), x.eqNullSafe(y).alias("again"))))
-    return F.transform(F.filter(F.get(sorted_, F.lit(0)), lambda z: ~z["again"]), lambda z: z["x"])
+
+    def once(s: Column) -> Column:
+        pairs = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.struct(x.alias("x"), x.eqNullSafe(y).alias("again")))
+        return F.when(F.size(s) < 2, s).otherwise(F.transform(F.filter(pairs, lambda z: ~z["again"]), lambda z: z["x"]))
+
+    # a lambda's argument is evaluated once, however often it is used
+    return F.get(F.transform(F.array(F.sort_array(values)), once), F.lit(0))
 
 
 class Unit:
@@ -94,7 +99,7 @@ class Proofs(Unit):
         return sorted_set(proofs)
 
     def mult(self, a: Column, b: Column) -> Column:
-        pairs = F.flatten(F.transform(a, lambda p: F.transform(b, lambda q: F.array_sort(F.array_union(p, q)))))
+        pairs = F.flatten(F.transform(a, lambda p: F.transform(b, lambda q: F.sort_array(F.array_union(p, q)))))
         return self.normal(F.filter(pairs, compatible))
 
     def merge(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -241,7 +241,7 @@ def sum2_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     A digit that was read several times has several facts for a value.
     """
     rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("t"), (F.col("l_linenumber") - 1).alias("i"), F.col("l_quantity").cast("long").alias("q"))
-    rows = rows.select("t", "i", F.explode(F.array(*map(F.lit, range(4)))).alias("v"), "q")
+    rows = _by_task(rows).select("t", "i", F.explode(F.array(*map(F.lit, range(4)))).alias("v"), "q")
     digits = rows.select("t", "i", "v", ((F.col("q") * (F.col("v") + 2) % 11 + 1) / 37).alias("p")).distinct()
     engine = Engine(spark, "proofs").load("decl digit(Int, Int, Int). decl sum(Int, Int). sum(T, A + B) :- digit(T, 0, A), digit(T, 1, B).")
     engine.insert_disjunction("digit", digits, "p", ["t", "i"], ["t", "i", "v"])

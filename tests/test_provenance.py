@@ -2,6 +2,7 @@
 
 from itertools import product
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -309,3 +310,32 @@ def test_joins_by_groups_keep_all_proofs(spark, rows, monkeypatch, tag):
 def test_sorted_sets(spark):
     df = spark.createDataFrame([([3, 1, 3, 2, 1],), ([],), ([5],), ([4, 4],)], "v array<int>")
     assert [r[0] for r in df.select(sorted_set(F.transform("v", lambda x: F.array(x)))).collect()] == [[[1], [2], [3]], [], [[5]], [[4]]]
+
+
+def test_products_are_factored():
+    """Any of a, any of b and any of c: no expansion is needed; of one proof less it is."""
+    sides = [[(s, i) for i in range(n)] for s, n in (("a", 9), ("b", 11), ("c", 13))]
+    prob = {f: (f[1] % 7 + 1) / 11 for side in sides for f in side}
+    proofs = [frozenset(p) for p in product(*sides)]
+    assert len(wmc._factors(frozenset(proofs))) == 3 and len(wmc._factors(frozenset(proofs[1:]))) == 1
+
+    def some(side, without=None):
+        miss = 1.0
+        for f in side:
+            miss *= 1.0 if f == without else 1 - prob[f]
+        return 1 - miss
+
+    a, b, c = map(some, sides)
+    total, slope = wmc.count_and_gradient(proofs, prob)
+    assert total == pytest.approx(a * b * c) and slope[("a", 3)] == pytest.approx((1 - some(sides[0], ("a", 3))) * b * c)
+    # with groups: values of a exclude each other
+    prob = {f: p / 13 for f, p in prob.items()}
+    group = {f: "one a" if f[0] == "a" else f for f in prob}
+    assert wmc.count(proofs, prob, group) == pytest.approx(sum(prob[f] for f in sides[0]) * some(sides[1]) * some(sides[2]))
+
+
+def test_tags_of_a_sliced_array():
+    tags = pa.array([[[(1, 2, 0.5)]], None, [], [[(1, 3, 0.25), (4, 4, 0.5)], []], [[(7, 8, 0.125)], [(1, 2, 0.5)]]], pa.list_(pa.list_(pa.struct([("d", pa.int64()), ("f", pa.int64()), ("p", pa.float64())]))))
+    expected = [([[2]], {2: 0.5}, {2: 1}), None, ([], {}, {}), ([[3, 4], []], {3: 0.25, 4: 0.5}, {3: 1, 4: 4}), ([[8], [2]], {8: 0.125, 2: 0.5}, {8: 7, 2: 1})]
+    for start in range(5):
+        assert list(wmc._unpacked(tags[start:], True)) == expected[start:]

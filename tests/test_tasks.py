@@ -66,7 +66,7 @@ def test_gradient_of_the_best_proofs(spark):
     assert all(1 <= len(r["grad"]) <= 6 and r["prob"] > 0 for r in rows) and len(rows) == 14
 
 
-@pytest.mark.parametrize("name", ["wmc_exclusive"])
+@pytest.mark.parametrize("name", ["wmc_exclusive", "sum2_tasks"])
 def test_tasks_are_dealt_once(spark, name):
     """Digits of a task meet where the task's rows were sent at first; nothing of the size of the input is broadcast."""
     plan = queries()[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
