@@ -213,7 +213,11 @@ class Evaluation:
             for p, frames in incoming.items():
                 if not frames:
                     continue
-                fresh = self.merge(p, frames)
+                ones = [r for r in mine.values() if r.head.predicate == p]
+                if len(frames) == len(ones) == 1 and not pending.get(p) and not recursive and p not in before and self.tag_of(p).column_type is None and core.once(ones[0]):
+                    fresh = frames[0]
+                else:
+                    fresh = self.merge(p, frames)
                 if recursive or p in before:
                     solid(p)
                     diff, _ = self.grow(p, fresh)

@@ -263,3 +263,18 @@ def test_pairs_that_two_rules_derive(spark, rows):
     assert sorted(found) == sorted(sg)
     found = rows(Engine(spark).load(SAME.replace(", A != B", "")).bind("parent", spark.createDataFrame(parent, "a long, b long")).relation("sg"))
     assert len(found) == len(set(found)) and set(found) >= {(100, 102), (100, 100)}
+
+
+def test_tuples_that_are_derived_once_are_not_merged(spark, rows):
+    """r keeps all that its atoms have, so it has no distinct; t and u have one, as have facts that come beside a rule."""
+    text = "decl a(Int, Int). decl b(Int, Int). decl r(Int, Int, Int). decl t(Int, Int). decl u(Int). r(K, X, Y) :- a(K, X), b(K, Y). t(X, Y) :- a(K, X), b(K, Y). u(K) :- a(K, _)."
+    a, b = [(k % 5, k % 3) for k in range(40)], [(k % 4, k % 6) for k in range(30)]
+    engine = Engine(spark).load(text).bind("a", spark.createDataFrame(a, "k long, x long")).bind("b", spark.createDataFrame(b, "k long, y long"))
+    r = {(k, x, y) for k, x in a for j, y in b if j == k}
+    found = engine.relation("r")
+    assert sorted(rows(found)) == sorted(r)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+    assert sorted(rows(engine.relation("t"))) == sorted({(x, y) for _, x, y in r}) and rows(engine.relation("u")) == [(k,) for k in range(5)]
+    late = Engine(spark).load(text).run()
+    late.insert_rows("r", [(1, 2, 3), (1, 2, 3)])
+    assert rows(late.relation("r")) == [(1, 2, 3)]
